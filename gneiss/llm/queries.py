@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.functions.ids import gene_id, lower_label, upper_id
-from gneiss.llm import mixing, quantiles, topn
+from gneiss.llm import canonical, mixing, quantiles, topn
 from gneiss.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,6 +117,84 @@ def p5_by_load(spark: SparkSession, d: str) -> DataFrame:
     return together.select("gene_id", "stratum", "n", F.get("q", at).alias("median"), F.get("rank_error", at).alias("rank_error"))
 
 
+# ---------------------------------------------------------------- 7: free-typed names
+
+#: Words that people add to names without meaning another entry.
+CELL_WORDS = r"cell lines?|cells?|lines?|human|parental|adherent|suspension|passage \d+|p\d{1,2}"
+GENE_WORDS = r"human|genes?|proteins?|mrna|expression(?: of)?|levels?(?: of)?|of|the|(?<=\d)\.\d{1,3}"
+
+
+def _names(df: DataFrame, entry: str, single: list[str], lists: list[str]) -> DataFrame:
+    """(entry, name) of every name of the reference table, in plain form."""
+    each = F.array(*[F.col(c) for c in single])
+    for c in lists:
+        each = F.concat(each, F.coalesce(F.split(F.col(c), r"\|"), F.array().cast("array<string>")))
+    names = df.select(F.col(entry).alias("entry"), F.explode(each).alias("t"))
+    return names.select("entry", F.explode(canonical.normal_forms(F.col("t"))).alias("name"))
+
+
+def typed_names(spark: SparkSession, d: str) -> DataFrame:
+    lines = canonical.match(
+        table(spark, d, "no_depmap_equivalent_hpa_rna").select("row_id", "hpa_name"),
+        ["row_id"],
+        canonical.normal_forms(F.col("hpa_name"), CELL_WORDS),
+        _names(table(spark, d, "cell_line_lookup"), "model_id", ["cell_line_name", "stripped_cell_line_name"], ["synonyms"]),
+    )
+    genes = canonical.match(
+        table(spark, d, "gene_alias_result").select("query_id", "query"),
+        ["query_id"],
+        canonical.normal_forms(F.regexp_replace("query", r"(?i)(ensg\d{11})\.\d+", "$1"), GENE_WORDS),
+        _names(table(spark, d, "gene_lookup"), "ensg_id", ["ensg_id", "hgnc_symbol", "approved_name"], ["prev_symbols", "alias_symbols"]),
+    )
+    return lines.select(F.lit("no_depmap_equivalent_hpa_rna").alias("table_name"), "row_id", "entry", "distance").unionByName(
+        genes.select(F.lit("gene_alias_result").alias("table_name"), F.col("query_id").alias("row_id"), "entry", "distance")
+    )
+
+
+_FOLD = "regexp_replace(translate(lower({}), '０１２３４５６７８９', '0123456789'), '[^a-z0-9]+', '', 'g')"
+_NAMES_SQL = f"""
+lines AS (SELECT model_id AS entry, unnest([cell_line_name, stripped_cell_line_name] || coalesce(string_split(synonyms, '|'), [])) AS t FROM cell_line_lookup),
+genes AS (SELECT ensg_id AS entry, unnest([ensg_id, hgnc_symbol, approved_name] || coalesce(string_split(prev_symbols, '|'), []) || coalesce(string_split(alias_symbols, '|'), [])) AS t FROM gene_lookup),
+names AS (SELECT 'no_depmap_equivalent_hpa_rna' AS table_name, entry, {_FOLD.format("t")} AS name FROM lines WHERE t IS NOT NULL
+  UNION SELECT 'gene_alias_result', entry, {_FOLD.format("t")} FROM genes WHERE t IS NOT NULL),
+typed AS (SELECT 'no_depmap_equivalent_hpa_rna' AS table_name, row_id, hpa_name AS t,
+    regexp_replace(lower(hpa_name), '^\s*cell line\s|[\s(]+(cells|cell line|line|human|parental|adherent|p[0-9]+)\W*$', '', 'g') AS u FROM no_depmap_equivalent_hpa_rna
+  UNION ALL SELECT 'gene_alias_result', query_id, query,
+    regexp_replace(lower(query), '^\s*(expression of|gene|human)\s|[\s(]+(human|gene|protein|expression)\W*$|\.[0-9]+\s*$', '', 'g') FROM gene_alias_result),
+forms AS (SELECT table_name, row_id, {_FOLD.format("t")} AS form FROM typed UNION SELECT table_name, row_id, {_FOLD.format("u")} FROM typed),
+asked AS (SELECT DISTINCT table_name, form FROM forms WHERE form <> ''),
+near AS (SELECT a.table_name, a.form, n.entry, levenshtein(a.form, n.name) AS distance FROM asked a JOIN names n
+  ON a.table_name = n.table_name AND abs(length(a.form) - length(n.name)) <= 2 AND levenshtein(a.form, n.name) <= CASE WHEN length(a.form) > 2 THEN 2 ELSE 0 END),
+hits AS (SELECT f.table_name, f.row_id, entry, distance, min(distance) OVER (PARTITION BY f.table_name, f.row_id) AS best
+  FROM forms f JOIN near USING (table_name, form)),
+won AS (SELECT table_name, row_id, min(entry) AS entry, any_value(distance) AS distance FROM hits WHERE distance = best GROUP BY ALL HAVING count(DISTINCT entry) = 1)
+"""
+_NAMES_SQL = _NAMES_SQL.replace("any_value(distance) AS distance FROM hits WHERE distance = best GROUP BY ALL", "min(distance) AS distance FROM hits WHERE distance = best GROUP BY table_name, row_id")
+
+
+@query(
+    "WITH" + _NAMES_SQL + "SELECT DISTINCT table_name, row_id, coalesce(entry, 'UNMATCHED') AS canonical_id FROM typed LEFT JOIN won USING (table_name, row_id)"
+)
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every free-typed name with the entry it means, or UNMATCHED."""
+    return typed_names(spark, d).select(
+        "table_name", "row_id", F.coalesce("entry", F.lit("UNMATCHED")).alias("canonical_id")
+    )
+
+
+@query(
+    "WITH" + _NAMES_SQL + """SELECT table_name, CASE WHEN w.entry IS NULL THEN 'unmatched' WHEN w.distance = 0 THEN 'exact' ELSE 'slips ' || w.distance END AS outcome, count(*) AS n_rows
+FROM typed LEFT JOIN won w USING (table_name, row_id) GROUP BY ALL"""
+)
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """How many values of each table matched exactly, with how many slips, or not at all."""
+    outcome = (
+        F.when(F.col("entry").isNull(), "unmatched").when(F.col("distance") == 0, "exact")
+        .otherwise(F.concat(F.lit("slips "), F.col("distance").cast("string")))
+    )
+    return typed_names(spark, d).groupBy("table_name", outcome.alias("outcome")).agg(F.count("*").alias("n_rows"))
+
+
 # ---------------------------------------------------------------- 9: mixing sources
 
 
