@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions.ids import gene_id, lower_label, upper_id
-from gneiss.llm import canonical, mixing, quantiles, topn
+from gneiss.llm import canonical, language, leakage, mixing, quantiles, topn
 from gneiss.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,7 +152,7 @@ def typed_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FOLD = "regexp_replace(translate(lower({}), '０１２３４５６７８９', '0123456789'), '[^a-z0-9]+', '', 'g')"
-_NAMES_SQL = f"""
+_NAMES_SQL = rf"""
 lines AS (SELECT model_id AS entry, unnest([cell_line_name, stripped_cell_line_name] || coalesce(string_split(synonyms, '|'), [])) AS t FROM cell_line_lookup),
 genes AS (SELECT ensg_id AS entry, unnest([ensg_id, hgnc_symbol, approved_name] || coalesce(string_split(prev_symbols, '|'), []) || coalesce(string_split(alias_symbols, '|'), [])) AS t FROM gene_lookup),
 names AS (SELECT 'no_depmap_equivalent_hpa_rna' AS table_name, entry, {_FOLD.format("t")} AS name FROM lines WHERE t IS NOT NULL
@@ -167,9 +167,8 @@ near AS (SELECT a.table_name, a.form, n.entry, levenshtein(a.form, n.name) AS di
   ON a.table_name = n.table_name AND abs(length(a.form) - length(n.name)) <= 2 AND levenshtein(a.form, n.name) <= CASE WHEN length(a.form) > 2 THEN 2 ELSE 0 END),
 hits AS (SELECT f.table_name, f.row_id, entry, distance, min(distance) OVER (PARTITION BY f.table_name, f.row_id) AS best
   FROM forms f JOIN near USING (table_name, form)),
-won AS (SELECT table_name, row_id, min(entry) AS entry, any_value(distance) AS distance FROM hits WHERE distance = best GROUP BY ALL HAVING count(DISTINCT entry) = 1)
+won AS (SELECT table_name, row_id, min(entry) AS entry, min(distance) AS distance FROM hits WHERE distance = best GROUP BY table_name, row_id HAVING count(DISTINCT entry) = 1)
 """
-_NAMES_SQL = _NAMES_SQL.replace("any_value(distance) AS distance FROM hits WHERE distance = best GROUP BY ALL", "min(distance) AS distance FROM hits WHERE distance = best GROUP BY table_name, row_id")
 
 
 @query(
@@ -195,6 +194,29 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return typed_names(spark, d).groupBy("table_name", outcome.alias("outcome")).agg(F.count("*").alias("n_rows"))
 
 
+# ---------------------------------------------------------------- 8: leaked evaluation items
+
+
+def leaked(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(
+        table(spark, d, "documents"), F.col("doc_id"), F.col("text"), table(spark, d, "eval_items"), F.col("item_id"), F.col("text")
+    )
+
+
+@query()
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the items that leaked into them."""
+    return leaked(spark, d).select("doc_id", "item_id").distinct()
+
+
+@query()
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every leaked item with the documents that hold it and how much of it they hold."""
+    return leaked(spark, d).groupBy("item_id").agg(
+        F.count_distinct("doc_id").alias("n_docs"), F.round(F.max("share"), 6).alias("most"), F.round(F.avg("share"), 6).alias("mean_share")
+    )
+
+
 # ---------------------------------------------------------------- 9: mixing sources
 
 
@@ -229,3 +251,38 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """Each source's target share, its share of the mix and of the wanted total."""
     sizes, plan = _mixing(spark, d)
     return mixing.shares(mixing.mix(sizes, plan), plan)
+
+
+# ---------------------------------------------------------------- 10: languages
+
+
+def stretches(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = language.fit(docs, F.col("doc_id"), F.col("text"), F.col("lang"))
+    carried = {"doc_id": F.col("doc_id"), "label": language.named_language(F.col("lang"))}
+    return language.segments(docs, carried, F.col("text"), model, spark)
+
+
+def text_languages(spark: SparkSession, d: str) -> DataFrame:
+    found = language.languages_of(stretches(spark, d), ["doc_id", "label"])
+    right = F.max(F.col("lang").eqNullSafe(F.col("label"))).over(Window.partitionBy("doc_id", "label"))
+    return found.withColumn("label_right", right)
+
+
+@query()
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """The languages of documents whose label is missing or wrong, and of all documents in several."""
+    wrong = ~F.col("label_right") | (F.col("n_languages") > 1)
+    return text_languages(spark, d).where(wrong).select("doc_id", "lang").distinct()
+
+
+@query()
+def p10_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's languages with their sentences and confidence, and whether its label is right."""
+    return text_languages(spark, d).select("doc_id", "lang", "sentences", F.round("confidence", 6).alias("confidence"), "n_languages", "label_right")
+
+
+@query()
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every stretch in one language with its sentences and confidence."""
+    return stretches(spark, d).select("doc_id", "part", "first_sentence", "sentences", "lang", "confidence")
