@@ -23,6 +23,7 @@ from gneiss.llm.text import repaired
 
 DIMENSIONS = 4096
 GRAM = 3
+LEAST_LETTERS = 12
 #: Labelled documents per language that the prototypes are trained on.
 TRAINING_DOCUMENTS = 400
 #: How much one unit of cosine is worth in the confidence.
@@ -60,10 +61,10 @@ def named_language(label: Column) -> Column:
 def sentences(text: str) -> list[str]:
     """The sentences of a repaired text, without bracketed remarks and words that hold digits.
 
-    Line ends alone end no sentence; pieces without a word of three letters belong to their neighbour.
+    Line ends alone end no sentence; pieces of fewer than ``LEAST_LETTERS`` letters are none.
     """
     cleaned = _END.split(_NOISE.sub(" ", repaired(text)))
-    return [s for s in cleaned if sum(map(str.isalpha, s)) >= 12]
+    return [s for s in cleaned if sum(map(str.isalpha, s)) >= LEAST_LETTERS]
 
 
 def _encoded(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
