@@ -9,7 +9,6 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Callable, Sequence
-from functools import partial
 from statistics import NormalDist
 
 import numpy as np
@@ -24,6 +23,15 @@ from gneiss.operators.ranks import auroc
 GATE, RANKER, GRID_POINTS = (0.8, 1.0), (0.0, 0.1), 501
 
 
+def _bound(f: Callable[..., pd.DataFrame], **fixed: object) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """``f`` of a group's rows with its other arguments given."""
+
+    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
+        return f(pdf, **fixed)
+
+    return apply
+
+
 def seed_of(*keys: object) -> int:
     """A stable seed for a group."""
     return zlib.crc32("\x1f".join(map(str, keys)).encode())
@@ -97,7 +105,7 @@ def gate_readout(df: DataFrame, feature: str, entity: str, score: str, positive:
     area over the same 501-point grid as the partial areas.
     """
     kind = df.schema[feature].dataType.simpleString()
-    f = partial(_gate, feature=feature, score=score, positive=positive, floor_value=floor_value, entity=entity, bins=bins, least=least)
+    f = _bound(_gate, feature=feature, score=score, positive=positive, floor_value=floor_value, entity=entity, bins=bins, least=least)
     return df.select(feature, entity, score, positive, floor_value).groupBy(feature).applyInPandas(f, f"{feature} {kind}, {_GATE_FIELDS}")
 
 
@@ -142,7 +150,7 @@ def cluster_bootstrap(df: DataFrame, feature: str, cluster: str, top: Column, bo
     """
     sums = df.where(F.col(cluster).isNotNull()).groupBy(feature, F.col(cluster).alias("cluster")).agg(F.sum(top.cast("double")).alias("num"), F.sum(bottom.cast("double")).alias("den"))
     kind = df.schema[feature].dataType.simpleString()
-    return sums.groupBy(feature).applyInPandas(partial(_bootstrap, feature=feature, draws=draws), f"{feature} {kind}, n_clusters bigint, estimate double, ci_low double, ci_high double")
+    return sums.groupBy(feature).applyInPandas(_bound(_bootstrap, feature=feature, draws=draws), f"{feature} {kind}, n_clusters bigint, estimate double, ci_low double, ci_high double")
 
 
 def _permuted(pdf: pd.DataFrame, feature: str, stratum: str, entity: str, value: str, positive: str, draws: int) -> pd.DataFrame:
@@ -166,7 +174,7 @@ def _permuted(pdf: pd.DataFrame, feature: str, stratum: str, entity: str, value:
 def permutation_test(df: DataFrame, feature: str, stratum: str, entity: str, value: str, positive: str, draws: int = 200) -> DataFrame:
     """(feature, n, delta, p_value): difference of means against labels shuffled within strata."""
     kind = df.schema[feature].dataType.simpleString()
-    f = partial(_permuted, feature=feature, stratum=stratum, entity=entity, value=value, positive=positive, draws=draws)
+    f = _bound(_permuted, feature=feature, stratum=stratum, entity=entity, value=value, positive=positive, draws=draws)
     return df.select(feature, stratum, entity, value, positive).groupBy(feature).applyInPandas(f, f"{feature} {kind}, n bigint, delta double, p_value double")
 
 
@@ -237,7 +245,7 @@ def score_intervals(df: DataFrame, feature: str, entity: str, stratum: str, draw
     names = [feature, entity, stratum, "z1", "se1", "z2", "se2", "beta", "centre", "sd"]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = f"{feature} {kinds[feature]}, {entity} {kinds[entity]}, score double, ci_low double, ci_high double, ci_width double, top_global_pct double, top_stratum_pct double, win_rate_pct double"
-    f = partial(_intervals, feature=feature, entity=entity, stratum=stratum, draws=draws, top=top)
+    f = _bound(_intervals, feature=feature, entity=entity, stratum=stratum, draws=draws, top=top)
     return df.select(*names).groupBy(feature).applyInPandas(f, schema)
 
 

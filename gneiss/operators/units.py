@@ -91,8 +91,8 @@ def solve_units(
         r = F.abs(residual({c: candidates[c][u](F.col(c)) for c, u in zip(names, combo, strict=True)}))
         r = F.when(~F.isnan(r) & (r < float("inf")), r)
         scores.append(F.struct((F.count("*") - F.count(r)).alias("gaps"), F.avg(r).alias("r"), F.lit(i).alias("i")))
-    ranked = rows.groupBy(*group).agg(F.array_sort(F.filter(F.array(*scores), lambda s: s["r"].isNotNull())).alias("s"))
-    best, second = F.get("s", F.lit(0)), F.get("s", F.lit(1))
+    ranked = rows.groupBy(*group).agg(F.array_sort(F.filter(F.array(*scores), lambda s: s["r"].isNotNull())).alias("__fits"))
+    best, second = F.get("__fits", F.lit(0)), F.get("__fits", F.lit(1))
     close = second["i"].isNotNull() & (second["gaps"] <= best["gaps"]) & (second["r"] - best["r"] <= margin)
     return ranked.select(
         *group,
