@@ -8,11 +8,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.operators.zscores import MAD_SCALE
+from gneiss.session import cut
 
 
 def replicate_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(keys, value, n_rep): exact median of the replicates."""
-    return df.groupBy(*keys).agg(F.median(value).alias(value), F.count(value).alias("n_rep"))
+    """(keys, value, n_rep): exact median of the replicates, NULL where all are.
+
+    One exchange and one sort that can spill, instead of a hash map of values per group: the middle rows
+    are picked by number. NULL keys form groups.
+    """
+    w = Window.partitionBy(*keys)
+    x, n, k = F.col(value), F.col("__n"), F.col("__k")
+    placed = df.select(*keys, value).withColumn("__k", F.row_number().over(w.orderBy(x.asc_nulls_last()))).withColumn("__n", F.count(value).over(w))
+    middle = (k == F.floor((n + 1) / 2)) | (k == F.ceil((n + 1) / 2))
+    kept = placed.where(middle | (k == 1))
+    return kept.groupBy(*keys).agg(F.avg(F.when(middle, x)).alias(value), F.max("__n").alias("n_rep"))
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """(by, n, q0, q1 ..): exact quantiles with linear interpolation of groups of any size.
+
+    Values are counted before the shuffle and range-sorted over all tasks; each piece learns how many
+    values of its group lie before it from one row per (group, piece), so no task needs a whole group.
+    The pieces are written once, because both passes must see the same ones. NULL and NaN values are
+    missing; groups with a NULL key are left out.
+    """
+    known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    for k in by:
+        known = known.where(F.col(k).isNotNull())
+    counts = known.groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
+    pieces = cut(counts.repartitionByRange(*by, "__v").withColumn("__p", F.spark_partition_id()))
+    order = Window.partitionBy(*by).orderBy("__p")
+    sums = pieces.groupBy(*by, "__p").agg(F.sum("__c").alias("__s"))
+    sums = sums.select(
+        *by, "__p", F.sum("__s").over(Window.partitionBy(*by)).alias("n"),
+        F.coalesce(F.sum("__s").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
+    )
+    upto = F.col("__before") + F.sum("__c").over(Window.partitionBy(*by, "__p").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = pieces.join(sums, [*by, "__p"]).withColumn("__upto", upto)
+    aggs, out = [], []
+    for i, p in enumerate(probs):
+        place = (F.col("n") - 1) * F.lit(float(p)) + 1
+        for name, rank in ((f"__l{i}", F.floor(place)), (f"__h{i}", F.ceil(place))):
+            aggs.append(F.max(F.when((F.col("__upto") - F.col("__c") < rank) & (rank <= F.col("__upto")), F.col("__v"))).alias(name))
+        out.append((F.col(f"__l{i}") + (F.col(f"__h{i}") - F.col(f"__l{i}")) * (place - F.floor(place))).alias(f"q{i}"))
+    return ranked.groupBy(*by).agg(F.max("n").alias("n"), *aggs).select(*by, "n", *out)
 
 
 def group_mad(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -24,12 +64,11 @@ def group_mad(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return got.withColumn("mad_scaled", F.col("mad") * MAD_SCALE)
 
 
-def spread(value: str) -> list[Column]:
-    """Quantiles by linear interpolation."""
-    q = F.percentile(value, F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    return [
-        q[0].alias("p05"), q[1].alias("p25"), q[2].alias("p50"), q[3].alias("p75"), q[4].alias("p95"), (q[3] - q[1]).alias("iqr"),
-    ]
+def spread(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(by, p05, p25, p50, p75, p95, iqr) by linear interpolation."""
+    got = exact_quantiles(df, by, value, (0.05, 0.25, 0.5, 0.75, 0.95))
+    names = dict(zip((f"q{i}" for i in range(5)), ("p05", "p25", "p50", "p75", "p95"), strict=True))
+    return got.withColumnsRenamed(names).select(*by, *names.values(), (F.col("p75") - F.col("p25")).alias("iqr"))
 
 
 def variation(value: str) -> list[Column]:

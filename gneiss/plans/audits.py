@@ -275,7 +275,7 @@ def c04_calibration_grid(spark: SparkSession, d: str) -> DataFrame:
     """Held-out agreement of the three-regime score for each parameter set; within one standard error of the best the
     strictest is chosen."""
     m = cut(roles.measurements(spark, d))
-    floors = m.groupBy("src").agg(F.percentile("value", F.lit(0.4)).alias("flr"))
+    floors = aggregates.exact_quantiles(m, ["src"], "value", [0.4]).select("src", F.col("q0").alias("flr"))
     base = m.join(floors, "src")
     held = zscores.robust_z(m.where(F.col("src") == "N"), ["src", "strat", "feat"], "value", "zr").select("feat", "ent", "zr")
     out = None

@@ -50,7 +50,7 @@ def a07_mad(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT feat, round(quantile_cont(val, 0.05), 6) AS p05, round(quantile_cont(val, 0.25), 6) AS p25, round(quantile_cont(val, 0.5), 6) AS p50, round(quantile_cont(val, 0.75), 6) AS p75, round(quantile_cont(val, 0.95), 6) AS p95, round(quantile_cont(val, 0.75) - quantile_cont(val, 0.25), 6) AS iqr FROM raw GROUP BY feat", "raw"))
 def a09_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    return roles.raw(spark, d).groupBy("feat").agg(*aggregates.spread("val")).select("feat", *r6("p05", "p25", "p50", "p75", "p95", "iqr"))
+    return aggregates.spread(roles.raw(spark, d), ["feat"], "val").select("feat", *r6("p05", "p25", "p50", "p75", "p95", "iqr"))
 
 
 @query(sql("SELECT feat, round(avg(val), 6) AS mean, round(stddev_samp(val), 6) AS std, round(CASE WHEN avg(val) > 0 THEN stddev_samp(val) / avg(val) END, 6) AS cv FROM raw GROUP BY feat", "raw"))
@@ -318,7 +318,7 @@ _METHOD = {
 
 def method_scores(spark: SparkSession, d: str, stratify: bool = True) -> DataFrame:
     m = roles.measurements(spark, d)
-    floors = m.groupBy("src").agg(F.percentile("value", F.lit(0.4)).alias("flr"))
+    floors = aggregates.exact_quantiles(m, ["src"], "value", [0.4]).select("src", F.col("q0").alias("flr"))
     return zscores.method_z(m.join(floors, "src"), "src", "strat" if stratify else None, "feat", "ent", "value", "flr", zscores.Regimes(0.7, 0.55, 25.0))
 
 
@@ -396,9 +396,10 @@ _GEO = {
 CASE WHEN n < 50 THEN 'unknown' WHEN lo < -0.5 THEN 'log' WHEN p99 > 100 OR (med > 0 AND p99 / greatest(med, 1e-9) > 50) THEN 'linear' WHEN p99 < 25 THEN 'log' ELSE 'linear' END AS scale_v2, round(p99, 6) AS p99 FROM ga""", **_GEO))
 def m06_scale_detection(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("log2_value")
-    got = table(spark, d, "geo_values").where(v.isNotNull() & ~F.isnan(v)).groupBy("method").agg(
-        F.count("*").alias("n"), F.min(v).alias("lo"), F.median(v).alias("med"), F.percentile(v, F.lit(0.99)).alias("p99"), F.max(v).alias("hi")
-    )
+    rows = table(spark, d, "geo_values").where(v.isNotNull() & ~F.isnan(v))
+    ends = rows.groupBy("method").agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
+    got = aggregates.exact_quantiles(rows, ["method"], "log2_value", [0.5, 0.99]).join(ends, "method")
+    got = got.withColumnsRenamed({"q0": "med", "q1": "p99"})
     v1 = F.when(F.col("n") == 0, "unknown").when((F.col("lo") >= -10) & (F.col("p99") < 25) & (F.col("hi") <= 50), "log2").otherwise("linear")
     steep = (F.col("med") > 0) & (F.col("p99") / F.greatest("med", F.lit(1e-9)) > 50)
     v2 = (
@@ -409,7 +410,7 @@ def m06_scale_detection(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT src, round(quantile_cont(value, 0.1), 6) AS floor FROM m GROUP BY src", "m"))
 def m08_detection_floor(spark: SparkSession, d: str) -> DataFrame:
-    return roles.measurements(spark, d).groupBy("src").agg(F.round(F.percentile("value", F.lit(0.1)), 6).alias("floor"))
+    return aggregates.exact_quantiles(roles.measurements(spark, d), ["src"], "value", [0.1]).select("src", F.round("q0", 6).alias("floor"))
 
 
 @query(sql("SELECT feat, n_shared, round(platform_rho, 6) AS platform_rho, round(CASE WHEN isnan(platform_rho) THEN 1.0 ELSE least(greatest((platform_rho + 0.1) / 0.2, 0.0), 1.0) END, 6) AS confidence, CASE WHEN platform_rho >= 0.5 THEN 'consistent' WHEN platform_rho >= 0.3 THEN 'cautious' ELSE 'conflicting' END AS tier FROM (SELECT feat, count(*) AS n_shared, corr(ra, rb) AS platform_rho FROM rk GROUP BY feat HAVING count(*) >= 30)", "m", **_RANKED))
