@@ -155,8 +155,9 @@ def confidence_ramp(rho: Column, low: float, high: float) -> Column:
 
 
 def signs_disagree(a: Column, b: Column, least: float = 1.0) -> Column:
-    """Both beyond ``least`` and of opposite sign; NULL counts as no disagreement."""
-    return F.coalesce((F.abs(a) > least) & (F.abs(b) > least) & (F.signum(a) != F.signum(b)), F.lit(False))
+    """Both beyond ``least`` and of opposite sign; NULL and NaN count as no disagreement."""
+    known = ~F.isnan(a) & ~F.isnan(b)
+    return F.coalesce(known & (F.abs(a) > least) & (F.abs(b) > least) & (F.signum(a) != F.signum(b)), F.lit(False))
 
 
 def score_band(score: Column, high: float = 0.8, low: float = 0.5, names: Sequence[str] = ("likely_essential", "possibly_essential", "likely_non_essential")) -> Column:

@@ -38,15 +38,17 @@ def propagate_labels(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(entity, community) by synchronous label propagation on a weighted undirected graph.
 
     A declared stand-in for modularity optimisation: each round an entity takes the label of greatest
-    summed weight among its neighbours and itself, ties to the least label. Every round is cut, so
+    summed weight among its neighbours and itself (its own label weighs as its strongest edge, so that
+    pairs do not swap for ever), ties to the least label. Every round is cut, so
     neither lineage nor a lost executor repeats earlier ones; it stops when nothing changes.
     """
     both = edges.select(F.col("a").alias("x"), F.col("b").alias("y"), "w").unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"), "w"))
     graph = cut(both.groupBy("x", "y").agg(F.max("w").alias("w")))
+    strongest = graph.groupBy("x").agg(F.max("w").alias("w"))
     labels = graph.select("x").distinct().select(F.col("x").alias("entity"), F.col("x").alias("community"))
     for _ in range(rounds):
         votes = graph.join(labels, graph["y"] == labels["entity"]).groupBy("x", "community").agg(F.sum("w").alias("w"))
-        own = labels.select(F.col("entity").alias("x"), "community", F.lit(1e-9).alias("w"))
+        own = labels.withColumnRenamed("entity", "x").join(strongest, "x").select("x", "community", "w")
         votes = votes.unionByName(own).groupBy("x", "community").agg(F.sum("w").alias("w"))
         best = votes.groupBy("x").agg(F.min_by("community", F.struct(-F.round("w", 9), F.col("community"))).alias("community"))
         new = cut(best.select(F.col("x").alias("entity"), "community"))

@@ -72,12 +72,12 @@ def route(scores: DataFrame, mutations: DataFrame, fusions: DataFrame, cna: Data
 def tiers(flags: DataFrame, feature: str, top: float = 0.80) -> DataFrame:
     """``flags`` with ``score_rank_pct`` and ``confidence_tier``.
 
-    The direction of a driver follows the feature's role: losses count from the low end of the
-    percentile, gains (and role both) from the high end.
+    A driver that is a loss of function counts from the low end of the percentile, every other one (and
+    all of features with role both) from the high end.
     """
     ranked = flags.withColumn("score_rank_pct", percentile_rank([feature], "core_score"))
     pct, driver = F.col("score_rank_pct"), F.col("has_driver_alteration")
-    loss = F.coalesce(F.col("gene_role") == "tsg", F.lit(False))
+    loss = F.coalesce(F.col("is_lof_alteration") & (F.coalesce("gene_role", F.lit("")) != "both"), F.lit(False))
     directed = F.when(loss, pct <= 1 - top).otherwise(pct >= top)
     tier = (
         F.when(F.col("core_score").isNull(), "NO_EVIDENCE").when(driver & directed, "HIGH").when(driver, "CONTEXT").when(pct >= top, "MEDIUM").otherwise("LOW")

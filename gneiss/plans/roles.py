@@ -54,7 +54,7 @@ FULL JOIN cna c ON a.feat = c.feat AND a.ent = c.ent""",
   coalesce(gene_role IN ('tsg', 'both'), false) AND (has_cna_alteration OR (p_mutation >= 0.5 AND max_vep_rank >= 3)) AS is_lof_alteration FROM fl0 LEFT JOIN roles USING (feat)""",
     "pr": """SELECT *, CASE WHEN core_score IS NOT NULL THEN (rank() OVER (PARTITION BY feat ORDER BY core_score ASC NULLS LAST) + (count(*) OVER (PARTITION BY feat, core_score) - 1) / 2.0)
   / count(core_score) OVER (PARTITION BY feat) END AS pct FROM fl""",
-    "ti": """SELECT *, CASE WHEN core_score IS NULL THEN 'NO_EVIDENCE' WHEN has_driver_alteration AND CASE WHEN coalesce(gene_role = 'tsg', false) THEN pct <= 1 - CAST(0.8 AS DOUBLE) ELSE pct >= 0.8 END THEN 'HIGH'
+    "ti": """SELECT *, CASE WHEN core_score IS NULL THEN 'NO_EVIDENCE' WHEN has_driver_alteration AND CASE WHEN is_lof_alteration AND coalesce(gene_role, '') <> 'both' THEN pct <= 1 - CAST(0.8 AS DOUBLE) ELSE pct >= 0.8 END THEN 'HIGH'
   WHEN has_driver_alteration THEN 'CONTEXT' WHEN pct >= 0.8 THEN 'MEDIUM' ELSE 'LOW' END AS confidence_tier FROM pr""",
 }
 

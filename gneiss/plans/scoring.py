@@ -266,10 +266,10 @@ def w06_flat_rank(spark: SparkSession, d: str) -> DataFrame:
     return roles.scores(spark, d).select("feat", "ent", "score", ranks.order_rank(["feat"], "score", "ent").alias("flat_rank"))
 
 
-@query(sql("""SELECT feat, ent, row_number() OVER (PARTITION BY feat ORDER BY p DESC, ent) AS driver_rank FROM (SELECT feat, ent, CASE WHEN NOT has_driver_alteration THEN -1.0 WHEN coalesce(gene_role = 'tsg', false) THEN round(1 - pct, 9) ELSE round(pct, 9) END AS p FROM pr WHERE core_score IS NOT NULL)""", "pr"))
+@query(sql("""SELECT feat, ent, row_number() OVER (PARTITION BY feat ORDER BY p DESC, ent) AS driver_rank FROM (SELECT feat, ent, CASE WHEN NOT has_driver_alteration THEN -1.0 WHEN is_lof_alteration AND coalesce(gene_role, '') <> 'both' THEN round(1 - pct, 9) ELSE round(pct, 9) END AS p FROM pr WHERE core_score IS NOT NULL)""", "pr"))
 def w07_driver_rank(spark: SparkSession, d: str) -> DataFrame:
     f = flags(spark, d).where(F.col("core_score").isNotNull()).withColumn("pct", ranks.percentile_rank(["feat"], "core_score"))
-    loss = F.coalesce(F.col("gene_role") == "tsg", F.lit(False))
+    loss = F.col("is_lof_alteration") & (F.coalesce("gene_role", F.lit("")) != "both")
     p = F.when(~F.col("has_driver_alteration"), -1.0).when(loss, F.round(1 - F.col("pct"), 9)).otherwise(F.round("pct", 9))
     return f.withColumn("p", p).select("feat", "ent", ranks.order_rank(["feat"], "p", "ent").alias("driver_rank"))
 

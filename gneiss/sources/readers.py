@@ -78,8 +78,8 @@ def soft(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     ``!Sample_key = value`` lines, several values of a key joined by " | " in file order. Files
     without a sample id are failures.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.col("value").alias("text"), F.input_file_name().alias("src_file"))
-    found = F.expr(r"regexp_extract_all(text, '(?m)^!Sample_([A-Za-z0-9_]+)[ ]*=[ ]*([^\\r\\n]*)', 0)")
+    files = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), F.input_file_name().alias("src_file"))
+    found = F.regexp_extract_all("text", F.lit(r"(?m)^!Sample_[A-Za-z0-9_]+[ ]*=[^\r\n]*"), F.lit(0))
     pairs = F.transform(found, lambda x: F.struct(F.regexp_extract(x, r"^!Sample_([A-Za-z0-9_]+)", 1).alias("k"), F.trim(F.regexp_replace(x, r"^[^=]*=", "")).alias("v")))
     parsed = files.select("src_file", F.regexp_extract("text", r"(?m)\^SAMPLE[ ]*=[ ]*(\S+)", 1).alias("caret"), pairs.alias("pairs"))
     keys = F.array_distinct(F.transform("pairs", lambda p: p["k"]))
