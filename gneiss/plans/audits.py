@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gneiss.operators import aggregates, audits, clusters, combine, correlate, ranks, similarity, zscores
+from gneiss.operators import aggregates, audits, clusters, combine, correlate, ranks, serving, similarity, thresholds, zscores
 from gneiss.plans import roles
 from gneiss.plans.registry import Registry
 from gneiss.plans.roles import sql
@@ -332,3 +332,26 @@ def g29_kmeans_on_components(spark: SparkSession, d: str) -> DataFrame:
 @query(sql("SELECT round(corr(a, b), 6) AS r_ab, round(corr(a, c), 6) AS r_ac, count(*) AS n FROM wide", "m", **_PAIRED))
 def g50_source_independence(spark: SparkSession, d: str) -> DataFrame:
     return paired(spark, d).agg(F.round(F.corr("a", "b"), 6).alias("r_ab"), F.round(F.corr("a", "c"), 6).alias("r_ac"), F.count("*").alias("n"))
+
+
+# ------------------------------------------------------------------ thresholds and alternatives
+
+
+@query()
+def c08_agreement_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    """Bounds of platform agreement from null and matched correlations, with the rows that a correlation needs (M14)."""
+    m = cut(roles.measurements(spark, d))
+    least = thresholds.least_rows(0.9)
+    rho = thresholds.paired_correlations(m.where(F.col("src") == "A"), m.where(F.col("src") == "N"), "feat", "ent", "value", least)
+    return thresholds.agreement_bounds(rho).withColumns({"seed_overlap": F.lit(least), "critical_rho_44": F.lit(thresholds.critical_rho(44))})
+
+
+_ABLE = {"ab": "SELECT ent FROM sc WHERE feat IN ('Brand#11', 'Brand#22', 'Brand#7') AND score IS NOT NULL GROUP BY ent HAVING count(DISTINCT feat) = 3"}
+
+
+@query(sql("SELECT query AS ent, neighbour, rank, round(similarity, 6) AS similarity FROM (SELECT query, neighbour, similarity, row_number() OVER (PARTITION BY query ORDER BY round(similarity, 9) DESC, neighbour) AS rank FROM kn WHERE neighbour IN (SELECT ent FROM ab)) WHERE rank <= 5", "sc", **_knn(), **_ABLE))
+def q12_alternatives(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours that have a score for every feature of the query."""
+    knn = neighbours(spark, d).select(F.col("query").alias("ent"), "neighbour", F.round("similarity", 9).alias("similarity"))
+    got = serving.alternatives(knn, roles.scores(spark, d), roles.FEATURES, "feat", "ent", "score", 5)
+    return got.select("ent", "neighbour", "rank", *r6("similarity"))

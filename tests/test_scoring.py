@@ -10,7 +10,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from gneiss.operators import aggregates, audits, clusters, combine, correlate, evidence, ranks, reshape, resolve, serving, similarity, skew, zscores
+from gneiss.operators import aggregates, audits, clusters, combine, correlate, evidence, ranks, reshape, resolve, serving, similarity, skew, thresholds, zscores
 
 
 def frame(spark, values, feat="f", strat="s"):
@@ -221,3 +221,18 @@ def test_variants_collapse(spark):
     got = correlate.collapse_variants(spark.createDataFrame(data, "f string, p string, e string, v double"), "f", "p", "e", "v", 5, 0.3)
     by = {(r["f"], r["e"]): (r["value"], r["rollup"]) for r in got.collect()}
     assert by["one", "e3"] == (3.0, "single") and by["good", "e3"] == (4.0, "max") and by["bad", "e3"] == (0.0, "mean")
+
+
+def test_thresholds(spark):
+    assert thresholds.t_quantile(0.975, 10) == pytest.approx(2.2281388520, abs=1e-8)
+    assert thresholds.t_quantile(0.975, 1) == pytest.approx(12.7062047362, abs=1e-6)
+    assert thresholds.critical_rho(44) == pytest.approx(0.2973, abs=1e-3)
+    assert thresholds.least_rows(0.9) == 5 and thresholds.least_rows(0.0) == 300
+    rng = np.random.default_rng(0)
+    base = rng.normal(size=(6, 40))
+    a = [(f"f{g}", f"e{i}", float(base[g, i])) for g in range(6) for i in range(40)]
+    b = [(f"f{g}", f"e{i}", float(base[g, i] + rng.normal() * 0.3)) for g in range(6) for i in range(40)]
+    schema = "f string, e string, v double"
+    rho = thresholds.paired_correlations(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), "f", "e", "v", 5)
+    r = thresholds.agreement_bounds(rho).collect()[0]
+    assert (r["n_null"], r["n_matched"]) == (6, 6) and r["low"] < 0.5 < 0.8 < r["high"]
