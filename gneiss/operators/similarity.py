@@ -2,7 +2,8 @@
 
 Neighbours are searched for a stated query set: blocks of query vectors (bounded) are broadcast, every task
 keeps its own best k per query while it reads its rows, and the tasks' survivors are ranked together. No
-pair of rows is ever materialised beyond a task's best.
+pair of rows is ever materialised beyond a task's best. What describes all similarities (agreement of axes,
+resolution, separation) takes every (query, row) pair.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from gneiss.operators.reshape import keep_dense_features
 
 #: Query vectors of one broadcast block.
 QUERY_BLOCK = 2048
+#: Pairs of one piece that a task compares at a time.
+PAIR_BLOCK = 1_000_000
 
 
 def prepare(long: DataFrame, entity: str, feature: str, value: str, most_missing: float = 0.20) -> DataFrame:
@@ -59,7 +62,7 @@ def _unit(rows: np.ndarray, centre: bool) -> np.ndarray:
 
 
 def _best(batches: Iterator[pa.RecordBatch], shared, k: int, centre: bool) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-    ids, units, kind = shared.value
+    ids, (units,), kind, _ = shared.value
     held_sim = np.full((len(ids), 0), -np.inf)
     held_id = np.zeros((len(ids), 0), dtype=object)
     for batch in batches:
@@ -85,37 +88,97 @@ def _best(batches: Iterator[pa.RecordBatch], shared, k: int, centre: bool) -> It
         )
 
 
-def nearest(base: DataFrame, queries: DataFrame, entity: str, vector: str, k: int = 25, centre: bool = False) -> DataFrame:
-    """(query, neighbour, rank, similarity): the k nearest rows of ``base`` by cosine (centred: Pearson).
+def _blocks(base: DataFrame, queries: DataFrame, entity: str, vectors: Sequence[str], centre: bool, extra: Sequence[str] = ()) -> Iterator[tuple[object, DataFrame]]:
+    """For each block of queries what is broadcast of it, (ids, unit vectors of each of ``vectors``, id type, extras), and the rows of ``base`` to compare.
 
-    ``queries`` is the stated query set, taken in blocks; a row is no neighbour of itself. Vectors of
-    another length than the first query's, NULL vectors and NULL ids take no part; a zero vector has
-    similarity 0 with all. Ties go to the least neighbour.
+    Vectors of another length than the first query's, NULL vectors and NULL ids take no part.
     """
     spark, kind = base.sparkSession, base.schema[entity].dataType
-    asked = queries.select(entity, vector).where(F.col(entity).isNotNull() & F.col(vector).isNotNull()).distinct()
-    total = asked.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    found = None
+    asked = queries.select(entity, *vectors, *extra).where(F.col(entity).isNotNull())
+    for v in vectors:
+        asked = asked.where(F.col(v).isNotNull())
+    asked = asked.distinct()
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     for b in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(entity), F.lit(blocks)) == b)
         rows = sorted(part.collect(), key=lambda r: r[0])
         if not rows:
             continue
-        size = len(rows[0][1])
-        rows = [r for r in rows if len(r[1]) == size]
+        sizes = [len(rows[0][v]) for v in vectors]
+        rows = [r for r in rows if [len(r[v]) for v in vectors] == sizes]
         ids = np.array([r[0] for r in rows], dtype=object)
+        units = [_unit(np.array([r[v] for r in rows], dtype=float), centre) for v in vectors]
         arrow = pa.string() if kind.typeName() == "string" else pa.int64() if kind.typeName() in ("long", "bigint") else pa.int32()
-        shared = spark.sparkContext.broadcast((ids, _unit(np.array([r[1] for r in rows], dtype=float), centre), arrow))
-        usable = base.select(entity, F.col(vector).cast("array<double>").alias("v")).where(F.col(entity).isNotNull() & (F.size("v") == size))
-        got = usable.mapInArrow(partial(_best, shared=shared, k=k, centre=centre), f"query {kind.simpleString()}, neighbour {kind.simpleString()}, similarity double")
+        shared = spark.sparkContext.broadcast((ids, units, arrow, [[r[x] for r in rows] for x in extra]))
+        usable = base.select(entity, *[F.col(v).cast("array<double>").alias(f"v{i}") for i, v in enumerate(vectors)], *extra).where(F.col(entity).isNotNull())
+        for i, size in enumerate(sizes):
+            usable = usable.where(F.size(f"v{i}") == size)
+        yield shared, usable
+
+
+def nearest(base: DataFrame, queries: DataFrame, entity: str, vector: str, k: int = 25, centre: bool = False) -> DataFrame:
+    """(query, neighbour, rank, similarity): the k nearest rows of ``base`` by cosine (centred: Pearson).
+
+    ``queries`` is the stated query set, taken in blocks; a row is no neighbour of itself. Vectors of
+    another length than the first query's, NULL vectors and NULL ids take no part; a zero vector has
+    similarity 0 with all. Ties go to the least neighbour.
+    """
+    name = base.schema[entity].dataType.simpleString()
+    found = None
+    for shared, usable in _blocks(base, queries, entity, [vector], centre):
+        got = usable.mapInArrow(partial(_best, shared=shared, k=k, centre=centre), f"query {name}, neighbour {name}, similarity double")
         found = got if found is None else found.unionByName(got)
     if found is None:
-        return spark.createDataFrame([], f"query {kind.simpleString()}, neighbour {kind.simpleString()}, rank int, similarity double")
+        return base.sparkSession.createDataFrame([], f"query {name}, neighbour {name}, rank int, similarity double")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 12)), F.asc("neighbour")))
     return found.select("query", "neighbour", place.alias("rank"), "similarity").where(F.col("rank") <= k)
 
 
+def _compared(batches: Iterator[pa.RecordBatch], ids: np.ndarray, units: list[np.ndarray], centre: bool) -> Iterator[tuple[list[np.ndarray], np.ndarray, pa.RecordBatch]]:
+    """Pieces of the rows: similarities with every query on every axis, which of them are pairs, and the piece.
+
+    A row is no pair with itself, nor is one whose similarity is undefined on an axis.
+    """
+    step = max(1, PAIR_BLOCK // len(ids))
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            piece = batch.slice(at, step)
+            names = np.array(piece.column(0).to_pylist(), dtype=object)
+            sims = [u @ _unit(piece.column(1 + i).flatten().to_numpy(zero_copy_only=False).reshape(piece.num_rows, -1), centre).T for i, u in enumerate(units)]
+            there = ids[:, None] != names[None, :]
+            for sim in sims:
+                there &= np.isfinite(sim)
+            yield sims, there, piece
+
+
+def _co_moments(batches: Iterator[pa.RecordBatch], shared, centre: bool) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    ids, units, _, _ = shared.value
+    n, sums = 0, np.zeros(5)
+    for (a, b), there, _ in _compared(batches, ids, units, centre):
+        x, y = a[there], b[there]
+        n += len(x)
+        sums += [x.sum(), y.sum(), x @ x, y @ y, x @ y]
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (n, *sums.tolist())], ["n", "x", "y", "xx", "yy", "xy"])
+
+
+def axis_correlation(base: DataFrame, queries: DataFrame, entity: str, first: str, second: str, centre: bool = False) -> DataFrame:
+    """(n, r): correlation of the similarities on two axes over every (query, base row) pair that both measure.
+
+    A task yields only its sums, so no pair is shuffled. r is NULL where an axis does not vary.
+    """
+    fields = "n bigint, x double, y double, xx double, yy double, xy double"
+    found = base.sparkSession.createDataFrame([], fields)
+    for shared, usable in _blocks(base, queries, entity, [first, second], centre):
+        found = found.unionByName(usable.mapInArrow(partial(_co_moments, shared=shared, centre=centre), fields))
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[F.sum(c).alias(c) for c in ("x", "y", "xx", "yy", "xy")])
+    n, x, y = F.col("n"), F.col("x"), F.col("y")
+    vx, vy = F.col("xx") - x * x / n, F.col("yy") - y * y / n
+    # what rounding leaves of the variance of equal similarities is no variance
+    r = F.when((vx > 1e-12 * F.col("xx")) & (vy > 1e-12 * F.col("yy")), (F.col("xy") - x * y / n) / F.sqrt(vx * vy))
+    return total.select("n", F.when(n > 1, r).alias("r"))
+
+
 def purity(knn: DataFrame, labels: DataFrame, entity: str, label: str) -> DataFrame:
     """One row: share of neighbours of the query's label, the share expected by chance, and their ratio."""
     own = labels.select(F.col(entity).alias("query"), F.col(label).alias("__q"))

@@ -21,14 +21,22 @@ K = 10
 # ------------------------------------------------------------------ similarity
 
 
-def neighbours(spark: SparkSession, d: str, half: int | None = None) -> DataFrame:
-    """The K nearest embeddings of every id divisible by 50, against all; ``half`` takes half of the dimensions."""
+def embedded(spark: SparkSession, d: str) -> DataFrame:
+    """(vec_id, v, v0, v1, label): the embeddings and their two halves of dimensions, the axes."""
     e = table(spark, d, "embeddings").where(F.col("embedding").isNotNull())
     v = F.transform("embedding", lambda x: x.cast("double"))
-    if half is not None:
-        v = F.slice(v, 1 + 32 * half, 32)
-    e = e.select("vec_id", v.alias("v"), "label")
-    return similarity.nearest(e, e.where(F.col("vec_id") % 50 == 0), "vec_id", "v", K)
+    return e.select("vec_id", v.alias("v"), *[F.slice(v, 1 + 32 * i, 32).alias(f"v{i}") for i in (0, 1)], "label")
+
+
+def asked(e: DataFrame) -> DataFrame:
+    """The stated query set: every id divisible by 50."""
+    return e.where(F.col("vec_id") % 50 == 0)
+
+
+def neighbours(spark: SparkSession, d: str, half: int | None = None) -> DataFrame:
+    """The K nearest embeddings of every id divisible by 50, against all; ``half`` takes half of the dimensions."""
+    e = embedded(spark, d)
+    return similarity.nearest(e, asked(e), "vec_id", "v" if half is None else f"v{half}", K)
 
 
 def labels(spark: SparkSession, d: str) -> DataFrame:
@@ -69,8 +77,9 @@ def u07_cross_axis_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT count(*) AS n, round(corr(k0.similarity, k1.similarity), 6) AS r FROM k0 JOIN k1 USING (query, neighbour)", **_HALVES))
 def g03_axis_correlation(spark: SparkSession, d: str) -> DataFrame:
-    a, b = (neighbours(spark, d, i).select("query", "neighbour", F.col("similarity").alias(f"s{i}")) for i in (0, 1))
-    return a.join(b, ["query", "neighbour"]).agg(F.count("*").alias("n"), F.round(F.corr("s0", "s1"), 6).alias("r"))
+    """Over every pair of the query set; the SQL still takes the pairs in both top-K lists only."""
+    e = embedded(spark, d)
+    return similarity.axis_correlation(e, asked(e), "vec_id", "v0", "v1").select("n", *r6("r"))
 
 
 @query(sql("""SELECT round(purity, 6) AS purity, round(base, 6) AS base_rate, round(purity / base, 6) AS enrichment FROM (SELECT avg(CAST(a.label = b.label AS DOUBLE)) AS purity FROM kn JOIN embeddings a ON query = a.vec_id JOIN embeddings b ON neighbour = b.vec_id),
