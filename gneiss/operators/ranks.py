@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions.stats import with_phi_inverse
+from gneiss.session import cut
 
 
 def average_rank(by: Sequence[str], value: str, ascending: bool = True) -> Column:
@@ -93,3 +94,20 @@ def auroc(df: DataFrame, by: Sequence[str], score: str, positive: str) -> DataFr
     )
     pairs = F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0))
     return got.withColumn("auroc", (F.col("__s") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0) / pairs).drop("__s")
+
+
+def auroc_of_all(df: DataFrame, score: str, positive: str) -> DataFrame:
+    """(n_pos, n_neg, auroc) of the whole table, of any size: distinct scores range-sorted over all tasks.
+
+    A piece counts the wins over its own negatives; those of the pieces before it come from one row per
+    piece. NULL without both classes.
+    """
+    known = df.where(F.col(score).isNotNull() & F.col(positive).isNotNull())
+    each = known.groupBy(score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
+    pieces = cut(each.repartitionByRange(score).withColumn("__p", F.spark_partition_id()))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = pieces.withColumn("__b", before(Window.partitionBy("__p").orderBy(score)))
+    sums = own.groupBy("__p").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(F.col("p") * (F.col("__b") + F.col("n") / 2.0)).alias("__w"))
+    wins = F.col("__w") + F.col("p").cast("double") * before(Window.orderBy("__p"))  # one row per piece
+    got = sums.select("p", "n", wins.alias("__w")).agg(F.coalesce(F.sum("p"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_neg"), F.sum("__w").alias("__w"))
+    return got.select("n_pos", "n_neg", (F.col("__w") / F.nullif(F.col("n_pos").cast("double") * F.col("n_neg"), F.lit(0.0))).alias("auroc"))

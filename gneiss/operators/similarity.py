@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.operators.ranks import average_rank, auroc
+from gneiss.operators.aggregates import exact_quantiles
+from gneiss.operators.ranks import auroc_of_all, average_rank
 from gneiss.operators.reshape import keep_dense_features
 
 #: Query vectors of one broadcast block.
@@ -162,6 +163,32 @@ def _co_moments(batches: Iterator[pa.RecordBatch], shared, centre: bool) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (n, *sums.tolist())], ["n", "x", "y", "xx", "yy", "xy"])
 
 
+def _pairs(batches: Iterator[pa.RecordBatch], shared, centre: bool) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    ids, units, kind, _ = shared.value
+    for (sim,), there, _ in _compared(batches, ids, units, centre):
+        rows = np.nonzero(there)[0]
+        if len(rows):
+            yield pa.RecordBatch.from_arrays([pa.array(list(ids[rows]), kind), pa.array(sim[there])], ["query", "similarity"])
+
+
+def _labelled(batches: Iterator[pa.RecordBatch], shared, centre: bool) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    ids, units, _, (labels,) = shared.value
+    own = np.array(labels, dtype=object)
+    for (sim,), there, piece in _compared(batches, ids, units, centre):
+        other = np.array(piece.column(2).to_pylist(), dtype=object)
+        if there.any():
+            yield pa.RecordBatch.from_arrays([pa.array(sim[there]), pa.array((own[:, None] == other[None, :])[there].astype(bool))], ["similarity", "same"])
+
+
+def all_pairs(base: DataFrame, queries: DataFrame, entity: str, vector: str, centre: bool = False) -> DataFrame:
+    """(query, similarity) of every pair of a query and another row of ``base``: queries x rows of them, never held by a task."""
+    fields = f"query {base.schema[entity].dataType.simpleString()}, similarity double"
+    found = base.sparkSession.createDataFrame([], fields)
+    for shared, usable in _blocks(base, queries, entity, [vector], centre):
+        found = found.unionByName(usable.mapInArrow(partial(_pairs, shared=shared, centre=centre), fields))
+    return found
+
+
 def axis_correlation(base: DataFrame, queries: DataFrame, entity: str, first: str, second: str, centre: bool = False) -> DataFrame:
     """(n, r): correlation of the similarities on two axes over every (query, base row) pair that both measure.
 
@@ -207,19 +234,30 @@ def cross_axis(axes: dict[str, DataFrame]) -> DataFrame:
     return got.where(F.col("n_axes") > 1)
 
 
-def resolution(knn: DataFrame) -> DataFrame:
-    """One row: quantiles of the similarities, and how far the nearest neighbour stands out."""
-    q = F.percentile("similarity", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)))
-    first = F.median(F.when(F.col("rank") == 1, F.col("similarity")))
-    return knn.agg(q[0].alias("p01"), q[1].alias("p50"), q[2].alias("p99"), (first - q[1]).alias("nearest_gap"))
+def resolution(base: DataFrame, queries: DataFrame, entity: str, vector: str, centre: bool = False) -> DataFrame:
+    """One row: quantiles of all similarities, and the median over queries of how far the best stands above the query's own median.
 
+    Quantiles are exact, from range-sorted pieces.
+    """
+    pairs = all_pairs(base, queries, entity, vector, centre)
+    whole = exact_quantiles(pairs.select(F.lit("all").alias("pairs"), "similarity"), ["pairs"], "similarity", [0.01, 0.5, 0.99])
+    own = exact_quantiles(pairs, ["query"], "similarity", [0.5])
+    best = pairs.groupBy("query").agg(F.max("similarity").alias("best"))
+    gap = own.join(best, "query").agg(F.median(F.col("best") - F.col("q0")).alias("nearest_gap"))  # one value per query
+    return gap.join(F.broadcast(whole), how="left").select(F.col("q0").alias("p01"), F.col("q1").alias("p50"), F.col("q2").alias("p99"), "nearest_gap")  # one row each
 
-def separation(pairs: DataFrame, labels: DataFrame, entity: str, label: str) -> DataFrame:
-    """One row: AUROC of similarity for pairs of equal label among ``pairs`` (query, neighbour, similarity)."""
-    own = labels.select(F.col(entity).alias("query"), F.col(label).alias("__q"))
-    other = labels.select(F.col(entity).alias("neighbour"), F.col(label).alias("__n"))
-    rows = pairs.join(own, "query").join(other, "neighbour").select("similarity", (F.col("__q") == F.col("__n")).alias("same"), F.lit("all").alias("pairs"))
-    return auroc(rows, ["pairs"], "similarity", "same")
+
+def separation(base: DataFrame, queries: DataFrame, entity: str, vector: str, label: str, centre: bool = False) -> DataFrame:
+    """One row: AUROC of similarity for equal labels over every pair of a query and another row of ``base``.
+
+    Rows without a label make no pair. Similarities tie at 12 digits.
+    """
+    fields = "similarity double, same boolean"
+    found = base.sparkSession.createDataFrame([], fields)
+    known = F.col(label).isNotNull()
+    for shared, usable in _blocks(base.where(known), queries.where(known), entity, [vector], centre, [label]):
+        found = found.unionByName(usable.mapInArrow(partial(_labelled, shared=shared, centre=centre), fields))
+    return auroc_of_all(found.select(F.round("similarity", 12).alias("similarity"), "same"), "similarity", "same")
 
 
 def confusion(knn: DataFrame, labels: DataFrame, entity: str, label: str) -> DataFrame:

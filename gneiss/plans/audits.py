@@ -59,7 +59,9 @@ def g01_nearest_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT round(quantile_cont(similarity, 0.01), 6) AS p01, round(quantile_cont(similarity, 0.5), 6) AS p50, round(quantile_cont(similarity, 0.99), 6) AS p99, round(median(similarity) FILTER (WHERE rank = 1) - quantile_cont(similarity, 0.5), 6) AS nearest_gap FROM kn", **_knn()))
 def g02_resolution(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.resolution(neighbours(spark, d)).select(*r6("p01", "p50", "p99", "nearest_gap"))
+    """Over every pair of the query set; the SQL still takes the top K only."""
+    e = embedded(spark, d)
+    return similarity.resolution(e, asked(e), "vec_id", "v").select(*r6("p01", "p50", "p99", "nearest_gap"))
 
 
 _HALVES = {"k0": _knn("[1:32]")["kn"], "k1": _knn("[33:64]")["kn"]}
@@ -91,7 +93,9 @@ def g06_neighbour_purity(spark: SparkSession, d: str) -> DataFrame:
 @query(sql("""SELECT CAST(sum(CAST(same AS INTEGER)) AS BIGINT) AS n_pos, CAST(sum(CAST(NOT same AS INTEGER)) AS BIGINT) AS n_neg, round((sum(CASE WHEN same THEN r END) - n1 * (n1 + 1) / 2.0) / nullif(n1 * n0, 0), 6) AS auroc FROM (SELECT *, rank() OVER (ORDER BY similarity) + (count(*) OVER (PARTITION BY similarity) - 1) / 2.0 AS r,
 count(*) FILTER (WHERE same) OVER () AS n1, count(*) FILTER (WHERE NOT same) OVER () AS n0 FROM (SELECT similarity, a.label = b.label AS same FROM kn JOIN embeddings a ON query = a.vec_id JOIN embeddings b ON neighbour = b.vec_id)) GROUP BY n1, n0""", **_knn()))
 def g07_separation_auroc(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.separation(neighbours(spark, d), labels(spark, d), "vec_id", "label").select("n_pos", "n_neg", *r6("auroc"))
+    """Over every pair of the query set; the SQL still takes the top K only."""
+    e = embedded(spark, d)
+    return similarity.separation(e, asked(e), "vec_id", "v", "label").select("n_pos", "n_neg", *r6("auroc"))
 
 
 @query(sql("SELECT a.label AS query_label, b.label AS neighbour_label, count(*) AS n FROM kn JOIN embeddings a ON query = a.vec_id JOIN embeddings b ON neighbour = b.vec_id WHERE rank = 1 AND a.label <> b.label GROUP BY ALL", **_knn()))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gneiss.operators import similarity
+from gneiss.operators import ranks, similarity
 
 
 def sample(spark, n=90, size=8, seed=3):
@@ -35,3 +35,35 @@ def test_axis_correlation_takes_every_pair(spark, monkeypatch, block):
     x, y = zip(*[(a[i, j], b[i, j]) for i, j in pairs_of(90)], strict=True)
     assert got["n"] == 9 * 89 and got["r"] == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-12)
     assert similarity.axis_correlation(df, df.where("id < 0"), "id", "a", "b").collect()[0]["n"] == 0
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_resolution_takes_every_pair(spark, monkeypatch, block):
+    monkeypatch.setattr(similarity, "QUERY_BLOCK", block)
+    v, df = sample(spark)
+    got = similarity.resolution(df, df.where("id % 10 = 0"), "id", "v").collect()
+    s = cosines(v)
+    every = [s[i, j] for i, j in pairs_of(90)]
+    gaps = [np.max(own) - np.median(own) for i in range(0, 90, 10) for own in [np.delete(s[i], i)]]
+    assert [tuple(r) for r in got] == [pytest.approx((*np.percentile(every, [1, 50, 99]), np.median(gaps)), abs=1e-12)]
+
+
+def test_separation_takes_every_pair(spark):
+    v, df = sample(spark)
+    df = df.unionByName(spark.createDataFrame([(200, [1.0] * 8, None)], "id long, v array<double>, label int"))
+    got = similarity.separation(df, df.where("id % 10 = 0"), "id", "v", "label").collect()[0]
+    s = cosines(v).round(12)
+    same = [s[i, j] for i, j in pairs_of(90) if i % 3 == j % 3]
+    other = [s[i, j] for i, j in pairs_of(90) if i % 3 != j % 3]
+    want = np.mean([(a > b) + 0.5 * (a == b) for a in same for b in other])
+    assert (got["n_pos"], got["n_neg"]) == (len(same), len(other)) and got["auroc"] == pytest.approx(want, abs=1e-12)
+
+
+def test_auroc_of_all_with_ties_over_pieces(spark):
+    rng = np.random.default_rng(5)
+    score, label = rng.integers(0, 40, 500) / 8.0, rng.random(500) < 0.4
+    df = spark.createDataFrame([(float(s), bool(p)) for s, p in zip(score, label, strict=True)] + [(None, True), (1.0, None)], "s double, p boolean")
+    got = ranks.auroc_of_all(df.repartition(6), "s", "p").collect()[0]
+    want = np.mean([(a > b) + 0.5 * (a == b) for a in score[label] for b in score[~label]])
+    assert (got["n_pos"], got["n_neg"]) == (label.sum(), (~label).sum()) and got["auroc"] == pytest.approx(want)
+    assert tuple(ranks.auroc_of_all(df.where("p"), "s", "p").collect()[0])[2] is None
