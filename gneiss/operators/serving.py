@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions.stats import argmin_name, selectivity, strict_min
+from gneiss.operators.similarity import nearest
 
 DIGITS = 6
 
@@ -89,15 +90,28 @@ def detail(scores: DataFrame, wanted: str, entity_value: object, feature: str, e
     return own.join(F.broadcast(counts)).select(entity, F.round("__s", DIGITS).alias("score"), (F.col("__h") + 1).alias("rank"), "total")
 
 
+def able(scores: DataFrame, features: Sequence[str], feature: str, entity: str, score: str) -> DataFrame:
+    """(entity) of those with a score for every feature of the query."""
+    counted = scores.where(F.col(feature).isin(*features) & F.col(score).isNotNull()).groupBy(entity).agg(F.count_distinct(feature).alias("__f"))
+    return counted.where(F.col("__f") == len(set(features))).select(entity)
+
+
 def alternatives(neighbours: DataFrame, scores: DataFrame, features: Sequence[str], feature: str, entity: str, score: str, n: int = 5) -> DataFrame:
-    """(entity, neighbour, rank, similarity): up to ``n`` neighbours with a score for every feature of the query."""
-    able = scores.where(F.col(feature).isin(*features) & F.col(score).isNotNull()).groupBy(entity).agg(F.count_distinct(feature).alias("__f"))
-    able = able.where(F.col("__f") == len(set(features))).select(F.col(entity).alias("neighbour"))
-    kept = neighbours.join(able, "neighbour", "left_semi")
+    """(entity, neighbour, rank, similarity): up to ``n`` of the given neighbours with a score for every feature of the query.
+
+    A list that was cut before holds only the able ones of its best; ``nearest_able`` finds the nearest of all.
+    """
+    kept = neighbours.join(able(scores, features, feature, entity, score).withColumnRenamed(entity, "neighbour"), "neighbour", "left_semi")
     place = F.row_number().over(Window.partitionBy(entity).orderBy(F.desc("similarity"), F.asc("neighbour")))
     return kept.select(entity, "neighbour", place.alias("rank"), "similarity").where(F.col("rank") <= n)
 
 
+def nearest_able(base: DataFrame, queries: DataFrame, key: str, vector: str, scores: DataFrame, features: Sequence[str], feature: str, entity: str, score: str, n: int = 5) -> DataFrame:
+    """(entity, neighbour, rank, similarity): the ``n`` nearest of all rows of ``base`` with a score for every feature of the query."""
+    candidates = base.join(able(scores, features, feature, entity, score).withColumnRenamed(entity, key), key, "left_semi")
+    return nearest(candidates, queries, key, vector, n).select(F.col("query").alias(entity), "neighbour", "rank", "similarity")
+
+
 def truth(value: Column, threshold: float, band: float = 0.0) -> Column:
     """Whether a value exceeds a threshold; NULL where it is unmeasured or within ``band`` of it."""
     return F.when(F.abs(value - threshold) > band, value > threshold) if band else value > threshold

@@ -364,7 +364,7 @@ _ABLE = {"ab": "SELECT ent FROM sc WHERE feat IN ('Brand#11', 'Brand#22', 'Brand
 
 @query(sql("SELECT query AS ent, neighbour, rank, round(similarity, 6) AS similarity FROM (SELECT query, neighbour, similarity, row_number() OVER (PARTITION BY query ORDER BY round(similarity, 9) DESC, neighbour) AS rank FROM kn WHERE neighbour IN (SELECT ent FROM ab)) WHERE rank <= 5", "sc", **_knn(), **_ABLE))
 def q12_alternatives(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbours that have a score for every feature of the query."""
-    knn = neighbours(spark, d).select(F.col("query").alias("ent"), "neighbour", F.round("similarity", 9).alias("similarity"))
-    got = serving.alternatives(knn, roles.scores(spark, d), roles.FEATURES, "feat", "ent", "score", 5)
+    """The nearest of all that have a score for every feature of the query; the SQL still filters the top K only."""
+    e = embedded(spark, d)
+    got = serving.nearest_able(e, asked(e), "vec_id", "v", roles.scores(spark, d), roles.FEATURES, "feat", "ent", "score", 5)
     return got.select("ent", "neighbour", "rank", *r6("similarity"))

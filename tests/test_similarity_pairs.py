@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gneiss.operators import ranks, similarity
+from gneiss.operators import ranks, serving, similarity
 
 
 def sample(spark, n=90, size=8, seed=3):
@@ -67,3 +67,15 @@ def test_auroc_of_all_with_ties_over_pieces(spark):
     want = np.mean([(a > b) + 0.5 * (a == b) for a in score[label] for b in score[~label]])
     assert (got["n_pos"], got["n_neg"]) == (label.sum(), (~label).sum()) and got["auroc"] == pytest.approx(want)
     assert tuple(ranks.auroc_of_all(df.where("p"), "s", "p").collect()[0])[2] is None
+
+
+def test_nearest_able_looks_beyond_the_first_neighbours(spark):
+    v, df = sample(spark)
+    fit = [i for i in range(90) if i % 7 == 0]
+    scores = spark.createDataFrame([(i, f, 0.5) for i in fit for f in "ab"] + [(i, "a", 0.9) for i in range(90)] + [(8, "b", None)], "ent long, feat string, score double")
+    got = serving.nearest_able(df, df.where("id % 10 = 0"), "id", "v", scores, ["a", "b"], "feat", "ent", "score", 5).collect()
+    s = cosines(v)
+    for q in range(0, 90, 10):
+        want = sorted((-round(s[q, j], 12), j) for j in fit if j != q)[:5]
+        assert [r["neighbour"] for r in sorted((r for r in got if r["ent"] == q), key=lambda r: r["rank"])] == [j for _, j in want]
+    assert len(got) == 45
