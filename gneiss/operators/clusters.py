@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.operators.similarity import _unit
 from gneiss.session import cut
 
-#: Entities that the driver-side linkage takes; the entity dimension of the scores is well below it.
+#: Entities that the driver-side linkage of a similarity matrix takes; ``average_linkage_of`` needs no matrix.
 MOST_LINKED = 5_000
 
 
@@ -34,6 +36,72 @@ def average_linkage(similarity: np.ndarray, n_clusters: int) -> np.ndarray:
     return np.unique(owner, return_inverse=True)[1]
 
 
+def average_linkage_of(units: np.ndarray, n_clusters: int) -> np.ndarray:
+    """Labels 0.. of average-linkage clusters of unit vectors at distance 1 - cosine.
+
+    The mean similarity of two clusters is the product of their mean vectors, so there is one vector per
+    cluster and no matrix of pairs; a nearest-neighbour chain finds the merges in about 3 n products of
+    n x dimensions. The tree is that of the greedy order; equal similarities may merge in another order.
+    """
+    n = len(units)
+    mean, size, height, alive = units.astype(float), np.ones(n), np.zeros(n), np.ones(n, dtype=bool)
+    chain: list[int] = []
+    merges: list[tuple[float, int, int]] = []
+    first = 0
+    while len(merges) < n - 1:
+        if not chain:
+            while not alive[first]:
+                first += 1
+            chain.append(first)
+        a = chain[-1]
+        sim = mean @ mean[a]
+        sim[~alive] = -np.inf
+        sim[a] = -np.inf
+        b = int(np.argmax(sim))
+        # nearly equal is equal: the chain turns back, so that rounding cannot lead it in a circle
+        if len(chain) < 2 or sim[chain[-2]] < sim[b] - 1e-12:
+            chain.append(b)
+            continue
+        b = chain[-2]
+        del chain[-2:]
+        low, high = min(a, b), max(a, b)
+        height[low] = max(1.0 - sim[b], height[a], height[b])
+        merges.append((float(height[low]), low, high))
+        mean[low] = (size[a] * mean[a] + size[b] * mean[b]) / (size[a] + size[b])
+        size[low] = size[a] + size[b]
+        alive[high] = False
+    owner = np.arange(n)
+
+    def root(i: int) -> int:
+        while owner[i] != i:
+            owner[i] = i = owner[owner[i]]
+        return i
+
+    # lowest merges first; the sort is stable, so a merge comes after those it builds on
+    for _, a, b in sorted(merges, key=lambda m: m[0])[: max(0, n - n_clusters)]:
+        a, b = root(a), root(b)
+        owner[max(a, b)] = min(a, b)
+    return np.unique([root(i) for i in range(n)], return_inverse=True)[1]
+
+
+def link_entities(df: DataFrame, entity: str, vector: str, n_clusters: int) -> DataFrame:
+    """(entity, cluster) of average linkage of the entities themselves by cosine, linked by the driver from their vectors.
+
+    NULL vectors, NULL ids and vectors of another length than the least entity's take no part.
+    """
+    kind = df.schema[entity].dataType.simpleString()
+    rows = df.select(F.col(entity).alias("e"), F.col(vector).cast("array<double>").alias("v")).where(F.col(entity).isNotNull() & F.col(vector).isNotNull())
+    got = rows.toArrow().sort_by("e").combine_chunks()
+    if got.num_rows:
+        lengths = got["v"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+        got = got.filter(pa.array(lengths == lengths[0])).combine_chunks()
+    if not got.num_rows:
+        return df.sparkSession.createDataFrame([], f"{entity} {kind}, cluster int")
+    flat = got["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(got.num_rows, -1)
+    labels = average_linkage_of(_unit(flat, False), n_clusters)
+    return df.sparkSession.createDataFrame(list(zip(got["e"].to_pylist(), labels.tolist(), strict=True)), f"{entity} {kind}, cluster int")
+
+
 def propagate_labels(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(entity, community) by synchronous label propagation on a weighted undirected graph.
 

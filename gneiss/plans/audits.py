@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -320,13 +319,8 @@ def g27_cluster_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def g25_average_linkage(spark: SparkSession, d: str) -> DataFrame:
-    """Average-linkage clusters of the labels' mean embeddings: few rows, linked by the driver."""
-    e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
-    mean = e.groupBy("label", "i").agg(F.avg("x").alias("x"))
-    rows = sorted(similarity.vectors(mean, "label", "i", "x").collect())  # one row per label
-    v = similarity._unit(np.array([r["vector"] for r in rows]), False)
-    got = clusters.average_linkage(v @ v.T, 4)
-    return spark.createDataFrame([(int(r["label"]), int(c)) for r, c in zip(rows, got, strict=True)], "label int, cluster int")
+    """Average-linkage clusters of the embedded entities themselves."""
+    return clusters.link_entities(table(spark, d, "embeddings"), "vec_id", "embedding", 4)
 
 
 @query()
