@@ -1,7 +1,7 @@
 """Mix sources to target shares of the total size.
 
-Every document has a hash in [0, 1024^3). A source's documents below a hash threshold are the ones that
-get one repeat more; thresholds for larger budgets include those of smaller ones. The threshold is
+Every text has a hash in [0, 1024^3), the same for all its copies. A source's texts below a hash threshold
+are the ones that get one repeat more; thresholds for larger budgets include those of smaller ones. The threshold is
 found by histograms: tokens by (source, first 1024 buckets), then only the bucket on the boundary again
 by its next 1024, and once more. Histograms are sums before the shuffle; nothing is sorted by hash.
 """
@@ -54,46 +54,58 @@ def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if len(rows.limit(MOST_SOURCES + 1).take(MOST_SOURCES + 1)) <= MOST_SOURCES else rows
 
 
-def sized(docs: DataFrame, doc_id: Column, source: Column, tokens: Column) -> DataFrame:
-    """(doc_id, source, tokens, h) of every document, written once since four passes read it."""
-    base = docs.select(doc_id.alias("doc_id"), source.alias("source"), tokens.alias("tokens"))
-    hashed = base.withColumn("h", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix")), F.lit(FANOUT**LEVELS)))
-    return written(hashed)
+def sized(docs: DataFrame, doc_id: Column, source: Column, tokens: Column, text: Column | None = None) -> DataFrame:
+    """(doc_id, source, tokens, h, copy, copies) of every document, written once since four passes read it.
+
+    With ``text``, copies of a text in one source share their hash and are numbered from 0 by doc_id; a
+    document without text, and without ``text`` every document, is the only copy of its own.
+    """
+    own = doc_id.cast("string")
+    # the first letter keeps ids and digests apart
+    key = F.concat(F.lit("i"), own) if text is None else F.when(F.length(text) > 0, F.concat(F.lit("t"), F.sha2(text, 256))).otherwise(F.concat(F.lit("i"), own))
+    base = docs.select(doc_id.alias("doc_id"), source.alias("source"), tokens.alias("tokens"), key.alias("key"))
+    hashed = base.withColumn("h", F.pmod(F.xxhash64("key" if text is not None else F.col("doc_id").cast("string"), F.lit("mix")), F.lit(FANOUT**LEVELS)))
+    if text is None:
+        return written(hashed.withColumns({"copy": F.lit(0), "copies": F.lit(1)}).drop("key"))
+    same = Window.partitionBy("source", "key")
+    numbered = hashed.withColumns({"copy": F.row_number().over(same.orderBy("doc_id")) - 1, "copies": F.count("*").over(same)})
+    return written(numbered.drop("key"))
 
 
 def budgets(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target source: its size, what it needs of the total size, its whole repeats and what is left over.
 
-    The total is the size of all documents, those without source or target included. ``targets`` has
+    Repeats are those of texts: whole and rest go by the size of the distinct texts, while size and ``short``
+    count every document. The total is the size of all documents, those without source or target included. ``targets`` has
     source (unique), share and max_repeats; a source without documents has size 0. NULL shares and
     repeats count as 0.
     """
-    totals = sizes.groupBy("source").agg(F.sum("tokens").alias("size"), F.count("*").alias("n_docs"))
+    totals = sizes.groupBy("source").agg(F.sum("tokens").alias("size"), F.sum(F.when(F.col("copy") == 0, F.col("tokens"))).alias("distinct_size"))
     total = totals.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
     own = totals.where(F.col("source").isNotNull())
-    size, need = F.coalesce("size", F.lit(0)), F.coalesce("share", F.lit(0.0)) * F.col("total")
+    size, once, need = F.coalesce("size", F.lit(0)), F.coalesce("distinct_size", F.lit(0)), F.coalesce("share", F.lit(0.0)) * F.col("total")
     most = F.coalesce("max_repeats", F.lit(0)).cast("bigint")
     base = (
         targets.join(own, "source", "left")
         .join(F.broadcast(total))  # one row
         .select(
             "source", F.coalesce("share", F.lit(0.0)).alias("share"), most.alias("max_repeats"), "total", size.alias("size"),
-            need.alias("need"), (size * most < need).alias("short"),
+            once.alias("distinct_size"), need.alias("need"), (size * most < need).alias("short"),
         )
     )
-    whole = F.when(F.col("size") > 0, F.least(F.floor(F.col("need") / F.col("size")), F.col("max_repeats"))).otherwise(F.lit(0))
+    whole = F.when(F.col("distinct_size") > 0, F.least(F.floor(F.col("need") / F.col("distinct_size")), F.col("max_repeats"))).otherwise(F.lit(0))
     out = base.withColumn("whole", whole.cast("bigint"))
-    rest = F.when(F.col("whole") < F.col("max_repeats"), F.col("need") - F.col("whole") * F.col("size")).otherwise(F.lit(0.0))
+    rest = F.when(F.col("whole") < F.col("max_repeats"), F.col("need") - F.col("whole") * F.col("distinct_size")).otherwise(F.lit(0.0))
     return written(out.withColumn("rest", rest))
 
 
 def thresholds(sizes: DataFrame, plan: DataFrame) -> DataFrame:
-    """``plan`` with ``threshold``: documents of the source with h below it sum up to at most ``rest`` tokens, and
+    """``plan`` with ``threshold``: distinct texts of the source with h below it sum up to at most ``rest`` tokens, and
     one more bucket of the last level would go beyond."""
     found = plan.withColumns({"prefix": F.lit(0).cast("bigint"), "left": F.col("rest")})
     for level in range(LEVELS):
         width = FANOUT ** (LEVELS - 1 - level)
-        inside = sizes.join(_few(found.select("source", "prefix")), "source")
+        inside = sizes.where(F.col("copy") == 0).join(_few(found.select("source", "prefix")), "source")
         inside = inside.where(F.floor(F.col("h") / (width * FANOUT)) == F.col("prefix"))
         buckets = inside.groupBy("source", F.floor(F.col("h") / width).alias("bucket")).agg(F.sum("tokens").alias("t"))
         upto = F.sum("t").over(Window.partitionBy("source").orderBy("bucket"))  # FANOUT rows at most
@@ -115,12 +127,14 @@ def thresholds(sizes: DataFrame, plan: DataFrame) -> DataFrame:
 def mix(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     """(doc_id, source, tokens, repeats) of every document that is used, ``repeats`` times each.
 
-    A source's documents are used ``whole`` times, those below its threshold once more, never more
-    than max_repeats. Documents without source or target are not used.
+    A source's texts are used ``whole`` times, those below its threshold once more, never more than
+    max_repeats; the uses of a text are dealt out to its copies in turn. Documents without source or
+    target are not used.
     """
     cuts = thresholds(sizes, plan).select("source", "whole", "threshold", "max_repeats")
     used = sizes.join(_few(cuts), "source")
-    repeats = F.least(F.col("whole") + (F.col("h") < F.col("threshold")).cast("bigint"), F.col("max_repeats"))
+    uses = F.least(F.col("whole") + (F.col("h") < F.col("threshold")).cast("bigint"), F.col("max_repeats"))
+    repeats = F.floor((uses + F.col("copies") - 1 - F.col("copy")) / F.col("copies")).cast("bigint")
     return used.select("doc_id", "source", "tokens", repeats.alias("repeats")).where(F.col("repeats") > 0)
 
 

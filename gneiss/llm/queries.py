@@ -222,7 +222,7 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
 
 def _mixing(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents")
-    sizes = mixing.sized(docs, F.col("doc_id"), lower_label(F.col("source")), mixing.token_count(F.col("text")))
+    sizes = mixing.sized(docs, F.col("doc_id"), lower_label(F.col("source")), mixing.token_count(F.col("text")), F.col("text"))
     targets = table(spark, d, "mix_targets").select(
         lower_label(F.col("source")).alias("source"), F.col("target_share").alias("share"), "max_repeats"
     )
