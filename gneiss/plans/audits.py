@@ -164,7 +164,7 @@ def g44_decile_rates(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def g11_cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     p = panel(spark, d)
-    return audits.cluster_bootstrap(p, "feat", "strat", F.col("dep").cast("int"), F.lit(1), 500)
+    return audits.cluster_bootstrap(p, "feat", "strat", F.col("dep").cast("int"), F.lit(1), 600)
 
 
 @query()
@@ -183,7 +183,7 @@ def g30_score_intervals(spark: SparkSession, d: str) -> DataFrame:
     resid = both.join(slopes, "feat").withColumn("r", F.col("z2") - F.col("beta") * F.col("z1"))
     stats = resid.groupBy("feat").agg(F.median("r").alias("centre"), F.greatest(F.stddev_samp("r"), F.lit(1e-6)).alias("sd"))
     rows = first.join(second, ["feat", "ent"], "left").join(slopes, "feat").join(stats, "feat").join(roles.entities(spark, d), "ent")
-    return audits.score_intervals(rows, "feat", "ent", "strat", 200, 20)
+    return audits.score_intervals(rows, "feat", "ent", "strat", 500, 20)
 
 
 @query(sql("SELECT CAST(sum(h) AS BIGINT) AS hits, CAST(sum(p) AS BIGINT) AS positives, round(sum(h) / sum(p), 6) AS hit_rate FROM (SELECT feat, count(*) FILTER (WHERE k <= 20 AND dep) AS h, count(*) FILTER (WHERE dep) AS p FROM (SELECT *, row_number() OVER (PARTITION BY feat ORDER BY score DESC, ent) AS k FROM pn) GROUP BY feat)", "sc", **_PANEL))
