@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -38,11 +39,22 @@ def test_number_forms(spark):
         assert r["got"] == r["want"], r
 
 
-def test_keys_beyond_the_columns_stay_in_the_map(spark):
-    w = widen(spark, [(i, "a", f"g{i}", str(i), T1, "M", None, None) for i in range(5)], max_columns=2)
-    r = w.df.collect()[0]
-    assert r["g0"] == 0.0 and r["g1"] == 1.0 and r["more"] == {"g2": 2.0, "g3": 3.0, "g4": 4.0}
-    assert len(rows(wide.filled_cells(w))) == 5
+def test_every_key_has_a_typed_column_in_some_block(spark):
+    data = [(i, "a", f"g{i}", str(i), T1, "M", None, None) for i in range(5)] + [(9, "b", "g3", "7", T1, None, None, None), (10, "a", "reads", "6", T1, "M", None, None), (11, "b", "g4", "?x", T1, None, None, None)]
+    whole, parts = widen(spark, data), widen(spark, data, block_columns=2)
+    assert [list(c) for c in parts.columns] == [["reads", "ok", "day", "g0", "g1"], ["g2", "g3"], ["g4"]] and len(whole.blocks) == 1
+    assert rows(wide.filled_cells(parts)) == rows(wide.filled_cells(whole)) and len(rows(wide.filled_cells(parts))) == 7
+    assert all(dict(b.dtypes)[c] == "double" for b, cs in zip(parts.blocks, parts.columns) for k, c in cs.items() if k.startswith("g"))
+    assert {r["p"]: r["cast_failures"] for r in parts.blocks[0].collect()} == {"A": {}, "B": {"g4": "?x"}}
+    with pytest.raises(ValueError, match="3 blocks"):
+        _ = parts.df
+
+
+def test_integers_of_any_length(spark):
+    texts = {"9223372036854775807": 2**63 - 1, "-9223372036854775808": -(2**63), "9223372036854775808": None, "000000000000000000000000012": 12, "+5": 5, "1.0": None}
+    df = spark.createDataFrame(list(texts.items()), "v string, want long")
+    for r in df.select("v", "want", wide.typed(F.col("v"), "bigint").alias("got")).collect():
+        assert r["got"] == r["want"], r
 
 
 def test_empty_table_and_clashing_names(spark):
