@@ -85,14 +85,25 @@ FROM v GROUP BY 1"""
 def p1_profiles(spark: SparkSession, d: str) -> DataFrame:
     """One row per profile: its named attributes in their types, and figures over its gene columns."""
     w = profiles(spark, d)
-    genes = [F.col(f"`{c}`") for k, c in w.columns.items() if k not in PROFILE_KINDS]
-    present = F.concat(F.array_compact(F.array(*genes)) if genes else F.array().cast("array<double>"), F.map_values("more"))
-    return w.df.select(
-        "profile_id", "model_id", "mapped_reads", "passed_qc", F.col("profiled_on").cast("string").alias("profiled_on"),
-        F.size(present).cast("long").alias("n_genes"),
-        F.round(F.aggregate(present, F.lit(0.0), lambda a, x: a + x), 6).alias("sum_log2"),
-        F.size("cast_failures").alias("n_cast_failures"),
-    )
+    named = ("mapped_reads", "passed_qc", "profiled_on")
+    parts = None
+    for i, (block, names) in enumerate(zip(w.blocks, w.columns, strict=True)):
+        genes = [F.col(f"`{c}`") for k, c in names.items() if k not in PROFILE_KINDS]
+        present = F.array_compact(F.array(*genes).cast("array<double>"))
+        part = block.select(
+            "profile_id", "model_id",
+            *[(F.col(c) if i == 0 else F.lit(None).cast(PROFILE_KINDS[c])).alias(c) for c in named],
+            F.size(present).cast("long").alias("n_genes"),
+            F.aggregate(present, F.lit(0.0), lambda a, x: a + x).alias("sum_log2"),
+            (F.size("cast_failures") if i == 0 else F.lit(0)).alias("n_cast_failures"),
+        )
+        parts = part if parts is None else parts.unionByName(part)
+    if len(w.blocks) > 1:  # an entity has one row in each block
+        parts = parts.groupBy("profile_id").agg(
+            F.max("model_id").alias("model_id"), *[F.max(c).alias(c) for c in named],
+            F.sum("n_genes").alias("n_genes"), F.sum("sum_log2").alias("sum_log2"), F.max("n_cast_failures").alias("n_cast_failures"),
+        )
+    return parts.withColumns({"profiled_on": F.col("profiled_on").cast("string"), "sum_log2": F.round("sum_log2", 6)})
 
 
 # ---------------------------------------------------------------- 2: packed fields
@@ -126,7 +137,7 @@ _PACKED_SQL = " UNION ALL ".join(
 @query(
     f"""WITH s AS ({_PACKED_SQL}),
 c AS (SELECT table_name, row_id, field_name, list_filter(list_transform(xs, lambda x:
-        CASE WHEN x[1] = '"' THEN replace(x[2:-2], '""', '"') ELSE x END), lambda x: trim(x) <> '') AS xs FROM s)
+        CASE WHEN x[1] = '"' THEN replace(x[2:-2], '""', '"') ELSE x END), lambda x: regexp_matches(x, '[^\\s\\p{{Z}}]')) AS xs FROM s)
 SELECT table_name, row_id, field_name, CAST(p.pos AS BIGINT) AS pos, xs[p.pos] AS item
 FROM c, LATERAL (SELECT unnest(generate_series(1, len(xs))) AS pos) p"""
 )
@@ -138,9 +149,32 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return out.select("table_name", "row_id", "field_name", "pos", "item").distinct()
 
 
-@query()
+_DELIMITERS_SQL = (
+    "WITH t AS ("
+    + " UNION ALL ".join(f"SELECT '{t}.{f}' AS s, {f} AS t FROM {t} WHERE {f} IS NOT NULL" for t, f in PACKED)
+    + r"""),
+f AS (SELECT s, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '"(?:[^"]|"")*"', chr(10), 'g'), '["\x01]', chr(10), 'g'),
+    '[\p{L}\p{M}]+', 'A', 'g'), '\p{Nd}+', '9', 'g') AS f FROM t),
+v AS (SELECT s, w, count(*) AS c FROM (SELECT s, unnest(list_distinct(regexp_extract_all(f, '[A9.@_-]+'))) AS w FROM f) GROUP BY ALL),
+e AS (SELECT s, f, unnest(list_distinct(regexp_extract_all(f, '[^A9\n]'))) AS d FROM f),
+n AS (SELECT s, d, count(*) AS n_fields FROM e GROUP BY ALL),
+j AS (SELECT s, d, j, count(*) AS c FROM (SELECT s, d, unnest(regexp_extract_all(replace(f, d, chr(1)), '[A9.@_\x01-]+')) AS j FROM e)
+  WHERE contains(j, chr(1)) AND replace(j, chr(1), '') <> '' GROUP BY ALL),
+w AS (SELECT s, d, CAST(sum(c) AS BIGINT) AS n_runs, count(*) AS n_shapes, sum(c) * ln(sum(c)) - sum(c * ln(c)) + sum(length(j)) * ln(4) AS whole FROM j GROUP BY ALL),
+p AS (SELECT s, d, w, sum(c) AS m FROM (SELECT s, d, c, unnest(string_split(j, chr(1))) AS w FROM j) WHERE w <> '' GROUP BY ALL),
+o AS (SELECT n.s, n.d, coalesce(sum(c) FILTER (NOT contains(w, n.d)), 0) AS total, count(*) FILTER (NOT contains(w, n.d)) AS k FROM n JOIN v ON n.s = v.s GROUP BY ALL),
+q AS (SELECT p.s, p.d, sum(-m * ln((coalesce(v.c, 0) + 0.5) / (coalesce(total, 0) + 0.5 * (coalesce(k, 0) + 2)))) AS pieces
+  FROM p LEFT JOIN v ON p.s = v.s AND p.w = v.w LEFT JOIN o ON p.s = o.s AND p.d = o.d GROUP BY ALL)
+SELECT n.s AS source, n.d AS delimiter, n_fields, coalesce(n_runs, 0) AS n_runs, coalesce(n_shapes, 0) AS n_shapes,
+  round(coalesce(whole, 0), 3) AS whole, round(coalesce(pieces, 0), 3) AS pieces, round(coalesce(whole, 0) - coalesce(pieces, 0), 3) AS score,
+  coalesce(whole, 0) - coalesce(pieces, 0) + CASE WHEN n.d IN ('-', '.', '@', '_') THEN -12 ELSE 12 END > 0 AS separates
+FROM n LEFT JOIN w ON n.s = w.s AND n.d = w.d LEFT JOIN q ON n.s = q.s AND n.d = q.d"""
+)
+
+
+@query(_DELIMITERS_SQL)
 def p2_delimiters(spark: SparkSession, d: str) -> DataFrame:
-    """The candidate delimiters of every packed field and their scores."""
+    """The candidate delimiters of every packed field, how both readings score and which separate."""
     return packed.delimiter_scores(packed_fields(spark, d), "source", "text")
 
 
