@@ -2,22 +2,26 @@
 
 References and records both arrive as deltas (+1 / -1) of a key. The state holds one row per key with
 the net count of each; a key with references and no existence is an orphan. Deltas are summed before
-the shuffle, merging two states is the same sum, and a state grows with the keys, never the deltas.
+the shuffle, merging two states is the same sum, and a state grows with the keys, never the deltas. The same
+signed counts, run up in time order, tell for every single reference whether its key existed at its time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.operators.skew import spread_join
+from gneiss.session import written
+
+#: Times that stand for an unknown time of adding and of reference.
+BEGIN, END = "0001-01-01 00:00:00", "9999-12-31 00:00:00"
 
 
 def existence_deltas(records: DataFrame, key: Column, added: Column, removed: Column) -> DataFrame:
     """(key, at, delta) of records: +1 when added, -1 when removed. An unknown time of adding counts as always
     there, an unknown time of removal as never removed. NULL keys are no records."""
     base = records.select(key.alias("key"), added.cast("timestamp").alias("a"), removed.cast("timestamp").alias("r"))
-    plus = F.struct(F.coalesce("a", F.lit("0001-01-01 00:00:00").cast("timestamp")).alias("at"), F.lit(1).alias("delta"))
+    plus = F.struct(F.coalesce("a", F.lit(BEGIN).cast("timestamp")).alias("at"), F.lit(1).alias("delta"))
     minus = F.struct(F.col("r").alias("at"), F.lit(-1).alias("delta"))
     return (
         base.where(F.col("key").isNotNull())
@@ -56,26 +60,56 @@ def orphan_report(state: DataFrame) -> DataFrame:
     return state.where((F.col("refs") > 0) & (F.col("existing") <= 0)).select("key", "refs")
 
 
-def timelines(existence: DataFrame) -> DataFrame:
-    """One row per key: its changes in time order with the existence count after each, equal times summed."""
-    steps = existence.groupBy("key", "at").agg(F.sum("delta").alias("delta"), F.count_if(F.col("delta") > 0).alias("adds"))
-    return steps.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "delta", "adds"))).alias("steps"))
-
-
-def classify(references: DataFrame, existence: DataFrame, spread_by: str = "row_id", salts: int = 16) -> DataFrame:
-    """The rows of ``references`` (columns key, at and any others) whose key did not exist at their time.
-
-    ``kind`` is ``missing`` if no record ever had the key, ``late`` if all its records were added after
-    the time, ``deleted`` if its existence count at the time is zero after a removal. A NULL time is
-    compared as the end of time, so it cannot be late. Hot keys are spread over ``salts`` tasks.
+def _placed(references: DataFrame, existence: DataFrame, pieces: int | None = None) -> DataFrame:
+    """All deltas of both sides in order of key and time, cut into pieces of about equal size: written once,
+    because two passes must see the same pieces. Rows of the references travel in ``__row``."""
+    others = [c for c in references.columns if c not in ("key", "at")]
+    row = F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in others])
+    refs = references.where(F.col("key").isNotNull()).select(
+        "key", F.coalesce("at", F.lit(END).cast("timestamp")).alias("__time"), F.lit(1).alias("__refs"), F.lit(0).alias("__delta"), "at", row.alias("__row")
+    )
+    kind = refs.schema["__row"].dataType
+    steps = existence.where(F.col("key").isNotNull()).select(
+        "key", F.col("at").alias("__time"), F.lit(0).alias("__refs"), F.col("delta").cast("int").alias("__delta"),
+        F.lit(None).cast("timestamp").alias("at"), F.lit(None).cast(kind).alias("__row"),
+    )
+    spread = [F.col(f"__row.`{c}`") for c, t in references.dtypes if c in others and "map<" not in t]
+    ordered = refs.unionByName(steps).repartitionByRange(*([pieces] if pieces else []), "key", "__time", "__refs", F.xxhash64(*spread) if spread else F.lit(0))
+    return written(ordered.withColumn("__piece", F.spark_partition_id()))
+
+
+def classify(references: DataFrame, existence: DataFrame, pieces: int | None = None) -> DataFrame:
+    """The rows of ``references`` (columns key, at and any others) whose key does not exist at their time.
+
+    Deltas of references and existence are put in one order of key and time, and every reference sees its
+    key's signed existence count up to its time, changes at that very time included. ``kind`` is ``missing``
+    if no record ever had the key, ``late`` if none had been added yet, ``deleted`` if the count is zero (or
+    below) after a removal. A NULL time is the end of time, so it cannot be late; NULL keys are no references.
+
+    The order is cut into equal pieces (``pieces`` of them, or as many as the data needs), so a hot key lies in as many pieces as its rows need. A key that goes
+    on in a further piece gets what lies before and in all pieces from sums per (key, piece); only such keys
+    need it, at most one a boundary, so that table is bounded by the number of pieces.
     """
-    at = F.coalesce("at", F.lit("9999-12-31 00:00:00").cast("timestamp"))
-    past = F.filter("steps", lambda s: s["at"] <= at)
-    net = F.aggregate(past, F.lit(0).cast("bigint"), lambda acc, s: acc + s["delta"])
+    placed = _placed(references, existence, pieces)
+    added = F.greatest(F.col("__delta"), F.lit(0))
+    sums = placed.groupBy("key", "__piece").agg(F.sum("__delta").alias("d"), F.sum(added).alias("a"))
+    one = Window.partitionBy("key")
+    before = one.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    edges = sums.withColumns(
+        {
+            "__net_before": F.coalesce(F.sum("d").over(before), F.lit(0)), "__adds_before": F.coalesce(F.sum("a").over(before), F.lit(0)),
+            "__adds_all": F.sum("a").over(one), "pieces": F.count("*").over(one),
+        }
+    ).where("pieces > 1").select("key", "__piece", "__net_before", "__adds_before", "__adds_all")
+    here = Window.partitionBy("__piece", "key")
+    upto = here.orderBy("__time", "__refs").rowsBetween(Window.unboundedPreceding, 0)
+    counted = placed.withColumns({"__net": F.sum("__delta").over(upto), "__adds": F.sum(added).over(upto), "__adds_here": F.sum(added).over(here)})
+    seen = counted.where("__refs = 1").join(F.broadcast(edges), ["key", "__piece"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     kind = (
-        F.when(F.col("steps").isNull(), F.lit("missing"))
-        .when(~F.exists(past, lambda s: s["adds"] > 0), F.lit("late"))
-        .when(net <= 0, F.lit("deleted"))
+        F.when(F.coalesce("__adds_all", "__adds_here") <= 0, "missing")
+        .when(F.col("__adds") + zero("__adds_before") <= 0, "late")
+        .when(F.col("__net") + zero("__net_before") <= 0, "deleted")
     )
-    joined = spread_join(references, timelines(existence), "key", "left", spread_by, salts)
-    return joined.withColumn("kind", kind).drop("steps").where(F.col("kind").isNotNull())
+    others = [c for c in references.columns if c not in ("key", "at")]
+    return seen.select("key", "at", *[F.col(f"__row.`{c}`").alias(c) for c in others], kind.alias("kind")).where(F.col("kind").isNotNull())

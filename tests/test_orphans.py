@@ -44,9 +44,12 @@ def test_counts_merge_in_any_order(spark):
 
 
 def test_hot_key_gives_the_same_rows(spark):
-    data = [(i, "hot" if i % 3 else f"k{i}", D(1 + i % 20), "") for i in range(600)]
-    recs = [("hot", D(5), D(15))] + [(f"k{i}", D(1), None) for i in range(0, 600, 6)]
-    got = rows(orphans.classify(refs(spark, data).drop("steps"), existence(spark, recs), salts=5), "row_id", "kind")
+    """The hot key goes on over several pieces, some without any change of existence in them."""
+    data = [(i, "hot" if i % 3 else f"k{i}", D(1 + i % 20), "") for i in range(6000)]
+    recs = [("hot", D(5), D(15))] + [(f"k{i}", D(1), None) for i in range(0, 6000, 6)]
+    pieces = orphans._placed(refs(spark, data).drop("steps"), existence(spark, recs), 5).where("key = 'hot'").select("__piece").distinct().count()
+    assert pieces > 1
+    got = rows(orphans.classify(refs(spark, data).drop("steps"), existence(spark, recs), 5), "row_id", "kind")
     have = {k: (a, r) for k, a, r in recs}
     want = []
     for i, k, at, _ in data:
@@ -57,3 +60,9 @@ def test_hot_key_gives_the_same_rows(spark):
         elif have[k][1] and have[k][1] <= at:
             want.append((i, "deleted"))
     assert sorted(got) == sorted(want)
+
+
+def test_columns_that_clash_with_inner_names(spark):
+    df = refs(spark, [(1, "zz", D(4), "s"), (2, None, D(4), "s")]).withColumns({"d": F.lit(5), "kind": F.lit("old"), "delta": F.map_from_arrays(F.array(F.lit("x")), F.array(F.lit(1)))})
+    got = orphans.classify(df.drop("kind"), existence(spark)).collect()
+    assert [(r["row_id"], r["kind"], r["d"], r["steps"], r["delta"]) for r in got] == [(1, "missing", 5, "s", {"x": 1})]
