@@ -14,6 +14,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.session import written
+
 Convert = Callable[[Column], Column]
 
 #: The expression scale that everything is converted to.
@@ -133,16 +135,23 @@ def harmonise(
     hint: Column,
     candidates: tuple[str, ...] = (TARGET, "tpm"),
     margin: float = 0.1,
+    typical_level: float = 3.0,
+    check: bool = False,
 ) -> DataFrame:
     """Every row with its unit, how it was found, and its value as log2(TPM + 1).
 
     The first of ``texts`` (own note, sample text, method text) that names a unit decides, then the
     hint. The other rows are solved together per sample: their values must agree with the level
     that their features have in the rows of known unit, identity value / level = 1 on the log
-    scale; a feature nobody else has is compared with the mean level. Columns: ``row_id``,
-    ``sample``, ``feature``, ``unit``, ``unit_from`` (text1.., hint, solved), ``unique``, ``value``
-    (log2(TPM + 1)). NULL and NaN values take no part in solving and come out with NULL ``value``.
-    Samples with nothing to solve by keep NULL units.
+    scale; a feature nobody else has is compared with the mean level, and where no text names any
+    unit with ``typical_level``. Columns: ``row_id``, ``sample``, ``feature``, ``unit``, ``unit_from``
+    (text1.., hint, solved), ``unique``, ``x`` (the value as given), ``value`` (log2(TPM + 1)). NULL and NaN
+    values take no part in solving and come out with NULL ``value``. Samples with nothing to solve by
+    keep NULL units. Rows without a sample are solved together.
+
+    With ``check``, the units that texts and hints name are held against the identity too, all units of
+    ``TO_TPM`` being candidates: ``agrees`` is false for the rows of a sample and named unit where another unit
+    fits better by more than ``margin``, NULL where nothing can be held against it.
     """
     named = [unit_named(t) for t in texts]
     base = values.select(
@@ -156,34 +165,41 @@ def harmonise(
             F.when(hinted(hint).isNotNull(), F.lit("hint")),
         ).alias("unit_from"),
     )
+    # Levels, residuals and the result all read the labelled rows: joined and matched with patterns only once.
+    base = written(base)
     # The level of each feature: sums that merge before the shuffle, one row per feature after it.
     sure = base.where(F.col("unit_from").startswith("text")).select("feature", to_target(F.col("x"), F.col("known")).alias("y"))
     levels = sure.groupBy("feature").agg(F.avg("y").alias("level"))
     overall = sure.agg(F.avg("y").alias("mean_level"))
+
+    def fitted(rows: DataFrame, group: list[str], units: tuple[str, ...]) -> DataFrame:
+        with_level = (
+            rows.groupBy(*group, "feature", "x")
+            .agg(F.count("*").alias("times"))
+            .join(levels, "feature", "left")
+            .join(F.broadcast(overall))  # one row
+            .withColumn("level", F.coalesce("level", "mean_level", F.lit(typical_level)))
+        )
+        to_common = {"x": {u: (lambda x, u=u: to_target(x, F.lit(u))) for u in units}}
+        return solve_units(with_level, group, to_common, lambda c: c["x"] - F.col("level"), margin)
+
     open_rows = base.where(F.col("known").isNull() & F.col("x").isNotNull()).select("sample", "feature", "x")
-    fitted = (
-        open_rows.groupBy("sample", "feature", "x")
-        .agg(F.count("*").alias("times"))
-        .join(levels, "feature", "left")
-        .join(F.broadcast(overall))  # one row
-        .withColumn("level", F.coalesce("level", "mean_level", F.lit(3.0)))
+    solved = fitted(open_rows, ["sample"], candidates).select("sample", F.col("x_unit").alias("solved"), "unique")
+    # Rows without a sample are apart, so that they are not one hot key of the join.
+    alone = solved.where(F.col("sample").isNull()).select("solved", "unique")
+    out = base.where(F.col("sample").isNotNull()).join(solved, "sample", "left").unionByName(
+        base.where(F.col("sample").isNull()).join(F.broadcast(alone), F.lit(True), "left")  # one row at most
     )
-    solved = solve_units(
-        fitted,
-        ["sample"],
-        {"x": {u: (lambda x, u=u: to_target(x, F.lit(u))) for u in candidates}},
-        lambda c: c["x"] - F.col("level"),
-        margin,
-    ).select(F.col("sample").alias("s"), F.col("x_unit").alias("solved"), "unique")
-    out = base.join(solved, F.col("sample").eqNullSafe(F.col("s")), "left")
-    unit = F.coalesce("known", "solved")
-    return out.select(
-        "row_id",
-        "sample",
-        "feature",
-        unit.alias("unit"),
+    columns = [
+        "row_id", "sample", "feature", F.coalesce("known", "solved").alias("unit"),
         F.coalesce("unit_from", F.when(F.col("solved").isNotNull(), F.lit("solved"))).alias("unit_from"),
         F.when(F.col("known").isNotNull(), F.lit(True)).otherwise(F.coalesce("unique", F.lit(False))).alias("unique"),
-        F.col("x"),
-        to_target(F.col("x"), unit).alias("value"),
-    )
+        "x", to_target(F.col("x"), F.coalesce("known", "solved")).alias("value"),
+    ]
+    if check:
+        labelled = base.where(F.col("known").isNotNull() & F.col("x").isNotNull() & F.col("sample").isNotNull()).select("sample", "known", "feature", "x")
+        best = fitted(labelled, ["sample", "known"], tuple(TO_TPM))
+        out = out.join(best.select("sample", "known", "x_unit", F.col("unique").alias("clear")), ["sample", "known"], "left")
+        agrees = F.when(F.col("x_unit").isNotNull(), (F.col("x_unit") == F.col("known")) | ~F.col("clear"))
+        columns.append(agrees.alias("agrees"))
+    return out.select(*columns)

@@ -272,7 +272,7 @@ def p3_current(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- 6: units
 
 
-def unit_rows(spark: SparkSession, d: str) -> DataFrame:
+def unit_rows(spark: SparkSession, d: str, check: bool = False) -> DataFrame:
     values = table(spark, d, "geo_values").select(
         "raw_id", upper_id(F.col("gsm_id")).alias("gsm"), gene_id(F.col("gene_id")).alias("gene"),
         F.lower(F.trim("method")).alias("m"), "log2_value", "unit_note",
@@ -293,7 +293,7 @@ def unit_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = values.join(samples, "gsm", "left").join(axes, "m", "left")
     return units.harmonise(
         rows, "raw_id", "gsm", "gene", "log2_value",
-        [F.col("unit_note"), F.col("p.data_processing"), F.col("units")], F.col("p.scale_hint"),
+        [F.col("unit_note"), F.col("p.data_processing"), F.col("units")], F.col("p.scale_hint"), check=check,
     )
 
 
@@ -307,8 +307,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def p6_values(spark: SparkSession, d: str) -> DataFrame:
-    """Every row's value as log2(TPM + 1), with its unit, where the unit came from and whether it is sure."""
-    return unit_rows(spark, d).select(
+    """Every row's value as log2(TPM + 1), with its unit, where the unit came from, whether it is the only one that
+    fits, and whether a named unit agrees with the levels of the other samples."""
+    return unit_rows(spark, d, check=True).select(
         F.col("row_id").alias("raw_id"), F.col("sample").alias("gsm_id"), F.col("feature").alias("gene_id"),
-        "unit", "unit_from", "unique", F.col("value").alias("log2_tpm1"),
+        "unit", "unit_from", "unique", "agrees", F.col("value").alias("log2_tpm1"),
     )

@@ -72,3 +72,17 @@ def test_precedence_and_solving(spark):
 
 def test_empty(spark):
     assert rows(harmonised(spark, [])) == []
+
+
+def test_named_units_are_held_against_the_levels(spark):
+    known = [(100 + i, f"k{k}", f"g{i}", float(i + 1), "log2 TPM+1", None, None, None, None) for i in range(10) for k in range(4)]
+    wrong = [(200 + i, "w", f"g{i}", 2.0 ** (i + 1) - 1, "log2 TPM+1", None, None, None, None) for i in range(8)]
+    right = [(300 + i, "r", f"g{i}", 2.0 ** (i + 1) - 1, "TPM", None, None, None, None) for i in range(10)]
+    df = spark.createDataFrame(known + wrong + right, "id long, s string, f string, x double, note string, txt string, hint string, unit string, value string")
+    got = units.harmonise(df, "id", "s", "f", "x", [F.col("note"), F.col("txt")], F.col("hint"), check=True)
+    assert {(r["sample"][0], r["unit"], r["agrees"]) for r in got.collect()} == {("k", "log2tpm1", True), ("w", "log2tpm1", False), ("r", "tpm", True)}
+
+
+def test_without_any_named_unit_the_typical_level_decides(spark):
+    rows_ = [(i, "t", f"g{i}", 900.0 + i, None, None, None, None, None) for i in range(5)] + [(9 + i, "l", f"g{i}", 3.1, None, None, None, None, None) for i in range(5)]
+    assert {(r["sample"], r["unit"]) for r in harmonised(spark, rows_).collect()} == {("t", "tpm"), ("l", "log2tpm1")}
