@@ -167,10 +167,10 @@ def harmonise(
     )
     # Levels, residuals and the result all read the labelled rows: joined and matched with patterns only once.
     base = written(base)
-    # The level of each feature: sums that merge before the shuffle, one row per feature after it.
+    # The level of each feature: its median, which a wrongly named sample does not move, from summaries that merge before the shuffle.
     sure = base.where(F.col("unit_from").startswith("text")).select("feature", to_target(F.col("x"), F.col("known")).alias("y"))
-    levels = sure.groupBy("feature").agg(F.avg("y").alias("level"))
-    overall = sure.agg(F.avg("y").alias("mean_level"))
+    levels = sure.groupBy("feature").agg(F.percentile_approx("y", 0.5, 1000).alias("level"))
+    overall = levels.agg(F.avg("level").alias("mean_level"))
 
     def fitted(rows: DataFrame, group: list[str], units: tuple[str, ...]) -> DataFrame:
         with_level = (
