@@ -163,3 +163,18 @@ def signs_disagree(a: Column, b: Column, least: float = 1.0) -> Column:
 def score_band(score: Column, high: float = 0.8, low: float = 0.5, names: Sequence[str] = ("likely_essential", "possibly_essential", "likely_non_essential")) -> Column:
     """Band of a score; NULL falls to the lowest band."""
     return F.when(score >= high, names[0]).when(score >= low, names[1]).otherwise(names[2])
+
+
+def log_gamma(x: Column) -> Column:
+    """Natural logarithm of the gamma function for x >= 1, to about 1e-13: Stirling's series at x + 8, stepped down."""
+    z = x.cast("double") + 8.0
+    series = (z - 0.5) * F.ln(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
+    product = x.cast("double")
+    for i in range(1, 8):
+        product = product * (x.cast("double") + float(i))
+    return series - F.ln(product)
+
+
+def log_choose(n: Column, k: Column) -> Column:
+    """Natural logarithm of n over k, 0 <= k <= n."""
+    return log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1)

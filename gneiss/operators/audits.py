@@ -1,12 +1,12 @@
 """Audits of a score against labels: gate readouts, partial areas, bootstraps, permutations, intervals.
 
-The Arrow islands here work on one feature's entities at a time (bounded by the entity dimension) or
-on per-cluster sums; every random draw is seeded by the feature, so results do not depend on partitions.
+Readouts and tests are plans over running counts of range-sorted pieces. The Arrow islands work on per-cluster sums
+(bootstrap), on one feature's entities (permutation) or on one stratum of a feature (intervals); every random draw is
+seeded by its group, so results do not depend on partitions.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Callable, Sequence
 from statistics import NormalDist
@@ -16,11 +16,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.functions.stats import log_choose, phi
 from gneiss.operators.combine import W_FIRST, W_NORM, W_SECOND
-from gneiss.operators.ranks import auroc
+from gneiss.operators.ranks import auroc, partial_areas
+from gneiss.operators.running import running_sums
+from gneiss.session import written
 
-#: Fixed values of the audits.
-GATE, RANKER, GRID_POINTS = (0.8, 1.0), (0.0, 0.1), 501
+#: Fixed values of the audits: the false-positive regions that are read out.
+REGIONS = {"pauc_gate": (0.8, 1.0), "pauc_ranker": (0.0, 0.1), "auc": (0.0, 1.0)}
 
 
 def _bound(f: Callable[..., pd.DataFrame], **fixed: object) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -37,90 +40,85 @@ def seed_of(*keys: object) -> int:
     return zlib.crc32("\x1f".join(map(str, keys)).encode())
 
 
-def trapezoid_pauc(score: np.ndarray, positive: np.ndarray, low: float, high: float) -> float:
-    """Standardised partial area under the ROC curve between two false-positive rates; 0.5 is chance.
-
-    NaN without two rows of either class. Equal scores make one step.
-    """
-    known = ~np.isnan(score)
-    score, positive = score[known], positive[known].astype(bool)
-    if positive.sum() < 2 or (~positive).sum() < 2:
-        return float("nan")
-    values, which = np.unique(-score, return_inverse=True)
-    hits = np.bincount(which, weights=positive, minlength=len(values)).cumsum()
-    false = np.bincount(which, weights=~positive, minlength=len(values)).cumsum()
-    grid = np.linspace(low, high, GRID_POINTS)
-    heights = np.interp(grid, np.append(0, false / false[-1]), np.append(0, hits / hits[-1]))
-    area = float(((heights[1:] + heights[:-1]) / 2 * np.diff(grid)).sum())
-    least, most = (high * high - low * low) / 2, high - low
-    return 0.5 * (1 + (area - least) / (most - least))
-
-
-def hypergeometric_tail(observed: int, total: int, marked: int, drawn: int) -> float:
-    """P(at most ``observed`` marked among ``drawn`` of ``total``)."""
-    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-    low = max(0, drawn - (total - marked))
-    terms = [choose(marked, k) + choose(total - marked, drawn - k) - choose(total, drawn) for k in range(low, min(observed, marked, drawn) + 1)]
-    return min(1.0, math.fsum(map(math.exp, terms)))
-
-
-def _gate(pdf: pd.DataFrame, feature: str, score: str, positive: str, floor_value: str, entity: str, bins: int, least: tuple[int, int, int]) -> pd.DataFrame:
-    rows = pdf[pdf[score].notna()].sort_values([score, entity], kind="mergesort")
-    label = rows[positive].fillna(False).to_numpy(dtype=bool)
-    n, n_pos = len(rows), int(label.sum())
-    if n < least[0] or n_pos < least[1] or n - n_pos < least[2]:
-        return pd.DataFrame(columns=_gate_names(feature))
-    values = rows[score].to_numpy(dtype=float)
-    base = n_pos / n
-    bin_of = np.minimum(np.arange(n) * bins // n, bins - 1)
-    size = np.bincount(bin_of, minlength=bins)
-    rates = np.divide(np.bincount(bin_of, weights=label, minlength=bins), size, out=np.full(bins, np.nan), where=size > 0)
-    ratios = rates / base
-    level = rows[floor_value].to_numpy(dtype=float)
-    at_floor = level == np.nanmin(level)
-    out = {
-        feature: rows[feature].iloc[0], "n_lines": n, "n_pos": n_pos, "base_rate": base, "profile": [float(x) for x in ratios],
-        "d1_ratio": ratios[0], "upper_sd": float(np.nanstd(ratios[1:])), "d1_hyper_p": hypergeometric_tail(int(label[bin_of == 0].sum()), n, n_pos, int(size[0])),
-        "pauc_gate": trapezoid_pauc(values, label, *GATE), "pauc_ranker": trapezoid_pauc(values, label, *RANKER), "auc": trapezoid_pauc(values, label, 0.0, 1.0),
-        "npv5": 1 - label[: max(1, round(n * 0.05))].mean(), "npv10": 1 - label[: max(1, round(n * 0.10))].mean(), "npv20": 1 - label[: max(1, round(n * 0.20))].mean(),
-        "n_floor": int(at_floor.sum()), "floor_ratio": label[at_floor].mean() / base if at_floor.sum() >= 20 else None,
-    }
-    return pd.DataFrame([out])
-
-
-_GATE_FIELDS = (
-    "n_lines bigint, n_pos bigint, base_rate double, profile array<double>, d1_ratio double, upper_sd double, d1_hyper_p double, pauc_gate double, "
-    "pauc_ranker double, auc double, npv5 double, npv10 double, npv20 double, n_floor bigint, floor_ratio double"
-)
-
-
-def _gate_names(feature: str) -> list[str]:
-    return [feature, *[f.split()[0] for f in _GATE_FIELDS.split(", ")]]
+def hypergeometric_tail(observed: Column, total: Column, marked: Column, drawn: Column) -> Column:
+    """P(at most ``observed`` marked among ``drawn`` of ``total``, ``marked`` of which are)."""
+    least = F.greatest(F.lit(0), drawn - (total - marked)).cast("int")
+    most = F.least(observed, marked, drawn).cast("int")
+    every = log_choose(total, drawn)
+    term = lambda k: F.exp(log_choose(marked, k) + log_choose(total - marked, drawn - k) - every)
+    ks = F.when(most >= least, F.sequence(least, most)).otherwise(F.array().cast("array<int>"))
+    return F.least(F.lit(1.0), F.aggregate(ks, F.lit(0.0), lambda a, k: a + term(k)))
 
 
 def gate_readout(df: DataFrame, feature: str, entity: str, score: str, positive: str, floor_value: str, bins: int = 10, least: tuple[int, int, int] = (30, 5, 5)) -> DataFrame:
     """One row per feature: bin ratios, negative predictive values, partial areas, tail probability, floor test.
 
-    Features with too few rows, positives or negatives give no row. Ties break by entity. "auc" is the
-    area over the same 501-point grid as the partial areas.
+    Entities are placed by score, then entity, and cut into ``bins`` equal-count bins; ``profile`` has the bins'
+    positive rates over the feature's, ``d1_ratio`` the lowest bin's, ``upper_sd`` the population SD of the others,
+    ``d1_hyper_p`` the chance of so few positives in the lowest bin. ``npvX`` is the share of negatives among the lowest X %
+    (at least one row, half rounded to even). ``n_floor`` counts rows at the feature's least ``floor_value``, and their rate
+    over the feature's is ``floor_ratio`` from 20 rows on. Features with too few rows, positives or
+    negatives (``least``) give no row; a NULL label is a negative. Places come from running counts over range-sorted
+    pieces, so features of any size are spread over tasks.
     """
-    kind = df.schema[feature].dataType.simpleString()
-    f = _bound(_gate, feature=feature, score=score, positive=positive, floor_value=floor_value, entity=entity, bins=bins, least=least)
-    return df.select(feature, entity, score, positive, floor_value).groupBy(feature).applyInPandas(f, f"{feature} {kind}, {_GATE_FIELDS}")
+    rows = df.where(F.col(score).isNotNull()).select(feature, entity, score, F.coalesce(positive, F.lit(False)).alias("y"), F.col(floor_value).alias("f"))
+    placed = running_sums(rows, [feature], [F.asc(score), F.asc(entity)], {"k": F.lit(1), "y": F.col("y").cast("int")})
+    n, n_pos = F.col("k_all"), F.col("y_all")
+    fit = placed.where((n >= least[0]) & (n_pos >= least[1]) & (n - n_pos >= least[2]))
+    floors = rows.groupBy(feature).agg(F.min("f").alias("lowest"))
+    k, bin_of = F.col("k_upto"), F.least(F.floor((F.col("k_upto") - 1) * bins / n), F.lit(bins - 1))
+    first = lambda share: k <= F.greatest(F.lit(1), F.bround(n * share))
+    at_floor = F.col("f") == F.col("lowest")
+    counts = fit.join(floors, feature).groupBy(feature).agg(
+        F.max(n).alias("n_lines"), F.max(n_pos).alias("n_pos"),
+        *[F.count_if(bin_of == b).alias(f"size{b}") for b in range(bins)],
+        *[F.count_if((bin_of == b) & F.col("y")).alias(f"hits{b}") for b in range(bins)],
+        *[(F.count_if(first(q / 100) & ~F.col("y")) / F.count_if(first(q / 100))).alias(f"npv{q}") for q in (5, 10, 20)],
+        F.count_if(at_floor).alias("n_floor"), F.count_if(at_floor & F.col("y")).alias("floor_hits"),
+    )
+    base = F.col("n_pos") / F.col("n_lines")
+    ratio = [F.col(f"hits{b}") / F.nullif(F.col(f"size{b}"), F.lit(0)) / base for b in range(bins)]
+    mean = F.aggregate(F.array(*ratio[1:]), F.lit(0.0), lambda a, x: a + x, lambda a: a / (bins - 1))
+    sd = F.sqrt(F.aggregate(F.transform(F.array(*ratio[1:]), lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda a, x: a + x, lambda a: a / (bins - 1)))
+    areas = partial_areas(rows.select(feature, score, "y"), [feature], score, "y", REGIONS)
+    return counts.join(areas, feature).select(
+        feature, "n_lines", "n_pos", base.alias("base_rate"), F.array(*ratio).alias("profile"), ratio[0].alias("d1_ratio"), sd.alias("upper_sd"),
+        hypergeometric_tail(F.col("hits0"), F.col("n_lines"), F.col("n_pos"), F.col("size0")).alias("d1_hyper_p"), *REGIONS,
+        "npv5", "npv10", "npv20", "n_floor", F.when(F.col("n_floor") >= 20, F.col("floor_hits") / F.col("n_floor") / base).alias("floor_ratio"),
+    )
+
 
+def gate_summary(gates: DataFrame, value: str = "pauc_gate", centre: float = 0.5) -> DataFrame:
+    """One row over all features: median and quartiles of ``value``, the share above ``centre``, and the two-sided
+    p of the signed-rank test against it (normal approximation with tie correction, NULL under six differences)."""
+    known = gates.where(F.col(value).isNotNull())
+    p = signed_rank(known.select((F.col(value) - centre).alias("difference")), [], "difference")
+    over = known.agg(
+        F.count("*").alias("n_features"), F.percentile(value, F.lit(0.25)).alias("q25"), F.median(value).alias("median"), F.percentile(value, F.lit(0.75)).alias("q75"),
+        F.avg((F.col(value) > centre).cast("double")).alias("share_above"),
+    )
+    return over.join(F.broadcast(p.select("w", "p_value")))  # one row each
 
-def wilcoxon_signed(values: Sequence[float]) -> float:
-    """Two-sided p of the signed-rank test by the normal approximation with tie correction; small driver-side samples."""
-    x = np.array([v for v in values if v is not None and not math.isnan(v) and v != 0], dtype=float)
-    n = len(x)
-    if n < 6:
-        return float("nan")
-    order = pd.Series(np.abs(x)).rank().to_numpy()
-    w = order[x > 0].sum()
-    _, ties = np.unique(np.abs(x), return_counts=True)
-    var = n * (n + 1) * (2 * n + 1) / 24 - (ties**3 - ties).sum() / 48
-    z = (w - n * (n + 1) / 4) / math.sqrt(var)
-    return math.erfc(abs(z) / math.sqrt(2))
+
+def signed_rank(df: DataFrame, by: Sequence[str], difference: str) -> DataFrame:
+    """(by, n, w, z, p_value): Wilcoxon's signed-rank test of differences against 0.
+
+    Zeros, NULL and NaN are left out; ties share their mean rank; ``w`` is the rank sum of the positive ones. Normal
+    approximation with tie correction, NULL under six differences. Groups of any size: sizes are
+    counted first and run up in pieces.
+    """
+    x = F.col(difference)
+    known = df.where(x.isNotNull() & ~F.isnan(x.cast("double")) & (x != 0))
+    each = known.groupBy(*by, F.abs(x).alias("__size")).agg(F.count("*").alias("c"), F.count_if(x > 0).alias("up"))
+    ran = running_sums(each, by, [F.asc("__size")], {"c": F.col("c")})
+    rank = F.col("c_upto") - (F.col("c") - 1) / 2.0
+    got = ran.groupBy(*by).agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.sum(F.col("up") * rank).alias("w"), F.sum(F.col("c").cast("double") ** 3 - F.col("c")).alias("ties")
+    )
+    n = F.col("n").cast("double")
+    sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
+    staged = got.withColumn("z", F.when(n >= 6, (F.col("w") - n * (n + 1) / 4) / sd)).withColumn("__down", -F.abs("z"))
+    return staged.select(*by, "n", "w", "z", (2 * phi("__down")).alias("p_value"))
 
 
 def rank_sum(df: DataFrame, by: Sequence[str], value: str, positive: str) -> DataFrame:
@@ -178,78 +176,135 @@ def permutation_test(df: DataFrame, feature: str, stratum: str, entity: str, val
     return df.select(feature, stratum, entity, value, positive).groupBy(feature).applyInPandas(f, f"{feature} {kind}, n bigint, delta double, p_value double")
 
 
-def benjamini_hochberg(df: DataFrame, p: str, out: str = "q") -> DataFrame:
-    """``out``: false-discovery rate of each p by step-up. Distinct p values are ranked, each with its count."""
-    levels = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("__c"))
-    total = levels.agg(F.sum("__c").alias("__m"))
-    up = Window.orderBy(F.asc(p)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    down = Window.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    raw = levels.withColumn("__r", F.sum("__c").over(up)).join(F.broadcast(total)).withColumn("__q", F.col(p) * F.col("__m") / F.col("__r"))
-    q = raw.select(F.col(p).alias("__p"), F.least(F.min("__q").over(down), F.lit(1.0)).alias(out))
-    return df.join(q, F.col(p) == F.col("__p"), "left").drop("__p")
-
-
-_SQRT2 = math.sqrt(2)
-_erf = np.vectorize(math.erf, otypes=[float])
+def false_discovery(df: DataFrame, p: str, out: str = "q", method: str = "bh") -> DataFrame:
+    """``df`` with ``out``: the false-discovery rate of each p by step-up; NULL p have none and do not count.
 
-
-def normal_cdf(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + _erf(x / _SQRT2))
-
-
-def normal_quantile(p: np.ndarray) -> np.ndarray:
-    grid = np.round(p, 9)
-    values, which = np.unique(grid, return_inverse=True)
-    table = np.array([NormalDist().inv_cdf(v) for v in values])
-    return table[which].reshape(p.shape)
+    ``method``: "bh" (independent tests), "by" (any dependence: times the harmonic sum), "storey" (times the estimated
+    share of true nulls, (1 + #{p > 0.5}) / (m / 2), at most 1). Distinct p values are counted, run up over
+    range-sorted pieces, and take the least of their own and all later ones' rates the same way.
+    """
+    levels = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("c"))
+    ran = running_sums(levels, [], [F.asc("__p")], {"c": F.col("c"), "late": F.when(F.col("__p") > 0.5, F.col("c"))})
+    m, r = F.col("c_all").cast("double"), F.col("c_upto")
+    if method == "by":
+        # sum of 1 / i for i = 1 .. m by its expansion, exact below 20
+        exact = F.aggregate(F.sequence(F.lit(1), F.least(F.col("c_all"), F.lit(20)).cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / i)
+        factor = F.when(m <= 20, exact).otherwise(F.ln(m) + 0.5772156649015329 + 1 / (2 * m) - 1 / (12 * m * m) + 1 / (120 * m**4))
+    elif method == "storey":
+        factor = F.least(F.lit(1.0), (1 + F.col("late_all")) / (0.5 * m))
+    else:
+        factor = F.lit(1.0)
+    raw = ran.select("__p", (F.col("__p") * m * factor / r).alias("__raw"))
+    # Least over this and all greater p: within a piece by a window, beyond it from one row per piece.
+    pieces = written(raw.repartitionByRange(F.desc("__p")).withColumn("__piece", F.spark_partition_id()))
+    own = pieces.withColumn("__own", F.min("__raw").over(Window.partitionBy("__piece").orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    heads = pieces.groupBy("__piece").agg(F.min("__raw").alias("__least"))
+    earlier = heads.select(F.col("__piece").alias("__at"), F.min("__least").over(Window.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))  # one row per piece
+    q = own.join(F.broadcast(earlier), F.col("__piece") == F.col("__at")).select("__p", F.least("__own", "__before", F.lit(1.0)).alias(out))
+    return df.join(q, F.col(p) == F.col("__p"), "left").drop("__p")
 
 
-def _intervals(pdf: pd.DataFrame, feature: str, entity: str, stratum: str, draws: int, top: int) -> pd.DataFrame:
-    rows = pdf.sort_values(entity).reset_index(drop=True)
-    n, key = len(rows), rows[feature].iloc[0]
-    rng = np.random.default_rng(seed_of(key, draws))
-    first = rows["z1"].to_numpy(float) + rng.normal(size=(draws, n)) * rows["se1"].to_numpy(float)
-    has = rows["z2"].notna().to_numpy()
-    second = rows["z2"].to_numpy(float) + rng.normal(size=(draws, n)) * np.nan_to_num(rows["se2"].to_numpy(float))
-    share = np.empty((draws, n))
-    codes = pd.factorize(rows[stratum], use_na_sentinel=False)[0]
-    members = [np.flatnonzero(codes == c) for c in range(codes.max() + 1)]
-    for at in members:
-        share[:, at] = (first[:, at].argsort(axis=1).argsort(axis=1) + 1) / len(at)
-    z1 = normal_quantile(np.clip(share, 0.001, 0.999))
-    beta, centre, sd = (float(rows[c].iloc[0]) for c in ("beta", "centre", "sd"))
-    z2 = (second - beta * first - centre) / sd
-    z = np.where(has, (W_FIRST * z1 + W_SECOND * z2) / W_NORM, z1)
-    order = np.argsort(-z, axis=1, kind="stable")
-    in_top = np.bincount(order[:, : min(top, n)].ravel(), minlength=n) / draws
-    wins = np.bincount(order[:, 0], minlength=n) / draws
-    local = np.zeros(n)
-    for at in members:
-        best = np.argsort(-z[:, at], axis=1, kind="stable")[:, : min(top, len(at))]
-        local[at] = np.bincount(best.ravel(), minlength=len(at)) / draws
-    low, mid, high = (normal_cdf(q) for q in np.quantile(z, [0.025, 0.5, 0.975], axis=0))
+def _normal(u: np.ndarray) -> np.ndarray:
+    """Inverse normal of shares, looked up once per distinct one."""
+    values, which = np.unique(u, return_inverse=True)
+    return np.array([NormalDist().inv_cdf(v) for v in values])[which].reshape(u.shape)
+
+
+#: Draws of a stratum that are held at once.
+DRAW_BLOCK = 50
+
+
+def _stratum_draws(pdf: pd.DataFrame, feature: str, entity: str, stratum: str, draws: int, top: int, tail: float) -> pd.DataFrame:
+    """Band of every entity of one (feature, stratum), and the draws in which it is among the stratum's first."""
+    rows = pdf.sort_values(entity, kind="stable")
+    n = len(rows)
+    get = lambda c: rows[c].to_numpy(dtype=float)
+    z1, e1, z2, e2 = get("z1"), np.nan_to_num(get("se1")), get("z2"), np.nan_to_num(get("se2"))
+    slope, centre, sd = get("beta"), get("centre"), get("sd")
+    two = ~np.isnan(z2)
+    shares = _normal(np.clip(np.arange(1, n + 1) / n, 0.001, 0.999))
+
+    def combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        order = np.argsort(a, axis=1, kind="stable")
+        first = np.empty_like(a)
+        np.put_along_axis(first, order, np.broadcast_to(shares, a.shape), axis=1)
+        residual = (b - slope * a - centre) / sd
+        return np.where(two, (W_FIRST * first + W_SECOND * residual) / W_NORM, first)
+
+    # Quantiles need the outermost values alone, so only those are kept from block to block.
+    place = tail * (draws - 1)
+    keep = int(np.floor(place)) + 2
+    lowest, highest = np.zeros((0, n)), np.zeros((0, n))
+    firsts: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    rng = np.random.default_rng(seed_of(rows[feature].iloc[0], rows[stratum].iloc[0], draws))
+    for begin in range(0, draws, DRAW_BLOCK):
+        size = min(DRAW_BLOCK, draws - begin)
+        noise = rng.standard_normal((2, size, n))
+        z = combined(z1 + noise[0] * e1, np.nan_to_num(z2) + noise[1] * e2)
+        lowest = np.sort(np.vstack((lowest, z)), axis=0)[:keep]
+        highest = -np.sort(-np.vstack((highest, z)), axis=0)[:keep]
+        best = np.argsort(-z, axis=1, kind="stable")[:, :top]
+        for i in range(size):
+            for j in best[i]:
+                firsts[j].append((begin + i, float(z[i, j])))
+    at, part = int(np.floor(place)), place - np.floor(place)
+    edge = lambda x: x[at] + (x[min(at + 1, len(x) - 1)] - x[at]) * part
     return pd.DataFrame(
         {
-            feature: key, entity: rows[entity], "score": mid, "ci_low": low, "ci_high": high, "ci_width": high - low,
-            "top_global_pct": 100 * in_top, "top_stratum_pct": 100 * local, "win_rate_pct": 100 * wins,
+            feature: rows[feature], entity: rows[entity], "z_low": edge(lowest), "z_high": edge(highest), "z_point": combined(z1[None, :], np.nan_to_num(z2)[None, :])[0],
+            "firsts": [[{"draw": d, "z": z} for d, z in x] for x in firsts],
         }
     )
 
 
-def score_intervals(df: DataFrame, feature: str, entity: str, stratum: str, draws: int = 500, top: int = 20) -> DataFrame:
-    """Monte-Carlo intervals of the score and how stable ranks are, a feature at a time, seeded by the feature.
+def score_intervals(df: DataFrame, feature: str, entity: str, stratum: str, draws: int = 500, top: int = 10, tail: float = 0.025) -> DataFrame:
+    """(feature, entity, score, ci_low, ci_high, ci_width, n_layers, n_sources, top_global_pct, top_stratum_pct, win_rate_pct).
 
-    ``df`` has z1, se1 (first layer), z2, se2 (second, NULL where unmeasured), and per feature beta,
-    centre and sd of the residual.
+    ``df`` has z1, se1 (first layer), z2, se2 (second, NULL where unmeasured), per feature beta, centre and sd of the
+    residual, and point (the deterministic score, NULL where unknown) and n_sources. Every draw adds normal
+    noise of the standard errors, ranks the first layer within (feature, stratum), takes the residual of the second and
+    combines both. ``score`` is the point score, or that of the draw without noise where it is unknown; the band
+    runs from the ``tail`` to the 1 - ``tail`` quantile and is widened to hold it. The shares of draws in which an
+    entity is among the ``top`` of its stratum, of all, or the very first come in per cent.
+
+    A task holds one (feature, stratum), ``DRAW_BLOCK`` draws at a time; draws are seeded by both, so
+    partitions do not matter. Only each draw's first ``top`` of a stratum go on to be ranked over all strata.
     """
     names = [feature, entity, stratum, "z1", "se1", "z2", "se2", "beta", "centre", "sd"]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = f"{feature} {kinds[feature]}, {entity} {kinds[entity]}, score double, ci_low double, ci_high double, ci_width double, top_global_pct double, top_stratum_pct double, win_rate_pct double"
-    f = _bound(_intervals, feature=feature, entity=entity, stratum=stratum, draws=draws, top=top)
-    return df.select(*names).groupBy(feature).applyInPandas(f, schema)
+    schema = f"`{feature}` {kinds[feature]}, `{entity}` {kinds[entity]}, z_low double, z_high double, z_point double, firsts array<struct<draw: int, z: double>>"
+    f = _bound(_stratum_draws, feature=feature, entity=entity, stratum=stratum, draws=draws, top=top, tail=tail)
+    bands = written(df.where(F.col("z1").isNotNull()).select(*names).groupBy(feature, stratum).applyInPandas(f, schema))
+    firsts = bands.select(feature, entity, F.explode("firsts").alias("x")).select(feature, entity, "x.draw", "x.z")
+    # top x strata rows a (feature, draw)
+    placed = firsts.withColumn("k", F.row_number().over(Window.partitionBy(feature, "draw").orderBy(F.desc("z"), F.asc(entity))))
+    wins = placed.groupBy(feature, entity).agg(F.count_if(F.col("k") <= top).alias("__g"), F.count_if(F.col("k") == 1).alias("__w"))
+    known = df.where(F.col("z1").isNotNull()).select(feature, entity, "point", "n_sources", F.when(F.col("z2").isNotNull(), 2).otherwise(1).alias("n_layers"))
+    joined = bands.join(known, [feature, entity]).join(wins, [feature, entity], "left")
+    score = F.coalesce("point", phi("z_point"))
+    low, high = F.least(phi("z_low"), F.col("score")), F.greatest(phi("z_high"), F.col("score"))
+    pct = lambda c: 100.0 * F.coalesce(c, F.lit(0)) / draws
+    return joined.withColumn("score", score).withColumns({"ci_low": low, "ci_high": high}).select(
+        feature, entity, "score", "ci_low", "ci_high", (F.col("ci_high") - F.col("ci_low")).alias("ci_width"), "n_layers", "n_sources",
+        pct(F.col("__g")).alias("top_global_pct"), pct(F.size("firsts")).alias("top_stratum_pct"), pct(F.col("__w")).alias("win_rate_pct"),
+    )
+
+
+#: How much the second layer's error grows with its platforms' disagreement.
+TIER_FACTORS = {"consistent": 1.0, "cautious": 1.5, "conflicting": 2.2}
+
+
+def second_layer_error(k: Column, between: Column, tier: Column, prior: float = 0.45, within: float = 0.3) -> Column:
+    """Standard error from the spread between sources and a floor that grows with the platform tier; an unknown tier
+    counts as cautious."""
+    factor = F.lit(TIER_FACTORS["cautious"])
+    for name, times in TIER_FACTORS.items():
+        factor = F.when(tier == name, times).otherwise(factor)
+    a = F.coalesce(F.when(k >= 2, between / F.sqrt(F.greatest(k, F.lit(1)).cast("double"))), F.lit(prior))
+    return F.sqrt(a * a + (within * factor) ** 2)
 
 
-def first_layer_error(k: Column, between: Column, prior: float = 0.5, within: float = 0.3, sources: int = 3, cap: float = 1.5) -> Column:
+def first_layer_error(k: Column, between: Column, prior: float = 0.25, within: float = 0.3, sources: int = 3, cap: float = 1.5) -> Column:
     """Standard error from the spread between sources and a floor that grows as sources are missing, up to ``cap``."""
     seen = F.greatest(k, F.lit(1)).cast("double")
     a = F.coalesce(F.when(k >= 2, between / F.sqrt(seen)), F.lit(prior))

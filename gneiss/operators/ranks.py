@@ -5,13 +5,13 @@ Every window partitions by a feature (and stratum), whose rows are bounded by th
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions.stats import with_phi_inverse
-from gneiss.session import cut
+from gneiss.operators.running import running_sums
 
 
 def average_rank(by: Sequence[str], value: str, ascending: bool = True) -> Column:
@@ -71,43 +71,58 @@ def normal_scores(df: DataFrame, by: Sequence[str], value: str, out: str, form:
 
 
 def roc_steps(df: DataFrame, by: Sequence[str], score: str, positive: str) -> DataFrame:
-    """(by, score, tp, fp, tpr, fpr) at each distinct score from the highest down; equal scores make one step."""
-    each = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(
-        F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n")
-    )
-    down = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
-    tp, fp = F.sum("p").over(down), F.sum("n").over(down)
-    return each.select(
-        *by, score, tp.alias("tp"), fp.alias("fp"),
-        (tp / F.nullif(F.sum("p").over(whole), F.lit(0))).alias("tpr"), (fp / F.nullif(F.sum("n").over(whole), F.lit(0))).alias("fpr"),
+    """(by, score, tp, fp, tpr, fpr) at each distinct score from the highest down; equal scores make one step.
+
+    A NULL label is a negative. Groups of any size: scores are counted first, then run up in pieces.
+    """
+    return _steps(df, by, score, positive).select(
+        *by, score, F.col("p_upto").alias("tp"), F.col("n_upto").alias("fp"),
+        (F.col("p_upto") / F.nullif(F.col("p_all"), F.lit(0))).alias("tpr"), (F.col("n_upto") / F.nullif(F.col("n_all"), F.lit(0))).alias("fpr"),
     )
 
 
+def _steps(df: DataFrame, by: Sequence[str], score: str, positive: str) -> DataFrame:
+    """(by, score, p, n) per distinct known score with running counts from the highest score down."""
+    yes = F.coalesce(F.col(positive), F.lit(False))
+    each = df.where(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(*by, score).agg(F.count_if(yes).alias("p"), F.count_if(~yes).alias("n"))
+    return running_sums(each, by, [F.desc(score)], {"p": F.col("p"), "n": F.col("n")})
+
+
 def auroc(df: DataFrame, by: Sequence[str], score: str, positive: str) -> DataFrame:
-    """(by, n_pos, n_neg, auroc) by the rank sum; NULL without both classes."""
-    ranked = df.where(F.col(score).isNotNull()).withColumn("__r", average_rank(by, score))
-    got = ranked.groupBy(*by).agg(
-        F.count_if(F.col(positive)).alias("n_pos"),
-        F.count_if(~F.col(positive)).alias("n_neg"),
-        F.sum(F.when(F.col(positive), F.col("__r"))).alias("__s"),
-    )
-    pairs = F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0))
-    return got.withColumn("auroc", (F.col("__s") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0) / pairs).drop("__s")
+    """(by, n_pos, n_neg, auroc): the share of (positive, negative) pairs that the score orders rightly, ties half.
+
+    NULL without both classes; a NULL label is a negative. Groups of any size, ``by`` may be empty.
+    """
+    below = F.col("n_all") - F.col("n_upto")
+    wins = F.sum(F.col("p") * (below + F.col("n") / 2.0))
+    got = _steps(df, by, score, positive).groupBy(*by).agg(F.coalesce(F.sum("p"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_neg"), wins.alias("__w"))
+    pairs = F.nullif(F.col("n_pos").cast("double") * F.col("n_neg"), F.lit(0.0))
+    return got.withColumn("auroc", F.col("__w") / pairs).drop("__w")
 
 
 def auroc_of_all(df: DataFrame, score: str, positive: str) -> DataFrame:
-    """(n_pos, n_neg, auroc) of the whole table, of any size: distinct scores range-sorted over all tasks.
+    """(n_pos, n_neg, auroc) of the whole table, rows without a label left out."""
+    return auroc(df.where(F.col(positive).isNotNull()), [], score, positive)
+
+
+def partial_areas(df: DataFrame, by: Sequence[str], score: str, positive: str, regions: Mapping[str, tuple[float, float]], least: int = 2) -> DataFrame:
+    """One row per group with the standardised area under the ROC curve over each region of false-positive rates.
 
-    A piece counts the wins over its own negatives; those of the pieces before it come from one row per
-    piece. NULL without both classes.
+    The curve's points are the distinct scores; every segment between two of them is cut to the region and its
+    trapezoid added up, so the area is exact. It is scaled so that chance gives 0.5 and a perfect order 1:
+    (1 + (area - chance) / (best - chance)) / 2. NULL without ``least`` rows of either class.
     """
-    known = df.where(F.col(score).isNotNull() & F.col(positive).isNotNull())
-    each = known.groupBy(score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
-    pieces = cut(each.repartitionByRange(score).withColumn("__p", F.spark_partition_id()))
-    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = pieces.withColumn("__b", before(Window.partitionBy("__p").orderBy(score)))
-    sums = own.groupBy("__p").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(F.col("p") * (F.col("__b") + F.col("n") / 2.0)).alias("__w"))
-    wins = F.col("__w") + F.col("p").cast("double") * before(Window.orderBy("__p"))  # one row per piece
-    got = sums.select("p", "n", wins.alias("__w")).agg(F.coalesce(F.sum("p"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_neg"), F.sum("__w").alias("__w"))
-    return got.select("n_pos", "n_neg", (F.col("__w") / F.nullif(F.col("n_pos").cast("double") * F.col("n_neg"), F.lit(0.0))).alias("auroc"))
+    p, n = F.col("p_all").cast("double"), F.col("n_all").cast("double")
+    x0, x1 = (F.col("n_upto") - F.col("n")) / F.nullif(n, F.lit(0.0)), F.col("n_upto") / F.nullif(n, F.lit(0.0))
+    y0, y1 = (F.col("p_upto") - F.col("p")) / F.nullif(p, F.lit(0.0)), F.col("p_upto") / F.nullif(p, F.lit(0.0))
+    points = _steps(df, by, score, positive).select(*by, "p_all", "n_all", x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"))
+    x0, x1, y0, y1 = (F.col(c) for c in ("x0", "x1", "y0", "y1"))
+    areas = []
+    for name, (low, high) in regions.items():
+        a, b = F.greatest(x0, F.lit(low)), F.least(x1, F.lit(high))
+        middle = y0 + (y1 - y0) * ((a + b) / 2 - x0) / (x1 - x0)
+        chance, best = (high * high - low * low) / 2, high - low
+        area = F.coalesce(F.sum(F.when(b > a, (b - a) * middle)), F.lit(0.0))
+        enough = (F.max("p_all") >= least) & (F.max("n_all") >= least)
+        areas.append(F.when(enough, (1 + (area - chance) / (best - chance)) / 2).alias(name))
+    return points.groupBy(*by).agg(*areas)

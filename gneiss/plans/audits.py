@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gneiss.functions import stats
 from gneiss.operators import aggregates, audits, clusters, combine, correlate, ranks, serving, similarity, thresholds, zscores
 from gneiss.plans import roles
 from gneiss.plans.registry import Registry
@@ -146,10 +147,45 @@ def g19_rank_sum(spark: SparkSession, d: str) -> DataFrame:
     return audits.rank_sum(panel(spark, d), ["feat"], "score", "dep").select("feat", F.round("u", 3).alias("u"), *r6("z", "cliffs_delta"))
 
 
-@query()
+_AREA = "(1 + (coalesce(sum(CASE WHEN least(x1, {h}) > greatest(x0, {l}) THEN (least(x1, {h}) - greatest(x0, {l})) * (y0 + (y1 - y0) * ((greatest(x0, {l}) + least(x1, {h})) / 2 - x0) / (x1 - x0)) END), 0) - ({h} * {h} - {l} * {l}) / 2) / ({h} - {l} - ({h} * {h} - {l} * {l}) / 2)) / 2"
+_GATE = {
+    "pk": "SELECT feat, ent, score, coalesce(dep, false) AS y, expr AS f, row_number() OVER (PARTITION BY feat ORDER BY score, ent) AS k, count(*) OVER (PARTITION BY feat) AS n, count(*) FILTER (WHERE dep) OVER (PARTITION BY feat) AS np, min(expr) OVER (PARTITION BY feat) AS lo FROM pn WHERE score IS NOT NULL",
+    "fit": "SELECT *, least((k - 1) * 10 // n, 9) AS b FROM pk WHERE n >= 30 AND np >= 5 AND n - np >= 5",
+    "bn": "SELECT feat, b, count(*) AS size, count(*) FILTER (WHERE y) AS hits, count(*) FILTER (WHERE y) / count(*) / (max(np) / max(n)) AS ratio FROM fit GROUP BY ALL",
+    "b2": "SELECT feat, list(round(ratio, 6) ORDER BY b) AS profile, max(ratio) FILTER (WHERE b = 0) AS d1_ratio, stddev_pop(ratio) FILTER (WHERE b > 0) AS upper_sd, max(size) FILTER (WHERE b = 0) AS size0, max(hits) FILTER (WHERE b = 0) AS hits0 FROM bn GROUP BY feat",
+    "ct": "SELECT feat, max(n) AS n_lines, max(np) AS n_pos, " + ", ".join(f"count(*) FILTER (WHERE k <= greatest(1, round_even(n * {q} / 100.0, 0)) AND NOT y) / count(*) FILTER (WHERE k <= greatest(1, round_even(n * {q} / 100.0, 0))) AS npv{q}" for q in (5, 10, 20))
+    + ", count(*) FILTER (WHERE f = lo) AS n_floor, count(*) FILTER (WHERE f = lo AND y) AS floor_hits FROM fit GROUP BY feat",
+    "ps": "SELECT feat, score, count(*) FILTER (WHERE y) AS p, count(*) FILTER (WHERE NOT y) AS q FROM pk GROUP BY ALL",
+    "pt": "SELECT feat, (sum(q) OVER w - q) / sum(q) OVER (PARTITION BY feat) AS x0, sum(q) OVER w / sum(q) OVER (PARTITION BY feat) AS x1, (sum(p) OVER w - p) / sum(p) OVER (PARTITION BY feat) AS y0, sum(p) OVER w / sum(p) OVER (PARTITION BY feat) AS y1 FROM ps WINDOW w AS (PARTITION BY feat ORDER BY score DESC)",
+    "ar": f"SELECT feat, {_AREA.format(l=0.8, h=1.0)} AS pauc_gate, {_AREA.format(l=0.0, h=0.1)} AS pauc_ranker, {_AREA.format(l=0.0, h=1.0)} AS auc FROM pt GROUP BY feat",
+    "gt": """SELECT feat, n_lines, n_pos, n_pos / n_lines AS base_rate, profile, d1_ratio, upper_sd, least(1.0, list_sum(list_transform(generate_series(greatest(0, size0 - (n_lines - n_pos)), least(hits0, n_pos, size0)), lambda k:
+  exp(lgamma(n_pos + 1) - lgamma(k + 1) - lgamma(n_pos - k + 1) + lgamma(n_lines - n_pos + 1) - lgamma(size0 - k + 1) - lgamma(n_lines - n_pos - size0 + k + 1) - lgamma(n_lines + 1) + lgamma(size0 + 1) + lgamma(n_lines - size0 + 1))))) AS d1_hyper_p,
+  pauc_gate, pauc_ranker, auc, npv5, npv10, npv20, n_floor, CASE WHEN n_floor >= 20 THEN floor_hits / n_floor / (n_pos / n_lines) END AS floor_ratio FROM ct JOIN b2 USING (feat) JOIN ar USING (feat)""",
+}
+_GATE_FIGURES = ("base_rate", "d1_ratio", "upper_sd", "d1_hyper_p", "pauc_gate", "pauc_ranker", "auc", "npv5", "npv10", "npv20", "floor_ratio")
+
+
+@query(sql("SELECT feat, n_lines, n_pos, profile, n_floor, " + ", ".join(f"round({c}, 6) AS {c}" for c in _GATE_FIGURES) + " FROM gt", "sc", **_PANEL, **_GATE))
 def g16_gate_readout(spark: SparkSession, d: str) -> DataFrame:
     """Decile ratios, partial areas, predictive values, tail probability and floor test per feature."""
-    return audits.gate_readout(panel(spark, d), "feat", "ent", "score", "dep", "expr")
+    got = audits.gate_readout(panel(spark, d), "feat", "ent", "score", "dep", "expr")
+    return got.select("feat", "n_lines", "n_pos", F.transform("profile", lambda x: F.round(x, 6)).alias("profile"), "n_floor", *r6(*_GATE_FIGURES))
+
+
+_SIGNED = {
+    "df": "SELECT pauc_gate - 0.5 AS x FROM gt WHERE pauc_gate IS NOT NULL",
+    "rk": "SELECT x, abs(x) AS a, rank() OVER (ORDER BY abs(x)) + (count(*) OVER (PARTITION BY abs(x)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY abs(x)) AS t FROM df WHERE x <> 0",
+    "wx": "SELECT sum(r) FILTER (WHERE x > 0) AS w, count(*) AS n, sum(t * t - 1.0) AS ties FROM rk",
+}
+
+
+@query(sql("SELECT n_features, round(q25, 6) AS q25, round(med, 6) AS median, round(q75, 6) AS q75, round(share_above, 6) AS share_above, round(w, 3) AS w, round(CASE WHEN n >= 6 THEN 2 * (" + stats.sql_phi("(-abs((w - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0)))")
+           + ") END, 6) AS p_value FROM (SELECT count(*) AS n_features, quantile_cont(pauc_gate, 0.25) AS q25, median(pauc_gate) AS med, quantile_cont(pauc_gate, 0.75) AS q75, avg(CAST(pauc_gate > 0.5 AS DOUBLE)) AS share_above FROM gt WHERE pauc_gate IS NOT NULL), wx",
+           "sc", **_PANEL, **_GATE, **_SIGNED))
+def g18_gate_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The gates of all features together, with the signed-rank test of their partial areas against chance."""
+    got = audits.gate_summary(audits.gate_readout(panel(spark, d), "feat", "ent", "score", "dep", "expr"))
+    return got.select("n_features", *r6("q25", "median", "q75", "share_above"), F.round("w", 3).alias("w"), *r6("p_value"))
 
 
 @query(sql("""SELECT feat, decile, count(*) AS n, round(avg(CAST(dep AS DOUBLE)), 6) AS rate, round(avg(CAST(dep AS DOUBLE)) / base, 6) AS ratio FROM (SELECT feat, dep, avg(CAST(dep AS DOUBLE)) OVER (PARTITION BY feat) AS base, CAST(least((row_number() OVER (PARTITION BY feat ORDER BY score, ent) - 1) * 10 // count(*) OVER (PARTITION BY feat), 9) AS INTEGER) AS decile FROM pn) GROUP BY feat, decile, base""", "sc", **_PANEL))
@@ -174,16 +210,23 @@ def g14_permutation_test(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def g30_score_intervals(spark: SparkSession, d: str) -> DataFrame:
-    """Monte-Carlo intervals, top-k stability and win rates."""
-    a, b = layers(spark, d)
-    first = a.select("feat", "ent", F.col("z_t").alias("z1"), audits.first_layer_error(F.col("k_src"), F.col("z_spread"), sources=2).alias("se1"))
-    second = b.select("feat", "ent", F.col("z_t").alias("z2"), F.lit(0.4).alias("se2"))
+    """Monte-Carlo intervals around the point score, top-k stability and win rates."""
+    a, b = (cut(x) for x in layers(spark, d))
+    m = roles.measurements(spark, d)
+    agreement = correlate.agreement(m.where(F.col("src") == "A"), m.where(F.col("src") == "N"), "feat", "ent", "value", 30)
+    tiers = agreement.select("feat", correlate.platform_tier(F.col("platform_rho")).alias("tier"))
+    first = a.select("feat", "ent", F.col("z_t").alias("z1"), F.col("k_src").alias("n_sources"), audits.first_layer_error(F.col("k_src"), F.col("z_spread"), sources=2).alias("se1"))
+    second = b.join(tiers, "feat", "left").select("feat", "ent", F.col("z_t").alias("z2"), audits.second_layer_error(F.col("k_src"), F.col("z_spread"), F.col("tier")).alias("se2"))
     both = first.join(second, ["feat", "ent"])
     slopes = combine.regression_slopes(both, "feat", "z1", "z2").select("feat", "beta")
     resid = both.join(slopes, "feat").withColumn("r", F.col("z2") - F.col("beta") * F.col("z1"))
-    stats = resid.groupBy("feat").agg(F.median("r").alias("centre"), F.greatest(F.stddev_samp("r"), F.lit(1e-6)).alias("sd"))
-    rows = first.join(second, ["feat", "ent"], "left").join(slopes, "feat").join(stats, "feat").join(roles.entities(spark, d), "ent")
-    return audits.score_intervals(rows, "feat", "ent", "strat", 500, 20)
+    stats_ = resid.groupBy("feat").agg(F.median("r").alias("centre"), F.greatest(F.stddev_samp("r"), F.lit(1e-6)).alias("sd"))
+    points = combine.core_score(a, b, "feat", "ent", "z_t", "k_src").select("feat", "ent", F.col("core_score").alias("point"))
+    rows = (
+        first.join(second, ["feat", "ent"], "left").join(slopes, "feat").join(stats_, "feat")
+        .join(roles.entities(spark, d), "ent").join(points, ["feat", "ent"], "left")
+    )
+    return audits.score_intervals(rows, "feat", "ent", "strat", 500, 10)
 
 
 @query(sql("SELECT CAST(sum(h) AS BIGINT) AS hits, CAST(sum(p) AS BIGINT) AS positives, round(sum(h) / sum(p), 6) AS hit_rate FROM (SELECT feat, count(*) FILTER (WHERE k <= 20 AND dep) AS h, count(*) FILTER (WHERE dep) AS p FROM (SELECT *, row_number() OVER (PARTITION BY feat ORDER BY score DESC, ent) AS k FROM pn) GROUP BY feat)", "sc", **_PANEL))

@@ -566,7 +566,7 @@ def d07_correlated_effective_size(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT event_type, user_id, round(p, 9) AS p, round(least(1.0, min(p * m / r) OVER (ORDER BY p DESC, 1 ROWS UNBOUNDED PRECEDING)), 9) AS q FROM (SELECT *, rank() OVER (ORDER BY p DESC) AS dr, count(*) OVER () AS m, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS r FROM (SELECT event_type, user_id, min(value) / 1000 AS p FROM events GROUP BY ALL))""")
 def d08_false_discovery_rate(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").groupBy("event_type", "user_id").agg((F.min("value") / 1000).alias("p"))
-    return audits.benjamini_hochberg(e, "p").select("event_type", "user_id", F.round("p", 9).alias("p"), F.round("q", 9).alias("q"))
+    return audits.false_discovery(e, "p").select("event_type", "user_id", F.round("p", 9).alias("p"), F.round("q", 9).alias("q"))
 
 
 _ANOVA = {

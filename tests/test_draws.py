@@ -1,4 +1,4 @@
-"""Queries with random draws are registered with the reference's counts (04_cluster_bootstrap.py, ci_scores.py)."""
+"""Queries with random draws are registered with the full numbers of draws."""
 
 from __future__ import annotations
 

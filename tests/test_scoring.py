@@ -10,7 +10,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from gneiss.operators import aggregates, audits, clusters, combine, correlate, evidence, ranks, reshape, resolve, serving, similarity, skew, thresholds, zscores
+from gneiss.operators import aggregates, audits, clusters, combine, correlate, evidence, ranks, reshape, resolve, running, serving, similarity, skew, thresholds, zscores
 
 
 def frame(spark, values, feat="f", strat="s"):
@@ -169,8 +169,6 @@ def test_hot_keys(spark):
 def test_partial_area_and_auroc(spark):
     rng = np.random.default_rng(1)
     score, label = rng.random(400), rng.random(400) < 0.3
-    assert audits.trapezoid_pauc(score, label, 0.0, 1.0) == pytest.approx(0.5, abs=0.12)
-    assert audits.trapezoid_pauc(label.astype(float), label, 0.0, 0.1) > 0.99 and math.isnan(audits.trapezoid_pauc(score, label & False, 0, 1))
     df = spark.createDataFrame([("g", f"e{i}", float(s), bool(p), float(s)) for i, (s, p) in enumerate(zip(score, label, strict=True))], "g string, e string, s double, p boolean, x double")
     want = np.mean([(a > b) + 0.5 * (a == b) for a in score[label] for b in score[~label]])
     assert ranks.auroc(df, ["g"], "s", "p").collect()[0]["auroc"] == pytest.approx(want)
@@ -178,8 +176,70 @@ def test_partial_area_and_auroc(spark):
     assert gate["auc"] == pytest.approx(want, abs=0.01) and len(gate["profile"]) == 10 and gate["n_pos"] == label.sum()
     again = audits.gate_readout(df.repartition(3), "g", "e", "s", "p", "x").collect()[0]
     assert again == gate, "partitions do not matter"
-    assert audits.hypergeometric_tail(1, 10, 3, 4) == pytest.approx((math.comb(7, 4) + 3 * math.comb(7, 3)) / math.comb(10, 4))
-    assert audits.wilcoxon_signed([1, 2, 3, 4, 5, 6, 7]) < 0.05 < audits.wilcoxon_signed([1, -2, 3, -4, 5, -6, 7])
+    area = lambda a, b: partial_area(score, label, a, b)
+    assert [gate[k] for k in audits.REGIONS] == [pytest.approx(area(*r)) for r in audits.REGIONS.values()]
+    perfect = ranks.partial_areas(df.withColumn("s", F.col("p").cast("double")), ["g"], "s", "p", {"a": (0.0, 0.1), "b": (0.8, 1.0)}).collect()[0]
+    assert perfect["a"] == pytest.approx(1.0)
+    assert ranks.partial_areas(df.withColumn("p", F.lit(False)), ["g"], "s", "p", {"a": (0.0, 1.0)}).collect()[0]["a"] is None
+    got = spark.range(1).select(audits.hypergeometric_tail(F.lit(1), F.lit(10), F.lit(3), F.lit(4)).alias("a"), audits.hypergeometric_tail(F.lit(5), F.lit(10), F.lit(3), F.lit(4)).alias("b"), audits.hypergeometric_tail(F.lit(40), F.lit(3000), F.lit(800), F.lit(200)).alias("c")).collect()[0]
+    assert got["a"] == pytest.approx((math.comb(7, 4) + 3 * math.comb(7, 3)) / math.comb(10, 4)) and got["b"] == pytest.approx(1.0)
+    assert got["c"] == pytest.approx(sum(math.comb(800, k) * math.comb(2200, 200 - k) for k in range(41)) / math.comb(3000, 200))
+
+
+def partial_area(score, label, low, high):
+    """Fine numeric integration of the stepwise-linear curve."""
+    cuts = np.unique(score)[::-1]
+    x, y = (np.concatenate(([0.0], [(score[k] >= c).mean() for c in cuts])) for k in (~label, label))
+    grid = np.unique(np.concatenate((np.linspace(low, high, 2001), x[(x > low) & (x < high)])))
+    at = np.interp((grid[1:] + grid[:-1]) / 2, x, y)
+    area, chance = float((at * np.diff(grid)).sum()), (high**2 - low**2) / 2
+    return (1 + (area - chance) / (high - low - chance)) / 2
+
+
+@pytest.mark.parametrize("pieces", [1, 7])
+def test_running_sums_over_pieces(spark, pieces):
+    rng = np.random.default_rng(3)
+    data = [("hot" if i % 3 else (None if i % 5 == 0 else f"k{i % 4}"), int(i), int(v)) for i, v in enumerate(rng.integers(0, 9, 900))]
+    df = spark.createDataFrame(data, "g string, i int, v int")
+    got = rows(running.running_sums(df.repartition(3), ["g"], [F.asc("i")], {"v": F.col("v"), "n": F.lit(1)}, pieces))
+    want, total = [], {}
+    for g, i, v in data:
+        a, b = total.get(g, (0, 0))
+        total[g] = (a + v, b + 1)
+        want.append((g, i, v, *total[g]))
+    want = [(g, i, v, a, b, *total[g]) for g, i, v, a, b in want]
+    assert sorted(got, key=lambda r: r[1]) == want
+
+
+def test_signed_rank_and_discovery_rates(spark):
+    tests = {"a": [1, 2, 3, 4, 5, 6, 7], "b": [1, -2, 3, -4, 5, -6, 7], "c": [1, 2], "d": [0, None]}
+    df = spark.createDataFrame([(k, float(x) if x is not None else None) for k, v in tests.items() for x in v], "g string, x double")
+    got = {r["g"]: r for r in audits.signed_rank(df, ["g"], "x").collect()}
+    assert got["a"]["p_value"] < 0.05 < got["b"]["p_value"] and got["a"]["w"] == 28 and got["c"]["p_value"] is None and "d" not in got
+    rng = np.random.default_rng(4)
+    p = np.concatenate((rng.random(200), rng.random(40) * 1e-3, [0.5, 0.5, 1.0]))
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(p)] + [(999, None)], "i int, p double")
+    m = len(p)
+    for method, factor in (("bh", 1.0), ("by", sum(1 / i for i in range(1, m + 1))), ("storey", min(1.0, (1 + (p > 0.5).sum()) / (0.5 * m)))):
+        order = np.argsort(p)
+        raw = p[order] * m * factor / np.arange(1, m + 1)
+        want = np.empty(m)
+        want[order] = np.minimum(np.minimum.accumulate(raw[::-1])[::-1], 1)
+        got = {r["i"]: r["q"] for r in audits.false_discovery(df, "p", "q", method).collect()}
+        assert got.pop(999) is None and [got[i] for i in range(m)] == pytest.approx(list(want))
+
+
+def test_intervals(spark):
+    rng = np.random.default_rng(5)
+    z = rng.normal(size=60)
+    data = [("g", i, "ab"[i % 2], float(z[i]), 0.2, float(z[i]) if i % 3 else None, 0.3, 0.5, 0.0, 1.0, 0.9 if i == 5 else None, 2) for i in range(60)]
+    df = spark.createDataFrame(data, "f string, e int, s string, z1 double, se1 double, z2 double, se2 double, beta double, centre double, sd double, point double, n_sources int")
+    run = lambda d: rows(audits.score_intervals(d, "f", "e", "s", 200, 5))
+    got = run(df)
+    assert len(got) == 60 and got == run(df.repartition(5)), "seeded by group"
+    by = {r[1]: r for r in got}
+    assert by[5][2] == 0.9 and all(r[3] <= r[2] <= r[4] and r[5] == pytest.approx(r[4] - r[3]) for r in got)
+    assert {r[6] for r in got} == {1, 2} and sum(r[8] for r in got) == pytest.approx(500) and sum(r[9] for r in got) == pytest.approx(1000) and sum(r[10] for r in got) == pytest.approx(100)
 
 
 def test_seeded_draws_repeat(spark):
