@@ -57,9 +57,16 @@ def g01_nearest_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours(spark, d).select("query", "neighbour", *r6("similarity"), "rank")
 
 
-@query(sql("SELECT round(quantile_cont(similarity, 0.01), 6) AS p01, round(quantile_cont(similarity, 0.5), 6) AS p50, round(quantile_cont(similarity, 0.99), 6) AS p99, round(median(similarity) FILTER (WHERE rank = 1) - quantile_cont(similarity, 0.5), 6) AS nearest_gap FROM kn", **_knn()))
+_PAIRS = {
+    "pr": """SELECT a.vec_id AS query, b.vec_id AS neighbour, a.label AS la, b.label AS lb, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s,
+  list_cosine_similarity(CAST(a.embedding[1:32] AS DOUBLE[]), CAST(b.embedding[1:32] AS DOUBLE[])) AS s0, list_cosine_similarity(CAST(a.embedding[33:64] AS DOUBLE[]), CAST(b.embedding[33:64] AS DOUBLE[])) AS s1
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0"""
+}
+
+
+@query(sql("SELECT round(p01, 6) AS p01, round(p50, 6) AS p50, round(p99, 6) AS p99, round(gap, 6) AS nearest_gap FROM (SELECT quantile_cont(s, 0.01) AS p01, quantile_cont(s, 0.5) AS p50, quantile_cont(s, 0.99) AS p99 FROM pr), (SELECT median(g) AS gap FROM (SELECT max(s) - median(s) AS g FROM pr GROUP BY query))", **_PAIRS))
 def g02_resolution(spark: SparkSession, d: str) -> DataFrame:
-    """Over every pair of the query set; the SQL still takes the top K only."""
+    """Over every pair of the query set."""
     e = embedded(spark, d)
     return similarity.resolution(e, asked(e), "vec_id", "v").select(*r6("p01", "p50", "p99", "nearest_gap"))
 
@@ -77,9 +84,9 @@ def u07_cross_axis_agreement(spark: SparkSession, d: str) -> DataFrame:
     return similarity.cross_axis({"first": neighbours(spark, d, 0), "second": neighbours(spark, d, 1)}).select("query", "neighbour", "n_axes")
 
 
-@query(sql("SELECT count(*) AS n, round(corr(k0.similarity, k1.similarity), 6) AS r FROM k0 JOIN k1 USING (query, neighbour)", **_HALVES))
+@query(sql("SELECT count(*) AS n, round(corr(s0, s1), 6) AS r FROM pr", **_PAIRS))
 def g03_axis_correlation(spark: SparkSession, d: str) -> DataFrame:
-    """Over every pair of the query set; the SQL still takes the pairs in both top-K lists only."""
+    """Over every pair of the query set."""
     e = embedded(spark, d)
     return similarity.axis_correlation(e, asked(e), "vec_id", "v0", "v1").select("n", *r6("r"))
 
@@ -90,10 +97,10 @@ def g06_neighbour_purity(spark: SparkSession, d: str) -> DataFrame:
     return similarity.purity(neighbours(spark, d), labels(spark, d), "vec_id", "label").select(*r6("purity", "base_rate", "enrichment"))
 
 
-@query(sql("""SELECT CAST(sum(CAST(same AS INTEGER)) AS BIGINT) AS n_pos, CAST(sum(CAST(NOT same AS INTEGER)) AS BIGINT) AS n_neg, round((sum(CASE WHEN same THEN r END) - n1 * (n1 + 1) / 2.0) / nullif(n1 * n0, 0), 6) AS auroc FROM (SELECT *, rank() OVER (ORDER BY similarity) + (count(*) OVER (PARTITION BY similarity) - 1) / 2.0 AS r,
-count(*) FILTER (WHERE same) OVER () AS n1, count(*) FILTER (WHERE NOT same) OVER () AS n0 FROM (SELECT similarity, a.label = b.label AS same FROM kn JOIN embeddings a ON query = a.vec_id JOIN embeddings b ON neighbour = b.vec_id)) GROUP BY n1, n0""", **_knn()))
+@query(sql("""SELECT n1 AS n_pos, n0 AS n_neg, round((sum(r) FILTER (WHERE same) - n1 * (n1 + 1) / 2.0) / (CAST(n1 AS DOUBLE) * n0), 6) AS auroc FROM (SELECT same, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r, count(*) FILTER (WHERE same) OVER () AS n1, count(*) FILTER (WHERE NOT same) OVER () AS n0
+FROM (SELECT round(s, 12) AS s, la = lb AS same FROM pr WHERE la IS NOT NULL AND lb IS NOT NULL)) GROUP BY n1, n0""", **_PAIRS))
 def g07_separation_auroc(spark: SparkSession, d: str) -> DataFrame:
-    """Over every pair of the query set; the SQL still takes the top K only."""
+    """Over every pair of the query set."""
     e = embedded(spark, d)
     return similarity.separation(e, asked(e), "vec_id", "v", "label").select("n_pos", "n_neg", *r6("auroc"))
 
@@ -399,9 +406,9 @@ def c08_agreement_thresholds(spark: SparkSession, d: str) -> DataFrame:
 _ABLE = {"ab": "SELECT ent FROM sc WHERE feat IN ('Brand#11', 'Brand#22', 'Brand#7') AND score IS NOT NULL GROUP BY ent HAVING count(DISTINCT feat) = 3"}
 
 
-@query(sql("SELECT query AS ent, neighbour, rank, round(similarity, 6) AS similarity FROM (SELECT query, neighbour, similarity, row_number() OVER (PARTITION BY query ORDER BY round(similarity, 9) DESC, neighbour) AS rank FROM kn WHERE neighbour IN (SELECT ent FROM ab)) WHERE rank <= 5", "sc", **_knn(), **_ABLE))
+@query(sql("SELECT query AS ent, neighbour, rank, round(s, 6) AS similarity FROM (SELECT query, neighbour, s, row_number() OVER (PARTITION BY query ORDER BY round(s, 12) DESC, neighbour) AS rank FROM pr WHERE neighbour IN (SELECT ent FROM ab)) WHERE rank <= 5", "sc", **_PAIRS, **_ABLE))
 def q12_alternatives(spark: SparkSession, d: str) -> DataFrame:
-    """The nearest of all that have a score for every feature of the query; the SQL still filters the top K only."""
+    """The nearest of all that have a score for every feature of the query."""
     e = embedded(spark, d)
     got = serving.nearest_able(e, asked(e), "vec_id", "v", roles.scores(spark, d), roles.FEATURES, "feat", "ent", "score", 5)
     return got.select("ent", "neighbour", "rank", *r6("similarity"))

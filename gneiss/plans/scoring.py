@@ -379,9 +379,9 @@ def m01_scalar_functions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(sql("SELECT ent, round(CASE WHEN a IS NULL OR b IS NULL OR c IS NULL THEN NULL ELSE least(a, b, c) END, 6) AS low, CASE WHEN a IS NULL OR b IS NULL OR c IS NULL THEN NULL WHEN a <= b AND a <= c THEN 'a' WHEN b <= c THEN 'b' ELSE 'c' END AS which, coalesce(abs(a) > 1 AND abs(b) > 1 AND sign(a) <> sign(b), false) AS opposed FROM wz WHERE feat = 'Brand#11'", "z", **_WIDE_Z))
+@query(sql("SELECT feat, ent, round(CASE WHEN a IS NULL OR b IS NULL OR c IS NULL THEN NULL ELSE least(a, b, c) END, 6) AS low, CASE WHEN a IS NULL OR b IS NULL OR c IS NULL THEN NULL WHEN a <= b AND a <= c THEN 'a' WHEN b <= c THEN 'b' ELSE 'c' END AS which, coalesce(abs(a) > 1 AND abs(b) > 1 AND sign(a) <> sign(b), false) AS opposed FROM wz", "z", **_WIDE_Z))
 def m09_strict_min_and_signs(spark: SparkSession, d: str) -> DataFrame:
-    """Of every feature; the SQL still has one feature only, and no feat."""
+    """Row-wise minimum, its column and opposed signs, of every feature."""
     w = wide_z(spark, d)
     cols = {k: F.col(k) for k in "abc"}
     return w.select("feat", "ent", F.round(stats.strict_min(list(cols.values())), 6).alias("low"), stats.argmin_name(cols, "abc").alias("which"), stats.signs_disagree(F.col("a"), F.col("b")).alias("opposed"))

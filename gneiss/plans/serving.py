@@ -563,10 +563,17 @@ def d07_correlated_effective_size(spark: SparkSession, d: str) -> DataFrame:
     return roles.measurements(spark, d).groupBy("feat").agg(F.round(n / (1 + (n - 1) * 0.1), 6).alias("n_eff"))
 
 
-@query("""SELECT event_type, user_id, round(p, 9) AS p, round(least(1.0, min(p * m / r) OVER (ORDER BY p DESC, 1 ROWS UNBOUNDED PRECEDING)), 9) AS q FROM (SELECT *, rank() OVER (ORDER BY p DESC) AS dr, count(*) OVER () AS m, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS r FROM (SELECT event_type, user_id, min(value) / 1000 AS p FROM events GROUP BY ALL))""")
+@query("""WITH e AS (SELECT event_type, user_id, min(value) / 1000 AS p FROM events GROUP BY ALL),
+r AS (SELECT *, count(*) OVER () AS m, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS r, (SELECT sum(1.0::DOUBLE / i) FROM (SELECT unnest(generate_series(1, (SELECT count(*) FROM e))) AS i)) AS h,
+  least(1.0, (1 + (SELECT count(*) FROM e WHERE p > 0.5)) / (0.5 * (SELECT count(*) FROM e))) AS pi0 FROM e)
+SELECT event_type, user_id, round(p, 9) AS p, round(least(1.0, min(p * m / r) OVER w), 9) AS q, round(least(1.0, min(p * m * h / r) OVER w), 9) AS q_by, round(least(1.0, min(p * m * pi0 / r) OVER w), 9) AS q_storey
+FROM r WINDOW w AS (ORDER BY p DESC ROWS UNBOUNDED PRECEDING)""")
 def d08_false_discovery_rate(spark: SparkSession, d: str) -> DataFrame:
+    """Step-up rates under independence, under any dependence, and with the estimated share of true nulls."""
     e = table(spark, d, "events").groupBy("event_type", "user_id").agg((F.min("value") / 1000).alias("p"))
-    return audits.false_discovery(e, "p").select("event_type", "user_id", F.round("p", 9).alias("p"), F.round("q", 9).alias("q"))
+    for out, method in (("q", "bh"), ("q_by", "by"), ("q_storey", "storey")):
+        e = audits.false_discovery(e, "p", out, method)
+    return e.select("event_type", "user_id", *[F.round(c, 9).alias(c) for c in ("p", "q", "q_by", "q_storey")])
 
 
 _ANOVA = {
