@@ -1,8 +1,8 @@
 """Free-typed values to the entries of a reference list, by a BK-tree under edit distance.
 
-The tree is built over the distinct normal forms of the reference and shared with every task; a list
-beyond ``SHARD_NAMES`` names is cut into shards, each broadcast by itself, and the winners of the
-shards are merged. Values are normalised and made distinct before the search, and exact hits never
+The tree is built over the distinct normal forms of the reference and broadcast; a list beyond ``SHARD_NAMES``
+names is cut into shards whose trees are built by the tasks that search them, each with a part of the values, and
+the winners of the shards are merged. Values are normalised and made distinct before the search, and exact hits never
 reach it. A task searches all its values together: the frontier of (value, node) pairs goes down the
 tree level by level, distances are bit-parallel over whole arrays, and the triangle inequality drops
 every child whose edge lies outside [d - t, d + t]. So all entries within t are found.
@@ -22,8 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.llm.shared import tasks
+
 #: Names of one shard: about 100 bytes each in a task.
 SHARD_NAMES = 200_000
+#: Values that are searched together in one shard's tree.
+PART_VALUES = 200_000
 #: (value, node) pairs handled at once.
 _FRONTIER = 400_000
 
@@ -244,24 +248,31 @@ def normal_forms(text: Column, describing: str = "") -> Column:
     return forms(text)
 
 
+def _found(values: pa.Array, names: list[str], tree: Tree, threshold: int) -> list[pa.Array]:
+    """(form, name, distance): the nearest names of each value, all of them where several are as near."""
+    listed = values.to_pylist()
+    v, n, d = search(tree, listed, threshold)
+    best = np.full(len(listed), threshold + 1)
+    np.minimum.at(best, v, d)
+    near = d == best[v]
+    v, n, d = v[near], n[near], d[near]
+    return [values.take(pa.array(v, pa.int64())), pa.array([names[i] for i in n], pa.string()), pa.array(d.astype(np.int32))]
+
+
+_FOUND = ["form", "name", "distance"]
+
+
 def _nearest(batches: Iterator[pa.RecordBatch], shared, threshold: int) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-    """The nearest names of each value, all of them where several are as near."""
-    names, tree = None, None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        if tree is None:
+        if batch.num_rows:
             names, tree = shared.value
-        values = batch.column(0).to_pylist()
-        v, n, d = search(tree, values, threshold)
-        best = np.full(len(values), threshold + 1)
-        np.minimum.at(best, v, d)
-        near = d == best[v]
-        v, n, d = v[near], n[near], d[near]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(v)), pa.array([names[i] for i in n], pa.string()), pa.array(d.astype(np.int32))],
-            ["form", "name", "distance"],
-        )
+            yield pa.RecordBatch.from_arrays(_found(batch.column(0), names, tree, threshold), _FOUND)
+
+
+def _nearest_of_shard(values: pa.Table, names: pa.Table, threshold: int) -> pa.Table:
+    """Within one shard of the names; values come to every shard, the shards' winners are merged later."""
+    listed = sorted(names.column("name").to_pylist())
+    return pa.Table.from_arrays(_found(values.column("form").combine_chunks(), listed, build(listed), threshold), _FOUND)
 
 
 def match(
@@ -271,6 +282,7 @@ def match(
     reference: DataFrame,
     threshold: int = 2,
     shard_names: int = SHARD_NAMES,
+    part_values: int = PART_VALUES,
 ) -> DataFrame:
     """The reference entry that each value means.
 
@@ -280,9 +292,10 @@ def match(
     count as one. Result: ``value_id``, ``entry``, ``distance``, ``n_entries``: entry is NULL where
     no name is within ``threshold``, or where several entries are equally near (``n_entries`` tells).
     Every row of ``values`` comes out; NULL values and those without any letter or digit match
-    nothing, and a form of up to ``threshold`` characters only matches exactly. Forms over
-    1,000 characters match only exactly too (their distance to a shorter name is too large anyway
-    unless the names are as long).
+    nothing, and a form of up to ``threshold`` characters only matches exactly. Names and values may be of any
+    length. Up to ``shard_names`` distinct names the tree is broadcast; beyond it names are cut into shards
+    of about that many and the values into parts of about ``part_values``, and each (shard, part) is one group of a
+    shuffle, with the same result.
     """
     spark = values.sparkSession
     keyed = values.select(*value_id, F.array_distinct(F.filter(forms, lambda x: x.isNotNull() & (x != ""))).alias("forms"))
@@ -302,20 +315,26 @@ def match(
         .where(F.col("hit").isNull())
         .select(F.explode("forms").alias("form"))
         .distinct()
-        .where((F.length("form") > threshold) & (F.length("form") <= 1000))
+        .where(F.length("form") > threshold)
     )
-    total = names.select("name").distinct().where(F.length("name") <= 1000 + threshold)
+    total = names.select("name").distinct()
+    schema = "form string, name string, distance int"
     shards = max(1, -(-total.count() // shard_names))
-    near = None
-    for k in range(shards):
-        part = total if shards == 1 else total.where(F.pmod(F.xxhash64("name"), F.lit(shards)) == k)
-        listed = sorted(r["name"] for r in part.collect())  # at most about shard_names names
+    if shards == 1:
+        listed = sorted(r["name"] for r in total.collect())  # at most shard_names names
         shared = spark.sparkContext.broadcast((listed, build(listed)))
-        found = hard.repartition("form").mapInArrow(
-            partial(_nearest, shared=shared, threshold=threshold), "form string, name string, distance int"
-        )
-        near = found if near is None else near.unionByName(found)
-    fuzzy = near.join(singles, "name").select("form", "entry", "n_entries", "distance")
+        # A given number of parts, which the optimiser does not merge: few values can take long.
+        near = hard.repartition(tasks(spark), "form").mapInArrow(partial(_nearest, shared=shared, threshold=threshold), schema)
+    else:
+        parts = max(1, -(-hard.count() // part_values))
+        number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        asked_of = hard.select("form", number("form", parts).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+        spread = total.select("name", number("name", shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+        groups = asked_of.groupBy("shard", "part").cogroup(spread.groupBy("shard", "part"))
+        near = groups.applyInArrow(partial(_nearest_of_shard, threshold=threshold), schema)
+    # Of the shards' winners only the nearest count.
+    nearest = near.join(near.groupBy("form").agg(F.min("distance").alias("__least")), "form").where(F.col("distance") == F.col("__least")).drop("__least") if shards > 1 else near
+    fuzzy = nearest.join(singles, "name").select("form", "entry", "n_entries", "distance")
     answers = exact.unionByName(fuzzy)
     ranked = (
         keyed.select(*value_id, F.explode("forms").alias("form"))

@@ -23,9 +23,8 @@ from pyspark.sql import types as T
 
 #: Rows that a leaf task holds at once; more only adds summaries to merge.
 LEAF_ROWS = 1_000_000
-#: Leaves from which on summaries are merged in two steps.
-MANY_LEAVES = 256
-_SPREAD = 64
+#: Leaves of one group that a task merges at most.
+MOST_TOGETHER = 256
 
 
 def _summary_fields() -> list[T.StructField]:
@@ -211,21 +210,21 @@ def merge(summaries: DataFrame, keys: list[str], size: int = 256) -> DataFrame:
     return base.repartition(*keys).mapInArrow(partial(_merged, keys=keys, size=size), schema)
 
 
-def _many_leaves(df: DataFrame) -> bool:
+def planned_leaves(df: DataFrame) -> int:
+    """How many tasks a scan of ``df`` is planned to take, hence how many leaves a group may have."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     part = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return size / max(1, part) > MANY_LEAVES
+    return -(-size // max(1, part))
 
 
-def premerge(summaries: DataFrame, keys: list[str], source: DataFrame, size: int = 256) -> DataFrame:
-    """Summaries of very many leaves merged in spread pieces first, so that no last task gets them all.
-
-    ``source`` is the table they came from, whose planned size tells how many leaves there are.
-    """
-    if not _many_leaves(source):
-        return summaries
-    base = summaries.select(*keys, "n", "v", "lo", "hi").withColumn("piece", F.pmod(F.spark_partition_id(), F.lit(_SPREAD)))
-    return merge(base, [*keys, "piece"], size).drop("piece")
+def premerge(summaries: DataFrame, keys: list[str], leaves: int, size: int = 256, together: int = MOST_TOGETHER) -> DataFrame:
+    """Summaries of ``leaves`` tasks merged in pieces of ``together`` leaves, level by level, until a group has at most
+    ``together`` of them left for the last merge. Up to that many are returned as they are."""
+    out = summaries.select(*keys, "n", "v", "lo", "hi")
+    while leaves > together:
+        leaves = -(-leaves // together)
+        out = merge(out.withColumn("piece", F.pmod(F.spark_partition_id(), F.lit(leaves))), [*keys, "piece"], size).drop("piece")
+    return out
 
 
 def rollup(summaries: DataFrame, key: str, sub: str, probs: list[float], size: int = 256) -> DataFrame:

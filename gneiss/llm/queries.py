@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions.ids import gene_id, lower_label, upper_id
@@ -71,7 +71,7 @@ def percentile_rows(spark: SparkSession, d: str, size: int = 256) -> DataFrame:
     rows = table(spark, d, "expr_long").where(F.col("log2_value") >= 0)  # NULL and impossible values are missing
     keys = {"gene_id": gene_id(F.col("gene_id")), "stratum": lower_label(F.col("stratum"))}
     leaves = quantiles.summarise(rows, keys, F.col("log2_value"), size)
-    return quantiles.rollup(quantiles.premerge(leaves, list(keys), rows, size), "gene_id", "stratum", PROBS, size)
+    return quantiles.rollup(quantiles.premerge(leaves, list(keys), quantiles.planned_leaves(rows), size), "gene_id", "stratum", PROBS, size)
 
 
 @query(
@@ -146,8 +146,8 @@ def typed_names(spark: SparkSession, d: str) -> DataFrame:
         canonical.normal_forms(F.regexp_replace("query", r"(?i)(ensg\d{11})\.\d+", "$1"), GENE_WORDS),
         _names(table(spark, d, "gene_lookup"), "ensg_id", ["ensg_id", "hgnc_symbol", "approved_name"], ["prev_symbols", "alias_symbols"]),
     )
-    return lines.select(F.lit("no_depmap_equivalent_hpa_rna").alias("table_name"), "row_id", "entry", "distance").unionByName(
-        genes.select(F.lit("gene_alias_result").alias("table_name"), F.col("query_id").alias("row_id"), "entry", "distance")
+    return lines.select(F.lit("no_depmap_equivalent_hpa_rna").alias("table_name"), "row_id", "entry", "distance", "n_entries").unionByName(
+        genes.select(F.lit("gene_alias_result").alias("table_name"), F.col("query_id").alias("row_id"), "entry", "distance", "n_entries")
     )
 
 
@@ -181,17 +181,40 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_OUTCOMES = "WITH" + _NAMES_SQL + """,
+nx AS (SELECT table_name, row_id, count(DISTINCT entry) AS n_entries FROM hits WHERE distance = best GROUP BY ALL),
+o AS (SELECT t.table_name, t.row_id, t.t, coalesce(n_entries, 0) AS n_entries, CASE WHEN w.entry IS NOT NULL AND w.distance = 0 THEN 'exact' WHEN w.entry IS NOT NULL THEN 'slips ' || w.distance WHEN n_entries > 1 THEN 'several entries' ELSE 'unmatched' END AS outcome
+  FROM typed t LEFT JOIN won w USING (table_name, row_id) LEFT JOIN nx USING (table_name, row_id))
+"""
+
+
+def outcomes(spark: SparkSession, d: str) -> DataFrame:
+    slips = F.concat(F.lit("slips "), F.col("distance").cast("string"))
+    known = F.col("entry").isNotNull()
+    outcome = F.when(known & (F.col("distance") == 0), "exact").when(known, slips).when(F.col("n_entries") > 1, "several entries").otherwise("unmatched")
+    return typed_names(spark, d).withColumn("outcome", outcome)
+
+
 @query(
-    "WITH" + _NAMES_SQL + """SELECT table_name, CASE WHEN w.entry IS NULL THEN 'unmatched' WHEN w.distance = 0 THEN 'exact' ELSE 'slips ' || w.distance END AS outcome, count(*) AS n_rows
-FROM typed LEFT JOIN won w USING (table_name, row_id) GROUP BY ALL"""
+    _OUTCOMES
+    + """SELECT o.table_name, CASE WHEN o.table_name = 'no_depmap_equivalent_hpa_rna' THEN h.resolution_method END AS resolution_method, outcome, count(*) AS n_rows
+FROM o LEFT JOIN no_depmap_equivalent_hpa_rna h ON h.row_id = o.row_id GROUP BY ALL"""
 )
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
-    """How many values of each table matched exactly, with how many slips, or not at all."""
-    outcome = (
-        F.when(F.col("entry").isNull(), "unmatched").when(F.col("distance") == 0, "exact")
-        .otherwise(F.concat(F.lit("slips "), F.col("distance").cast("string")))
-    )
-    return typed_names(spark, d).groupBy("table_name", outcome.alias("outcome")).agg(F.count("*").alias("n_rows"))
+    """How many values of each table, and of each method that had resolved them before, match exactly, with how many
+    slips, are as near to several entries, or are not matched at all."""
+    before = table(spark, d, "no_depmap_equivalent_hpa_rna").select(F.lit("no_depmap_equivalent_hpa_rna").alias("table_name"), "row_id", "resolution_method")
+    return outcomes(spark, d).join(before, ["table_name", "row_id"], "left").groupBy("table_name", "resolution_method", "outcome").agg(F.count("*").alias("n_rows"))
+
+
+@query(_OUTCOMES + "SELECT table_name, t AS value, max(n_entries) AS n_entries, count(*) AS n_rows FROM o WHERE outcome IN ('unmatched', 'several entries') GROUP BY ALL")
+def p7_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The values as typed that mean no entry, or several, and how often each occurs."""
+    typed = table(spark, d, "no_depmap_equivalent_hpa_rna").select(F.lit("no_depmap_equivalent_hpa_rna").alias("table_name"), "row_id", F.col("hpa_name").alias("value")).unionByName(
+        table(spark, d, "gene_alias_result").select(F.lit("gene_alias_result").alias("table_name"), F.col("query_id").alias("row_id"), F.col("query").alias("value"))
+    )
+    left = outcomes(spark, d).where(F.col("entry").isNull()).join(typed, ["table_name", "row_id"])
+    return left.groupBy("table_name", "value").agg(F.max("n_entries").alias("n_entries"), F.count("*").alias("n_rows"))
 
 
 # ---------------------------------------------------------------- 8: leaked evaluation items
@@ -220,13 +243,20 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- 9: mixing sources
 
 
-def _mixing(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _mixing(spark: SparkSession, d: str, tokens: Callable[[SparkSession, Column], Column] = mixing.token_count) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sizes, first histogram and plan."""
     docs = table(spark, d, "documents")
-    sizes = mixing.sized(docs, F.col("doc_id"), lower_label(F.col("source")), mixing.token_count(F.col("text")), F.col("text"))
+    sizes = mixing.sized(docs, F.col("doc_id"), lower_label(F.col("source")), tokens(spark, F.col("text")), F.col("text"))
     targets = table(spark, d, "mix_targets").select(
         lower_label(F.col("source")).alias("source"), F.col("target_share").alias("share"), "max_repeats"
     )
-    return sizes, mixing.budgets(sizes, targets)
+    first = mixing.histogram(sizes)
+    return sizes, first, mixing.budgets(first, targets)
+
+
+def characters(_: SparkSession, text: Column) -> Column:
+    """Sizes in characters, which SQL can count too."""
+    return F.coalesce(F.length(text), F.lit(0)).cast("bigint")
 
 
 @query(
@@ -235,9 +265,8 @@ SELECT m.source FROM mix_targets m LEFT JOIN s ON s.source = lower(trim(m.source
 WHERE coalesce(s.n, 0) * max_repeats < target_share * (SELECT sum(n) FROM s)"""
 )
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    """Sources that miss their target even at full repeats."""
-    sizes, plan = _mixing(spark, d)
-    return mixing.shares(mixing.mix(sizes, plan), plan).where("short").select("source")
+    """Sources that miss their target even at full repeats: their whole histogram does not reach it."""
+    return _mixing(spark, d)[2].where("short").select("source")
 
 
 @query()
@@ -249,8 +278,44 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """Each source's target share, its share of the mix and of the wanted total."""
-    sizes, plan = _mixing(spark, d)
-    return mixing.shares(mixing.mix(sizes, plan), plan)
+    sizes, first, plan = _mixing(spark, d)
+    return mixing.shares(mixing.mix(sizes, first, plan), plan)
+
+
+# The mix by characters: the same operator and whole tables, with sizes that SQL has too. Texts in the order of their
+# hash fill the budget while they fit; the operator stops at a bucket of its last level, where two hashes are rarely equal.
+_MIX_SQL = """WITH b AS (SELECT doc_id, nullif(lower(trim(source)), '') AS source, coalesce(length(text), 0) AS tokens, sha256(CASE WHEN length(text) > 0 THEN 't' || text ELSE 'i' || doc_id END) AS key FROM documents),
+k AS (SELECT *, CAST('0x' || key[1:12] AS BIGINT) % 1073741824 AS h, row_number() OVER (PARTITION BY source, key ORDER BY doc_id) - 1 AS copy, count(*) OVER (PARTITION BY source, key) AS copies FROM b),
+t AS (SELECT source, sum(tokens) AS size, sum(tokens) FILTER (WHERE copy = 0) AS once FROM k GROUP BY source),
+p AS (SELECT lower(trim(m.source)) AS source, coalesce(target_share, 0) AS share, coalesce(max_repeats, 0) AS max_repeats, coalesce(size, 0) AS size, coalesce(once, 0) AS once, (SELECT sum(size) FROM t) AS total,
+  coalesce(target_share, 0) * (SELECT sum(size) FROM t) AS need FROM mix_targets m LEFT JOIN t ON t.source = lower(trim(m.source))),
+q AS (SELECT *, CASE WHEN once > 0 THEN least(floor(need / once), max_repeats) ELSE 0 END AS whole FROM p),
+r AS (SELECT *, CASE WHEN whole < max_repeats THEN need - whole * once ELSE 0 END AS rest FROM q),
+c AS (SELECT source, h, sum(sum(tokens)) OVER (PARTITION BY source ORDER BY h) AS upto FROM k WHERE copy = 0 GROUP BY source, h),
+e AS (SELECT r.source, min(h) AS threshold FROM r JOIN c USING (source) WHERE upto > rest GROUP BY r.source),
+u AS (SELECT doc_id, k.source, tokens, floor((least(whole + CASE WHEN h < coalesce(threshold, 1073741824) THEN 1 ELSE 0 END, max_repeats) + copies - 1 - copy) / copies) AS repeats
+  FROM k JOIN r ON k.source = r.source LEFT JOIN e ON k.source = e.source),
+x AS (SELECT doc_id, source, tokens, CAST(repeats AS BIGINT) AS repeats FROM u WHERE repeats > 0)
+"""
+
+
+@query(_MIX_SQL + "SELECT * FROM x")
+def p9_mix_characters(spark: SparkSession, d: str) -> DataFrame:
+    """The mix with sizes in characters."""
+    return mixing.mix(*_mixing(spark, d, characters))
+
+
+@query(
+    _MIX_SQL
+    + """SELECT r.source, share, size, max_repeats, size * max_repeats < need AS short, coalesce(n, 0) AS tokens, coalesce(most, 0) AS most_repeats,
+  round(coalesce(n, 0) / sum(n) OVER (), 9) AS share_of_mix, round(coalesce(n, 0) / total, 9) AS share_of_total
+FROM r LEFT JOIN (SELECT source, CAST(sum(tokens * repeats) AS BIGINT) AS n, max(repeats) AS most FROM x GROUP BY source) USING (source)"""
+)
+def p9_shares_characters(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached with sizes in characters."""
+    sizes, first, plan = _mixing(spark, d, characters)
+    got = mixing.shares(mixing.mix(sizes, first, plan), plan)
+    return got.withColumns({c: F.round(c, 9) for c in ("share_of_mix", "share_of_total")})
 
 
 # ---------------------------------------------------------------- 10: languages

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import DataFrame
+from gneiss.session import written
 
-from gneiss.session import checkpoint_dir
+__all__ = ["tasks", "written"]
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a parquet table in the shared checkpoint folder, read back: a cut in the lineage that
-    survives lost executors and that several passes can read, each only its columns."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+def tasks(df: DataFrame | SparkSession) -> int:
+    """How many tasks a costly step is cut into: what the cluster runs at once, at least a shuffle's partitions."""
+    spark = df if isinstance(df, SparkSession) else df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -7,7 +7,8 @@ import re
 import unicodedata
 
 _TWICE = re.compile(r"[Â-ô][\u0080-¿]{1,3}")
-_TAG = re.compile(r"</?[a-z!][^<>]{0,200}>")
+#: A tag by its form, of any length: a name, attributes with or without values, an end; or a comment.
+_TAG = re.compile(r"""</?[a-z][\w:-]*(?:\s+[^\s"'<>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>=]+))?)*\s*/?>|<![^<>]*>""")
 _MARKS = re.compile(r"[̀-ͯ­​-‏﻿]")
 
 

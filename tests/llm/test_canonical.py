@@ -70,7 +70,14 @@ def test_shards_merge_to_the_same_answer(spark):
     rnd = random.Random(7)
     refs = [(f"E{i}", n) for i, n in enumerate(words(rnd, 60, 9))]
     values = [(i, n, None, None) for i, n in enumerate(words(rnd, 40, 9))]
-    assert match(spark, values, refs, shard_names=7) == match(spark, values, refs)
+    one = match(spark, values, refs)
+    assert match(spark, values, refs, shard_names=7) == one and match(spark, values, refs, shard_names=7, part_values=6) == one
+
+
+def test_names_of_any_length(spark):
+    long = "".join(random.Random(9).choice("abcdefgh") for _ in range(2500))
+    got = match(spark, [(1, long[:700] + "x" + long[701:], None, None), (2, long[:-3], None, None)], [("E1", long), ("E2", "short77")])
+    assert got[1] == ("E1", 1, 1) and got[2][0] is None
 
 
 def test_empty_sides(spark):

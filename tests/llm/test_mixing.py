@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from gneiss.llm import mixing
 
 
-def mixed(spark, docs, targets):
+def mixed(spark, docs, targets, **kw):
     d = spark.createDataFrame(docs, "doc_id long, source string, tokens long, h string, size int")
     t = spark.createDataFrame(targets, "source string, share double, max_repeats int")
     sizes = mixing.sized(d, F.col("doc_id"), F.col("source"), F.col("tokens"))
-    plan = mixing.budgets(sizes, t)
-    m = mixing.mix(sizes, plan)
+    first = mixing.histogram(sizes)
+    plan = mixing.budgets(first, t)
+    m = mixing.mix(sizes, first, plan, **kw)
     return rows(m), {r["source"]: r for r in mixing.shares(m, plan).collect()}
 
 
@@ -53,6 +54,12 @@ def test_token_counts_cover_the_whole_text(spark):
     pytest.importorskip("tiktoken")
     texts = ["hello world", "", None, "слово " * 3000, "naïve\n\ntext"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = [r["n"] for r in df.select(mixing.token_count(F.col("t")).alias("n")).collect()]
-    encode = mixing._encoding(f"{mixing.TOKENIZERS}/{mixing.VOCABULARY}").encode_ordinary
+    got = [r["n"] for r in df.select(mixing.token_count(spark, F.col("t")).alias("n")).collect()]
+    with open(f"{mixing.TOKENIZERS}/{mixing.VOCABULARY}", "rb") as f:
+        encode = mixing._encoding(f.read()).encode_ordinary
     assert got == [len(encode(t)) if t else 0 for t in texts]
+
+
+def test_many_sources_are_joined_by_shuffling(spark):
+    targets = [("a", 0.5, 4), ("b", 0.1, 1), ("c", 0.7, 2)]
+    assert mixed(spark, corpus(), targets, most_sources=2) == mixed(spark, corpus(), targets)

@@ -12,9 +12,10 @@ from gneiss.llm import mixing
 def uses(spark, docs, targets):
     d = spark.createDataFrame(docs, "doc_id long, source string, tokens long, text string")
     sizes = mixing.sized(d, F.col("doc_id"), F.col("source"), F.col("tokens"), F.col("text"))
-    plan = mixing.budgets(sizes, spark.createDataFrame(targets, "source string, share double, max_repeats int"))
+    first = mixing.histogram(sizes)
+    plan = mixing.budgets(first, spark.createDataFrame(targets, "source string, share double, max_repeats int"))
     text = {i: (s, t) for i, s, _, t in docs}
-    mixed = mixing.mix(sizes, plan)
+    mixed = mixing.mix(sizes, first, plan)
     times = Counter()
     for r in mixed.collect():
         times[text[r["doc_id"]]] += r["repeats"]

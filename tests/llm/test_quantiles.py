@@ -45,8 +45,20 @@ def test_small_groups_are_exact_and_loads_can_be_merged(spark):
     both = quantiles.merge(days[0].unionByName(days[1]), ["k", "s"])
     r = both.collect()[0]
     assert r["n"] == 50 and r["v"] == sorted(x for _, _, x, _ in data) and r["lo"] == r["hi"] == list(range(1, 51))
-    again = quantiles.premerge(both, ["k", "s"], table(spark, data))
-    assert rows(again) == rows(both)
+    assert rows(quantiles.premerge(both, ["k", "s"], 1)) == rows(both)
+
+
+def test_many_leaves_are_merged_level_by_level(spark):
+    rnd = np.random.default_rng(2)
+    data = [("a", "s", float(x), 0) for x in rnd.normal(size=4000)]
+    leaves = quantiles.summarise(table(spark, data).repartition(40), {"k": F.col("k"), "s": F.col("s")}, F.col("x"), 64)
+    assert leaves.count() == 40
+    fewer = quantiles.premerge(leaves, ["k", "s"], 40, 64, together=4)
+    assert fewer.count() <= 4
+    r = quantiles.rollup(fewer, "k", "s", PROBS, 64).collect()[0]
+    own = sorted(x for _, _, x, _ in data)
+    assert r["n"] == 4000
+    check(np.array(own), r["q"], r["rank_error"], 5 / 64)
 
 
 def test_ties_and_empty(spark):
