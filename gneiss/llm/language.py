@@ -4,7 +4,7 @@ Every letter has a random vector of +1 and -1; an n-gram's vector binds (multipl
 each rotated by its place; a text's vector bundles (adds) those of its n-grams and a language's prototype
 those of its training texts. Texts go to the prototype of the greatest cosine. Since the dot product of a
 bundle is the sum of those of its n-grams, each n-gram's products with all prototypes are worked out once
-and a text is scored by adding table rows, which gives the same cosines without building its vector.
+and a text is scored by adding table rows, which gives its products without building its vector.
 """
 
 from __future__ import annotations
@@ -45,7 +45,8 @@ for _cp in range(0x10000):
     _c = chr(_cp)
     if _c.isalpha():
         _SYMBOLS[_cp] = LETTERS.find(_c) if _c in LETTERS else len(LETTERS) - 1
-_NOISE = re.compile(r"\[[^\]\n]{0,80}\]|\([^)\n]{0,80}\)|[^\s]*\d[^\s]*?(?=[.!?…]?(?:\s|$))")
+#: Bracketed remarks within a line in which no sentence ends, and words with digits.
+_NOISE = re.compile(r"\[(?:[^\[\]\n.!?…]|[.!?…](?!\s))*\]|\((?:[^()\n.!?…]|[.!?…](?!\s))*\)|[^\s]*\d[^\s]*?(?=[.!?…]?(?:\s|$))")
 _END = re.compile(r"(?<=[.!?…。])[\"'»”)\]]*\s+|\n\s*\n")
 
 
@@ -144,8 +145,17 @@ def train(texts: list[str], labels: list[str], rounds: int = 2) -> Model:
     return model
 
 
+def _squared_counts(code: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sum over a part's distinct n-grams of their squared counts, per part."""
+    key = np.sort(np.repeat(np.arange(len(n)), n) * len(LETTERS) ** GRAM + code)
+    begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
+    times = np.diff(np.append(begins, len(key))).astype(float)
+    return np.bincount(key[begins] // len(LETTERS) ** GRAM, weights=times * times, minlength=len(n))
+
+
 def score(model: Model, parts: list[str]) -> np.ndarray:
-    """Cosine of each part with each (centred) prototype, taking n-gram vectors as orthogonal in its norm."""
+    """Cosine of each part with each (centred) prototype. The norm of a part's bundle is the root of the sum of the
+    squared counts of its n-grams, whose vectors are taken as orthogonal."""
     out = np.zeros((len(parts), len(model.languages)))
     if parts:
         code, n = _encoded(parts)
@@ -154,7 +164,7 @@ def score(model: Model, parts: list[str]) -> np.ndarray:
         filled = n > 0
         if filled.any():
             out[filled] = np.add.reduceat(rows, starts[filled], axis=0)
-        out /= np.sqrt(np.maximum(n, 1))[:, None]
+        out /= np.sqrt(np.maximum(_squared_counts(code, n), 1))[:, None]
     return out
 
 

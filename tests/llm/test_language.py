@@ -48,17 +48,16 @@ def test_texts_and_stretches(spark, model):
 
 
 def test_scores_are_cosines_of_bundles(model):
-    """The table of products gives what bundling the n-gram vectors would."""
-    text = [SAMPLE["fr"][0].lower()]
-    code, _ = language._encoded(text)
-    seen = code[model.row_of[code] > 0]
-    bundle = language._gram_vectors(seen).astype(float).sum(axis=0)
-    table = language.score(model, text)[0]
-    codes = np.flatnonzero(model.row_of)
-    rng = [model.products[model.row_of[c]] for c in codes[:5]]
-    assert len(rng) == 5 and bundle.shape == (language.DIMENSIONS,)
-    total = np.sum([model.products[model.row_of[c]] for c in seen], axis=0) / np.sqrt(len(code))
-    assert np.allclose(table, total, atol=1e-5)
+    """The table of products over the counted norm gives what bundling the n-gram vectors gives, repeats included."""
+    for text in (SAMPLE["fr"][0].lower(), "na " * 200 + SAMPLE["de"][0].lower(), SAMPLE["en"][1].lower() * 30):
+        code, n = language._encoded([text])
+        bundle = language._gram_vectors(code).astype(float).sum(axis=0)
+        table = language.score(model, [text])[0]
+        products = np.sum(model.products[model.row_of[code]], axis=0) * np.sqrt(language.DIMENSIONS)
+        assert np.allclose(table, products / np.linalg.norm(bundle), atol=0.02), text[:20]
+        times = np.unique(code, return_counts=True)[1]
+        assert language._squared_counts(code, n).tolist() == [float((times**2).sum())]
+    assert language._squared_counts(np.zeros(0, dtype=np.int64), np.zeros(2, dtype=np.int64)).tolist() == [0.0, 0.0]
 
 
 def test_labels(spark):
