@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions.stats import phi, signs_disagree
 from gneiss.operators.zscores import shrunken_z, standardise
+from gneiss.session import written
 
 #: Fixed values of the scoring rules.
 W_FIRST, W_SECOND = sqrt(1.431), sqrt(1.45)
@@ -120,6 +121,7 @@ def core_score(first: DataFrame, second: DataFrame, feature: str, entity: str, z
     """
     a = standardise(first.where(F.col(z).isNotNull()), feature, n_src, z, "a_std").select(feature, entity, F.col(z).alias("a"), "a_std")
     b = standardise(second.where(F.col(z).isNotNull()), feature, n_src, z, "b_std").select(feature, entity, F.col(z).alias("b"), "b_std")
+    a, b = written(a), written(b)  # each is read for the pairs, the lone ones, and the lines and features both have
     both = a.join(b, [feature, entity])
     slopes = regression_slopes(both, feature, "a", "b").select(feature, "beta")
     residual = both.join(slopes, feature).withColumn("resid", F.col("b") - F.col("beta") * F.col("a"))

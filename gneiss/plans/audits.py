@@ -11,6 +11,7 @@ from gneiss.plans import roles
 from gneiss.plans.registry import Registry
 from gneiss.plans.roles import sql
 from gneiss.plans.scoring import _PAIRED, flags, layers, paired, r6
+from gneiss.plans.stage import stage
 from gneiss.session import cut, table
 
 query = Registry()
@@ -131,8 +132,8 @@ def g01_entity_profiles(spark: SparkSession, d: str) -> DataFrame:
 
 def panel(spark: SparkSession, d: str) -> DataFrame:
     """(feat, ent, strat, score, dep, expr): scores with a label from another source of the pair."""
-    s = roles.scores(spark, d)
-    lab = roles.raw(spark, d).groupBy("feat", "ent").agg((F.max("disc") >= 0.1).alias("dep"), F.max("val").alias("expr"))
+    s = stage(spark, d, "scores")
+    lab = stage(spark, d, "raw").groupBy("feat", "ent").agg((F.max("disc") >= 0.1).alias("dep"), F.max("val").alias("expr"))
     return s.join(lab, ["feat", "ent"])
 
 
@@ -410,5 +411,5 @@ _ABLE = {"ab": "SELECT ent FROM sc WHERE feat IN ('Brand#11', 'Brand#22', 'Brand
 def q12_alternatives(spark: SparkSession, d: str) -> DataFrame:
     """The nearest of all that have a score for every feature of the query."""
     e = embedded(spark, d)
-    got = serving.nearest_able(e, asked(e), "vec_id", "v", roles.scores(spark, d), roles.FEATURES, "feat", "ent", "score", 5)
+    got = serving.nearest_able(e, asked(e), "vec_id", "v", stage(spark, d, "scores"), roles.FEATURES, "feat", "ent", "score", 5)
     return got.select("ent", "neighbour", "rank", *r6("similarity"))

@@ -86,31 +86,42 @@ def raw(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def measurements(spark: SparkSession, d: str) -> DataFrame:
+def measurements_of(rows: DataFrame) -> DataFrame:
     """(src, strat, feat, ent, value, n_rep): the replicates' exact median."""
-    return replicate_median(raw(spark, d), ["src", "strat", "feat", "ent"], "val").withColumnRenamed("val", "value")
+    return replicate_median(rows, ["src", "strat", "feat", "ent"], "val").withColumnRenamed("val", "value")
+
+
+def measurements(spark: SparkSession, d: str) -> DataFrame:
+    return measurements_of(raw(spark, d))
 
 
 def z_table(spark: SparkSession, d: str) -> DataFrame:
     return zscores.robust_z(measurements(spark, d), ["src", "strat", "feat"], "value")
 
 
-def combined(spark: SparkSession, d: str) -> DataFrame:
+def combined_of(m: DataFrame, lines: DataFrame) -> DataFrame:
     """(feat, ent, z_t, k_src, strat): all sources, sparse pairs shrunk."""
-    z = z_table(spark, d)
-    lines = entities(spark, d)
+    z = zscores.robust_z(m, ["src", "strat", "feat"], "value")
     return combine.stouffer_by_coverage(z, "feat", "ent", "src", "z", 3).join(lines, "ent", "left")
 
 
+def combined(spark: SparkSession, d: str) -> DataFrame:
+    return combined_of(measurements(spark, d), entities(spark, d))
+
+
 def entities(spark: SparkSession, d: str) -> DataFrame:
     t = lambda name: table(spark, d, name)
     joined = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return joined.select(F.col("c_custkey").alias("ent"), F.col("r_name").alias("strat"))
 
 
-def scores(spark: SparkSession, d: str) -> DataFrame:
+def scores_of(m: DataFrame, lines: DataFrame) -> DataFrame:
     """(feat, ent, strat, k_src, score)."""
-    return combined(spark, d).select("feat", "ent", "strat", "k_src", F.round(phi("z_t"), 6).alias("score"))
+    return combined_of(m, lines).select("feat", "ent", "strat", "k_src", F.round(phi("z_t"), 6).alias("score"))
+
+
+def scores(spark: SparkSession, d: str) -> DataFrame:
+    return scores_of(measurements(spark, d), entities(spark, d))
 
 
 def roles(spark: SparkSession, d: str) -> DataFrame:
@@ -124,22 +135,22 @@ def ordinal(prio: str = "prio") -> Column:
     return F.when(F.col(prio) == "1-URGENT", 3).when(F.col(prio) == "2-HIGH", 2).when(F.col(prio) == "3-MEDIUM", 1)
 
 
-def mutations(spark: SparkSession, d: str) -> DataFrame:
-    return raw(spark, d).where(F.col("platform") == "F").groupBy("feat", "ent").agg(
+def mutations(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("platform") == "F").groupBy("feat", "ent").agg(
         F.max(F.coalesce(ordinal(), F.lit(0))).alias("max_vep_rank"), F.max(F.col("disc") * 10).alias("max_pathogenicity"), F.count("*").alias("variant_count")
     )
 
 
-def fusions(spark: SparkSession, d: str) -> DataFrame:
+def fusions(rows: DataFrame) -> DataFrame:
     best = F.max(ordinal())
     word = F.when(best == 3, "high").when(best == 2, "medium").when(best == 1, "low")
-    return raw(spark, d).where(F.col("src") == "R").groupBy("feat", "ent").agg(
+    return rows.where(F.col("src") == "R").groupBy("feat", "ent").agg(
         word.alias("max_confidence"), F.max(F.col("tax") * 5).alias("best_ffpm"), F.count("*").alias("fusion_count"), F.bool_or(F.col("qty") > 40).alias("any_in_frame")
     )
 
 
-def copy_numbers(spark: SparkSession, d: str) -> DataFrame:
+def copy_numbers(rows: DataFrame) -> DataFrame:
     call = F.when(F.col("qty") > 45, "amplification").when(F.col("qty") < 5, "deletion").otherwise("neutral")
-    return raw(spark, d).select(
+    return rows.select(
         "feat", "ent", (F.col("qty") / 10.0).alias("total_cn"), call.alias("cna_call"), ((F.col("platform") == "O") & (F.col("disc") > 0.09)).alias("is_ambiguous")
     )

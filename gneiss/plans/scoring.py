@@ -11,6 +11,7 @@ from gneiss.operators import aggregates, combine, correlate, evidence, ranks, re
 from gneiss.plans import roles
 from gneiss.plans.registry import Registry
 from gneiss.plans.roles import sql
+from gneiss.plans.stage import stage
 from gneiss.session import table
 
 query = Registry()
@@ -522,26 +523,26 @@ def c07_agreement_weighted_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT feat, ent, round(p_mutation, 6) AS p_mutation, max_vep_rank FROM mut", "mut"))
 def c14_mutation_score(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.mutation_scores(roles.mutations(spark, d), ["feat", "ent"]).select("feat", "ent", *r6("p_mutation"), "max_vep_rank")
+    return evidence.mutation_scores(roles.mutations(stage(spark, d, "raw")), ["feat", "ent"]).select("feat", "ent", *r6("p_mutation"), "max_vep_rank")
 
 
 @query(sql("SELECT feat, ent, round(p_fusion, 6) AS p_fusion FROM fus", "fus"))
 def c15_fusion_score(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.fusion_scores(roles.fusions(spark, d), ["feat", "ent"]).select("feat", "ent", *r6("p_fusion"))
+    return evidence.fusion_scores(roles.fusions(stage(spark, d, "raw")), ["feat", "ent"]).select("feat", "ent", *r6("p_fusion"))
 
 
 @query(sql("SELECT feat, ent, has_cna_alteration, has_cna_context, round(total_cn_mean, 6) AS total_cn_mean FROM cna", "cna"))
 def c16_copy_number_flags(spark: SparkSession, d: str) -> DataFrame:
-    got = evidence.cna_flags(roles.copy_numbers(spark, d), ["feat", "ent"], roles.roles(spark, d), "feat")
+    got = evidence.cna_flags(roles.copy_numbers(stage(spark, d, "raw")), ["feat", "ent"], roles.roles(spark, d), "feat")
     return got.select("feat", "ent", "has_cna_alteration", "has_cna_context", *r6("total_cn_mean"))
 
 
 def flags(spark: SparkSession, d: str) -> DataFrame:
     keys = ["feat", "ent"]
-    scored = roles.scores(spark, d).select("feat", "ent", F.col("score").alias("core_score"), F.lit(1).alias("n_layers"))
+    scored = stage(spark, d, "scores").select("feat", "ent", F.col("score").alias("core_score"), F.lit(1).alias("n_layers"))
     return evidence.route(
-        scored, evidence.mutation_scores(roles.mutations(spark, d), keys), evidence.fusion_scores(roles.fusions(spark, d), keys),
-        evidence.cna_flags(roles.copy_numbers(spark, d), keys, roles.roles(spark, d), "feat"), roles.roles(spark, d), keys, "feat",
+        scored, evidence.mutation_scores(roles.mutations(stage(spark, d, "raw")), keys), evidence.fusion_scores(roles.fusions(stage(spark, d, "raw")), keys),
+        evidence.cna_flags(roles.copy_numbers(stage(spark, d, "raw")), keys, roles.roles(spark, d), "feat"), roles.roles(spark, d), keys, "feat",
     )
 
 

@@ -16,6 +16,7 @@ from gneiss.plans import roles
 from gneiss.plans.registry import Registry
 from gneiss.plans.roles import FEATURES, sql
 from gneiss.plans.scoring import _PAIRED, _RANKED, _WIDE_Z, flags, paired, r6, wide_z
+from gneiss.plans.stage import stage
 from gneiss.session import checkpoint_dir, table
 from gneiss.sources import readers, writers
 
@@ -367,7 +368,7 @@ def u01_union_all_by_name(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _score(spark: SparkSession, d: str) -> tuple:
-    return roles.scores(spark, d), "feat", "ent", "score"
+    return stage(spark, d, "scores"), "feat", "ent", "score"
 
 
 @query(sql(f"SELECT ent, score FROM sc WHERE feat = '{A}' AND score IS NOT NULL ORDER BY score DESC, ent LIMIT 20", "sc"))
@@ -428,7 +429,7 @@ _ENTS = "JOIN (SELECT c_custkey AS ent, r_name AS strat FROM customer JOIN natio
 
 @query(_grouped(f"SELECT ent, strat, score AS metric FROM sc WHERE feat = '{A}'"))
 def q06_rank_by_stratum(spark: SparkSession, d: str) -> DataFrame:
-    return _by_stratum(spark, d, roles.scores(spark, d).where(F.col("feat") == A).select("ent", "strat", F.col("score").alias("metric")))
+    return _by_stratum(spark, d, stage(spark, d, "scores").where(F.col("feat") == A).select("ent", "strat", F.col("score").alias("metric")))
 
 
 @query(_grouped(f"SELECT ent, strat, joint_score AS metric FROM jj {_ENTS}"))
@@ -475,7 +476,7 @@ def q13_list_dimension(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT ent, round(value, 6) AS value FROM m WHERE feat = 'Brand#11' AND src = 'A' AND value > 15 ORDER BY value DESC, ent LIMIT 15", "m"))
 def q16_candidates_by_value(spark: SparkSession, d: str) -> DataFrame:
-    m = roles.measurements(spark, d).where((F.col("feat") == A) & (F.col("src") == "A") & (F.col("value") > 15))
+    m = stage(spark, d, "measurements").where((F.col("feat") == A) & (F.col("src") == "A") & (F.col("value") > 15))
     return m.orderBy(F.desc("value"), "ent").limit(15).select("ent", *r6("value"))
 
 
@@ -486,8 +487,8 @@ _TERMS = {
 
 
 def answers(spark: SparkSession, d: str) -> DataFrame:
-    wide = serving.by_feature(roles.measurements(spark, d), FEATURES, "feat", "ent", "value")
-    everyone = roles.measurements(spark, d).select("ent").distinct()
+    wide = serving.by_feature(stage(spark, d, "measurements"), FEATURES, "feat", "ent", "value")
+    everyone = stage(spark, d, "measurements").select("ent").distinct()
     all_rows = everyone.join(wide, "ent", "left")
     terms = {"t1": serving.truth(F.col("s0"), 15.5, 0.2), "t2": serving.truth(F.col("s1"), 15.5, 0.2), "t3": ~serving.truth(F.col("s2"), 16)}
     return serving.set_query(all_rows, "ent", terms)
@@ -522,7 +523,7 @@ def q22_redundancy(spark: SparkSession, d: str) -> DataFrame:
 @query(sql(f"SELECT ent, dense_rank() OVER (ORDER BY confirms DESC, v1 DESC NULLS LAST, contradicts) AS band FROM ev", "m", ev=f"SELECT ent, count(*) FILTER (WHERE value > 15.5) AS confirms, max(CASE WHEN feat = '{A}' THEN CAST(value > 16 AS INTEGER) END) AS v1, count(*) FILTER (WHERE value < 14) AS contradicts FROM m GROUP BY ent"))
 def k10_evidence_bands(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("value")
-    e = roles.measurements(spark, d).groupBy("ent").agg(F.count_if(v > 15.5).alias("confirms"), F.max(F.when(F.col("feat") == A, (v > 16).cast("int"))).alias("v1"), F.count_if(v < 14).alias("contradicts"))
+    e = stage(spark, d, "measurements").groupBy("ent").agg(F.count_if(v > 15.5).alias("confirms"), F.max(F.when(F.col("feat") == A, (v > 16).cast("int"))).alias("v1"), F.count_if(v < 14).alias("contradicts"))
     return serving.evidence_order(e, "confirms", ["v1"], "contradicts").select("ent", "band")
 
 
