@@ -1,8 +1,7 @@
 """Audits of a score against labels: gate readouts, partial areas, bootstraps, permutations, intervals.
 
-Readouts and tests are plans over running counts of range-sorted pieces. The Arrow islands work on per-cluster sums
-(bootstrap), on one feature's entities (permutation) or on one stratum of a feature (intervals); every random draw is
-seeded by its group, so results do not depend on partitions.
+Readouts, tests and bootstraps are plans. The Arrow islands work on one feature's entities (permutation) or on one stratum
+of a feature (intervals); every random draw is seeded by its group, so results do not depend on partitions.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 from gneiss.functions.stats import log_choose, phi
 from gneiss.operators.combine import W_FIRST, W_NORM, W_SECOND
 from gneiss.operators.ranks import auroc, partial_areas
+from gneiss.operators.resampling import ratio_bootstrap
 from gneiss.operators.running import running_sums
 from gneiss.session import written
 
@@ -130,25 +130,9 @@ def rank_sum(df: DataFrame, by: Sequence[str], value: str, positive: str) -> Dat
     return got.select(*by, "n_pos", "n_neg", u.alias("u"), z.alias("z"), (2 * F.col("auroc") - 1).alias("cliffs_delta"))
 
 
-def _bootstrap(pdf: pd.DataFrame, feature: str, draws: int) -> pd.DataFrame:
-    rows = pdf.sort_values("cluster")
-    top, bottom = rows["num"].to_numpy(dtype=float), rows["den"].to_numpy(dtype=float)
-    rng = np.random.default_rng(seed_of(rows[feature].iloc[0], draws))
-    times = rng.multinomial(len(rows), np.full(len(rows), 1 / len(rows)), size=draws)
-    below = times @ bottom
-    got = np.divide(times @ top, below, out=np.full(draws, np.nan), where=below > 0)
-    low, high = np.nanquantile(got, [0.025, 0.975]) if np.isfinite(got).any() else (np.nan, np.nan)
-    return pd.DataFrame([{feature: rows[feature].iloc[0], "n_clusters": len(rows), "estimate": top.sum() / bottom.sum() if bottom.sum() else np.nan, "ci_low": low, "ci_high": high}])
-
-
 def cluster_bootstrap(df: DataFrame, feature: str, cluster: str, top: Column, bottom: Column, draws: int = 1000) -> DataFrame:
-    """(feature, n_clusters, estimate, ci_low, ci_high) of sum(top) / sum(bottom), whole clusters drawn again.
-
-    Sums per (feature, cluster) come first, so a replicate only reweighs a feature's clusters.
-    """
-    sums = df.where(F.col(cluster).isNotNull()).groupBy(feature, F.col(cluster).alias("cluster")).agg(F.sum(top.cast("double")).alias("num"), F.sum(bottom.cast("double")).alias("den"))
-    kind = df.schema[feature].dataType.simpleString()
-    return sums.groupBy(feature).applyInPandas(_bound(_bootstrap, feature=feature, draws=draws), f"{feature} {kind}, n_clusters bigint, estimate double, ci_low double, ci_high double")
+    """(feature, n_clusters, estimate, ci_low, ci_high, se) of sum(top) / sum(bottom), whole clusters drawn again."""
+    return ratio_bootstrap(df, [feature], cluster, top, bottom, draws)
 
 
 def _permuted(pdf: pd.DataFrame, feature: str, stratum: str, entity: str, value: str, positive: str, draws: int) -> pd.DataFrame:
@@ -214,7 +198,7 @@ def _normal(u: np.ndarray) -> np.ndarray:
 DRAW_BLOCK = 50
 
 
-def _stratum_draws(pdf: pd.DataFrame, feature: str, entity: str, stratum: str, draws: int, top: int, tail: float) -> pd.DataFrame:
+def _stratum_draws(pdf: pd.DataFrame, feature: str, entity: str, stratum: str, draws: int, top: int, tail: float, rho: float) -> pd.DataFrame:
     """Band of every entity of one (feature, stratum), and the draws in which it is among the stratum's first."""
     rows = pdf.sort_values(entity, kind="stable")
     n = len(rows)
@@ -240,6 +224,7 @@ def _stratum_draws(pdf: pd.DataFrame, feature: str, entity: str, stratum: str, d
     for begin in range(0, draws, DRAW_BLOCK):
         size = min(DRAW_BLOCK, draws - begin)
         noise = rng.standard_normal((2, size, n))
+        noise[1] = rho * noise[0] + np.sqrt(1 - rho * rho) * noise[1]
         z = combined(z1 + noise[0] * e1, np.nan_to_num(z2) + noise[1] * e2)
         lowest = np.sort(np.vstack((lowest, z)), axis=0)[:keep]
         highest = -np.sort(-np.vstack((highest, z)), axis=0)[:keep]
@@ -257,7 +242,7 @@ def _stratum_draws(pdf: pd.DataFrame, feature: str, entity: str, stratum: str, d
     )
 
 
-def score_intervals(df: DataFrame, feature: str, entity: str, stratum: str, draws: int = 500, top: int = 10, tail: float = 0.025) -> DataFrame:
+def score_intervals(df: DataFrame, feature: str, entity: str, stratum: str, draws: int = 500, top: int = 10, tail: float = 0.025, error_correlation: float = 0.0) -> DataFrame:
     """(feature, entity, score, ci_low, ci_high, ci_width, n_layers, n_sources, top_global_pct, top_stratum_pct, win_rate_pct).
 
     ``df`` has z1, se1 (first layer), z2, se2 (second, NULL where unmeasured), per feature beta, centre and sd of the
@@ -267,13 +252,15 @@ def score_intervals(df: DataFrame, feature: str, entity: str, stratum: str, draw
     runs from the ``tail`` to the 1 - ``tail`` quantile and is widened to hold it. The shares of draws in which an
     entity is among the ``top`` of its stratum, of all, or the very first come in per cent.
 
+    ``error_correlation`` is that of the two layers' errors of an entity.
+
     A task holds one (feature, stratum), ``DRAW_BLOCK`` draws at a time; draws are seeded by both, so
     partitions do not matter. Only each draw's first ``top`` of a stratum go on to be ranked over all strata.
     """
     names = [feature, entity, stratum, "z1", "se1", "z2", "se2", "beta", "centre", "sd"]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = f"`{feature}` {kinds[feature]}, `{entity}` {kinds[entity]}, z_low double, z_high double, z_point double, firsts array<struct<draw: int, z: double>>"
-    f = _bound(_stratum_draws, feature=feature, entity=entity, stratum=stratum, draws=draws, top=top, tail=tail)
+    f = _bound(_stratum_draws, feature=feature, entity=entity, stratum=stratum, draws=draws, top=top, tail=tail, rho=error_correlation)
     bands = written(df.where(F.col("z1").isNotNull()).select(*names).groupBy(feature, stratum).applyInPandas(f, schema))
     firsts = bands.select(feature, entity, F.explode("firsts").alias("x")).select(feature, entity, "x.draw", "x.z")
     # top x strata rows a (feature, draw)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,5 +72,52 @@ def weigh_by_agreement(z: DataFrame, agreements: DataFrame, feature: str, value:
     return joined.withColumn(value, F.when(F.col(n_src) >= 2, F.col(value) * sure).otherwise(F.col(value)))
 
 
+def _moments(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Sums over a task's entities for every pair of features a < b both of which an entity has."""
+    n = np.zeros((width, width))
+    x, xx, xy = np.zeros_like(n), np.zeros_like(n), np.zeros_like(n)
+    for batch in batches:
+        rows = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, width)
+        there = ~np.isnan(rows)
+        v, w = np.where(there, rows, 0.0), there.astype(float)
+        n += w.T @ w
+        x += v.T @ w
+        xx += (v * v).T @ w
+        xy += v.T @ v
+    a, b = np.nonzero(np.triu(n, k=1))
+    if len(a):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(a), pa.array(b), *[pa.array(m) for m in (n[a, b], x[a, b], x[b, a], xx[a, b], xx[b, a], xy[a, b])]],
+            ["i", "j", "n", "x", "y", "xx", "yy", "xy"],
+        )
+
+
+def pair_correlations(long: DataFrame, feature: str, entity: str, value: str, most_features: int = 5000) -> DataFrame:
+    """(a, b, n, r) of every pair of features a < b over the entities that have both.
+
+    An entity's values become one vector over the sorted features; a task multiplies its vectors' matrices and yields one
+    row per pair, so no pair of values is ever made. Features are a dimension of at most ``most_features``; more
+    are an error, since a task holds features x features sums. r is NULL where a feature does not vary. Of several values
+    of an (entity, feature) the mean counts; NULL and NaN are missing.
+    """
+    known = long.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    names = sorted(r[0] for r in known.select(feature).where(F.col(feature).isNotNull()).distinct().limit(most_features + 1).collect())
+    if len(names) > most_features:
+        raise ValueError(f"more than {most_features} features")
+    spark = long.sparkSession
+    if len(names) < 2:
+        return spark.createDataFrame([], "a string, b string, n bigint, r double")
+    one = known.groupBy(entity, feature).agg(F.avg(value).alias("v")).groupBy(entity).agg(F.map_from_entries(F.collect_list(F.struct(feature, "v"))).alias("m"))
+    vector = F.transform(F.array(*[F.lit(n) for n in names]), lambda k: F.coalesce(F.col("m")[k], F.lit(float("nan"))))
+    fields = "i bigint, j bigint, n double, x double, y double, xx double, yy double, xy double"
+    sums = one.select(vector.alias("v")).mapInArrow(partial(_moments, width=len(names)), fields)
+    total = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    n, x, y = F.col("n"), F.col("x"), F.col("y")
+    vx, vy = F.col("xx") - x * x / n, F.col("yy") - y * y / n
+    r = F.when((vx > 1e-12 * F.col("xx")) & (vy > 1e-12 * F.col("yy")), (F.col("xy") - x * y / n) / F.sqrt(vx * vy))
+    label = F.array(*[F.lit(k) for k in names])
+    return total.select(F.get(label, F.col("i").cast("int")).alias("a"), F.get(label, F.col("j").cast("int")).alias("b"), n.cast("bigint").alias("n"), r.alias("r"))
+
+
 def partial_correlation(xy: Column, xz: Column, yz: Column) -> Column:
     return (xy - xz * yz) / F.sqrt((1 - xz * xz) * (1 - yz * yz))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.operators.running import running_sums
+
 
 def melt(df: DataFrame, ids: Sequence[str], features: Sequence[str], feature: str = "feature", value: str = "value") -> DataFrame:
     """Long rows of the wide columns; rows exist only where a value does (NULL and NaN do not)."""
@@ -91,3 +93,54 @@ def structurally_absent(df: DataFrame, score: str, linked: Column, group: Column
     """NULL scores of linked features in groups that cannot carry them (unknown groups count as such)."""
     cannot = F.coalesce(F.lower(group), F.lit("unknown")).isin(*absent_in)
     return df.withColumn(score, F.when(F.coalesce(linked, F.lit(False)) & cannot, None).otherwise(F.col(score)))
+
+
+def exact_label(df: DataFrame, column: str, label: str) -> DataFrame:
+    """Rows whose label is ``label``, case aside; NULL labels are none."""
+    return df.where(F.lower(column) == label.lower())
+
+
+def roster_filter(ids: DataFrame, position: str, key: Column, roster: DataFrame, roster_key: str) -> DataFrame:
+    """(id, position) of the canonical ids that the roster has, each at the first position it is asked at.
+
+    ``key`` is the canonical form of what was asked, NULL where it is no id at all.
+    """
+    asked = ids.select(key.alias("id"), F.col(position).alias("position")).where(F.col("id").isNotNull())
+    first = asked.groupBy("id").agg(F.min("position").alias("position"))
+    return first.join(roster.select(F.col(roster_key).alias("id")).distinct(), "id", "left_semi")
+
+
+def first_resolved(asked: DataFrame, position: str, resolved: str) -> DataFrame:
+    """(resolved, position) of the distinct answers in the order in which they first come up; unresolved ones are left out."""
+    known = asked.where(F.col(resolved).isNotNull())
+    return known.groupBy(resolved).agg(F.min(position).alias(position))
+
+
+def top_fraction(df: DataFrame, value: str, ties: Sequence[str], fraction: float, least: int = 10) -> DataFrame:
+    """The rows of the greatest values: max(least, floor(n * fraction)) of them, ties by ``ties``. NULL values are left out.
+
+    Places are running counts over range-sorted pieces, so nothing is sorted in one task.
+    """
+    known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    ran = running_sums(known, [], [F.desc(value), *[F.asc(t) for t in ties]], {"__r": F.lit(1)})
+    return ran.where(F.col("__r_upto") <= F.greatest(F.lit(least), F.floor(F.col("__r_all") * fraction))).drop("__r_upto", "__r_all")
+
+
+def outer_merge(left: DataFrame, right: DataFrame, keys: Sequence[str], least_matched: int = 1) -> DataFrame:
+    """Full outer join that keeps the pairs of either side; an error where fewer than ``least_matched`` pairs meet, which
+    tells of keys that are spelled differently rather than of missing rows."""
+    flagged = left.withColumn("in_left", F.lit(True)).join(right.withColumn("in_right", F.lit(True)), list(keys), "full_outer")
+    matched = flagged.where(F.col("in_left") & F.col("in_right")).limit(least_matched).count()
+    if matched < least_matched:
+        raise ValueError(f"only {matched} pairs meet: are the keys spelled alike?")
+    return flagged.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("in_left", "in_right")})
+
+
+def snake_case(label: Column) -> Column:
+    return F.regexp_replace(F.lower(F.trim(label)), r"[ /]", "_")
+
+
+def vocabulary_label(label: Column, names: dict[str, str]) -> Column:
+    """The label in another vocabulary, snake-cased where that has no word for it; NULL stays NULL."""
+    entries = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(entries[F.trim(label)], snake_case(label))

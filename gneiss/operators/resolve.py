@@ -117,3 +117,43 @@ def matched_pairs(cases: DataFrame, controls: DataFrame, key: str, bands: Sequen
         return df.select(*bands, F.col(key).alias(name), F.row_number().over(Window.partitionBy(*bands).orderBy(order, F.col(key))).alias("__k"))
 
     return placed(cases, "case").join(placed(controls, "control"), [*bands, "__k"]).drop("__k")
+
+
+def mapped(key: Column, entries: Sequence[tuple[object, object]]) -> Column:
+    """The value of a small mapping, NULL where it has none; of several entries of a key the last wins."""
+    last = dict(entries)
+    return F.create_map(*[F.lit(x) for pair in last.items() for x in pair])[key]
+
+
+def leading_symbol(label: Column) -> Column:
+    """SYMBOL of "SYMBOL (number)"."""
+    return F.substring_index(label, " (", 1)
+
+
+def fast_path(query: Column, datasets: Sequence[str]) -> Column:
+    """Which lookup an input asks for by its form alone: a gene id with a model id, a gene id, or a data set's name; else NULL."""
+    text = F.trim(query)
+    gene = r"(?i)^ENSG[0-9]+(\.[0-9]+)?"
+    return (
+        F.when(text.rlike(gene + r"\s*[,/|+ ]\s*ACH-[0-9]+$"), "score_explainer").when(text.rlike(gene + "$"), "gene_alias_lookup")
+        .when(F.lower(text).isin(*datasets), "dataset_info")
+    )
+
+
+def with_fallback(asked: DataFrame, query_id: str, key: str, sources: dict[str, DataFrame | None]) -> DataFrame:
+    """(query_id, entry, source, degraded): the answer of the first source that has one.
+
+    ``sources`` are (key, entry) tables in the order in which they are asked, None for one that is out of reach: it
+    answers nothing and is named in ``degraded`` of every query that got as far as it. Several entries
+    of a key in one source: the least.
+    """
+    out = asked.select(query_id, F.col(key).alias("__k"), F.lit(None).cast("string").alias("entry"), F.lit(None).cast("string").alias("source"), F.array().cast("array<string>").alias("degraded"))
+    for name, source in sources.items():
+        open_ = F.col("entry").isNull()
+        if source is None:
+            out = out.withColumn("degraded", F.when(open_, F.array_append("degraded", F.lit(name))).otherwise(F.col("degraded")))
+            continue
+        found = source.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__s")).agg(F.min("entry").alias("__e"))
+        joined = out.join(found, F.when(open_, F.col("__k")) == F.col("__s"), "left")
+        out = joined.withColumns({"source": F.when(open_ & F.col("__e").isNotNull(), F.lit(name)).otherwise(F.col("source")), "entry": F.coalesce("entry", "__e")}).drop("__s", "__e")
+    return out.select(query_id, "entry", "source", "degraded")

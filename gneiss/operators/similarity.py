@@ -189,6 +189,32 @@ def all_pairs(base: DataFrame, queries: DataFrame, entity: str, vector: str, cen
     return found
 
 
+def _paired(batches: Iterator[pa.RecordBatch], shared, centre: bool) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    ids, units, kind, (labels,) = shared.value
+    own = np.array(labels, dtype=object)
+    for (a, b), there, piece in _compared(batches, ids, units, centre):
+        rows, columns = np.nonzero(there)
+        if len(rows):
+            other = np.array(piece.column(3).to_pylist(), dtype=object)
+            same = (own[:, None] == other[None, :])[there].astype(bool)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(ids[rows]), kind), piece.column(0).take(pa.array(columns)), pa.array(a[there]), pa.array(b[there]), pa.array(same)],
+                ["query", "neighbour", "first", "second", "same"],
+            )
+
+
+def pairs_on_axes(base: DataFrame, queries: DataFrame, entity: str, first: str, second: str, label: str, centre: bool = False) -> DataFrame:
+    """(query, neighbour, first, second, same): every pair of a query and another row of ``base`` with its similarity on two
+    axes and whether both have the same label. Rows without a label make no pair."""
+    kind = base.schema[entity].dataType.simpleString()
+    fields = f"query {kind}, neighbour {kind}, first double, second double, same boolean"
+    found = base.sparkSession.createDataFrame([], fields)
+    known = F.col(label).isNotNull()
+    for shared, usable in _blocks(base.where(known), queries.where(known), entity, [first, second], centre, [label]):
+        found = found.unionByName(usable.mapInArrow(partial(_paired, shared=shared, centre=centre), fields))
+    return found
+
+
 def axis_correlation(base: DataFrame, queries: DataFrame, entity: str, first: str, second: str, centre: bool = False) -> DataFrame:
     """(n, r): correlation of the similarities on two axes over every (query, base row) pair that both measure.
 
@@ -279,8 +305,3 @@ def retest(a: DataFrame, b: DataFrame, entity: str, feature: str, value: str) ->
     both = a.select(entity, feature, F.col(value).alias("__a")).join(b.select(entity, feature, F.col(value).alias("__b")), [entity, feature])
     got = both.groupBy(entity).agg(F.corr("__a", "__b").alias("r"), F.count("*").alias("n"))
     return got.select(entity, "n", "r", (2 * F.col("r") / (1 + F.col("r"))).alias("reliability"))
-
-
-def neighbour_labels(knn: DataFrame, labels: DataFrame, entity: str, names: Sequence[str]) -> DataFrame:
-    """``knn`` with the neighbour's own columns ``names``."""
-    return knn.join(labels.select(F.col(entity).alias("neighbour"), *names), "neighbour", "left")

@@ -42,7 +42,7 @@ def s05_point_lookup(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", F.round("o_totalprice", 2).alias("o_totalprice"))
 
 
-def _folder(spark: SparkSession) -> str:
+def folder_of(spark: SparkSession) -> str:
     base = checkpoint_dir(spark).removeprefix("file:")
     return tempfile.mkdtemp(dir=base) if os.path.isdir(base) else f"{base.rstrip('/')}/{os.urandom(8).hex()}"
 
@@ -50,7 +50,7 @@ def _folder(spark: SparkSession) -> str:
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS entity, 'n_regionkey' AS feature, CAST(n_regionkey AS DOUBLE) AS value FROM nation UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 'twice', n_nationkey * 2.0 FROM nation")
 def s06_wide_csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """A wide table written as CSV and read back as long rows."""
-    path = _folder(spark) + "/wide.csv"
+    path = folder_of(spark) + "/wide.csv"
     n = table(spark, d, "nation").select("n_nationkey", "n_regionkey", (F.col("n_nationkey") * 2).alias("twice"))
     writers.csv_report(n, path)
     return readers.wide_delimited(spark, path, "entity")
@@ -59,7 +59,7 @@ def s06_wide_csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
 def s15_clustered_parquet_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """The orders range-clustered by customer and read back."""
-    path = _folder(spark) + "/orders"
+    path = folder_of(spark) + "/orders"
     writers.clustered(table(spark, d, "orders"), path, ["o_custkey"])
     return spark.read.parquet(path).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
@@ -67,7 +67,7 @@ def s15_clustered_parquet_round_trip(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def s16_idempotent_append(spark: SparkSession, d: str) -> DataFrame:
     """Two batches, the second of them twice: nothing is doubled."""
-    path = _folder(spark) + "/events"
+    path = folder_of(spark) + "/events"
     e = table(spark, d, "events").select("event_id", "event_type")
     odd = F.pmod("event_id", F.lit(2)) == 1
     for batch, part in ((0, e.where(~odd)), (1, e.where(odd)), (1, e.where(odd))):
@@ -77,7 +77,7 @@ def s16_idempotent_append(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT r_regionkey, r_name FROM region")
 def s18_json_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    path = _folder(spark) + "/region"
+    path = folder_of(spark) + "/region"
     r = table(spark, d, "region")
     writers.json_report(r, path)
     return spark.read.schema(r.schema).json(path)
@@ -90,7 +90,7 @@ def s20_catalog(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 'nation' AS name, count(*) AS n FROM nation")
 def s23_write_if_absent(spark: SparkSession, d: str) -> DataFrame:
-    path = _folder(spark) + "/nation"
+    path = folder_of(spark) + "/nation"
     made = writers.cached(spark, path, lambda: table(spark, d, "nation"))
     again = writers.cached(spark, path, lambda: made.limit(0))
     return again.agg(F.lit("nation").alias("name"), F.count("*").alias("n"))
@@ -643,11 +643,6 @@ def m21_delimited_lists(spark: SparkSession, d: str) -> DataFrame:
     return t.select("row_id", resolve.last_of_nested(F.col("diseases")).alias("disease"), F.size(resolve.split_list(F.col("cell_line_names"))).cast("long").alias("n_names"))
 
 
-@query("SELECT upper(trim(gsm_id)) AS gsm, CASE WHEN regexp_matches(lower(proc_family), 'gc-?rma') THEN 'gcrma' WHEN regexp_matches(lower(proc_family), '\\brma\\b') THEN 'rma' WHEN regexp_matches(lower(proc_family), 'mas\\s?5|gcos') THEN 'mas5' WHEN regexp_matches(lower(proc_family), 'plier') THEN 'plier' WHEN regexp_matches(lower(proc_family), 'quantile') THEN 'quantile' WHEN regexp_matches(lower(proc_family), 'rna-?seq|fpkm|rpkm|tpm') THEN 'rnaseq' ELSE 'unknown' END AS family FROM geo_platform")
-def m16_processing_family(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "geo_platform").select(upper_id(F.col("gsm_id")).alias("gsm"), readers.processing_family(F.col("proc_family")).alias("family"))
-
-
 @query("SELECT query_id, regexp_replace(lower(trim(query)), '\\s+', ' ', 'g') AS normal FROM gene_alias_result")
 def m24_query_normalise(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "gene_alias_result").select("query_id", F.regexp_replace(F.lower(F.trim("query")), r"\s+", " ").alias("normal"))

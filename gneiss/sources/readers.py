@@ -60,17 +60,102 @@ def gct(spark: SparkSession, path: str) -> DataFrame:
     return long.select("feature", "description", names[F.col("i")].alias("entity"), F.col("x").try_cast("double").alias("value")).where(F.col("value").isNotNull())
 
 
-#: How processing texts name their method, in order; the first that is found decides.
-PROCESSING = (("gcrma", r"gc-?rma"), ("rma", r"\brma\b|robust multi-?array"), ("mas5", r"mas\s?5|gcos"), ("plier", r"plier"), ("quantile", r"quantile"), ("rnaseq", r"rna-?seq|fpkm|rpkm|tpm"))
+#: Processing methods in the order in which they are looked for, the pattern that names each in lower-case
+#: text, and the scale of its values.
+PROCESSING = (
+    ("gcrma", r"\bgc[\s-]?rma\b", "log"),
+    ("rma", r"\brma\b|robust\s+multi[\s-]?array", "log"),
+    ("mas5", r"\bmas\s*5|\bgcos\b|microarray\s+suite\s*5|trimmed\s+mean.*target|global\s+scaling", "linear"),
+    ("plier", r"\bplier\b", "log"),
+    ("dchip", r"\bdchip\b|model[\s-]based\s+expression", "linear"),
+    ("mas4", r"\bmas\s*4|average\s+difference", "linear"),
+    ("vsn", r"\bvsn\b|variance\s+stabilis?z?ing", "log"),
+    ("quantile", r"quantile\s+normal", "unknown"),
+    ("lowess", r"\blowess\b|\bloess\b", "log"),
+    ("rnaseq", r"\brsem\b|\btpm\b|\bfpkm\b|\brpkm\b|\bdeseq\b", "linear"),
+)
 
 
 def processing_family(text: Column) -> Column:
+    """The method that a processing text names, "unknown" where it names none."""
     out = F.lit("unknown")
-    for name, pattern in reversed(PROCESSING):
+    for name, pattern, _ in reversed(PROCESSING):
         out = F.when(F.lower(text).rlike(pattern), F.lit(name)).otherwise(out)
     return out
 
 
+def processing_scale(text: Column) -> Column:
+    """The scale of the method that a processing text names."""
+    family, out = processing_family(text), F.lit("unknown")
+    for name, _, scale in PROCESSING:
+        out = F.when(family == name, F.lit(scale)).otherwise(out)
+    return out
+
+
+def harvested_method(text: Column) -> Column:
+    """The short form of harvested metadata: five names, by words the text contains."""
+    t = F.lower(text)
+    return (
+        F.when(t.contains("gcrma"), "gcRMA").when(t.rlike("rma|robust multi"), "RMA").when(t.rlike("mas5|mas 5|gcos"), "MAS5")
+        .when(t.contains("quantile"), "quantile").otherwise("other")
+    )
+
+
+def species_guess(source_name: Column, characteristics: Column) -> Column:
+    """A keyword guess at the species, for flagging only."""
+    name, more = F.lower(source_name), F.lower(characteristics)
+    either = lambda word, latin: F.coalesce(name.contains(word), F.lit(False)) | F.coalesce(more.contains(latin), F.lit(False))
+    return (
+        F.when(either("mouse", "mus musculus"), "possible_mouse").when(either("rat", "rattus"), "possible_rat")
+        .when(either("human", "homo sapiens"), "looks_human").otherwise("unclear")
+    )
+
+
+def wide_subset(spark: SparkSession, path: str, entity: str, features: Sequence[str]) -> DataFrame:
+    """The wanted feature columns of a wide parquet table that it has, read from its schema; the scan reads those alone."""
+    df = spark.read.parquet(path)
+    there = set(df.columns)
+    return df.select(f"`{entity}`", *[f"`{f}`" for f in features if f in there])
+
+
+def present(spark: SparkSession, folder: str, names: Sequence[str], required: bool = True) -> DataFrame:
+    """(table_name, present) of the tables of a folder; an error where a ``required`` one is missing.
+
+    Sources are only ever read; what is written goes to the checkpoint folder.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    rows = []
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+        rows.append((name, path.getFileSystem(conf).exists(path)))
+    missing = [n for n, there in rows if not there]
+    if required and missing:
+        raise FileNotFoundError(f"no such tables in {folder}: {', '.join(missing)}")
+    return spark.createDataFrame(rows, "table_name string, present boolean")
+
+
+def fetched(spark: SparkSession, source: str, folder: str) -> str:
+    """Path of a copy of ``source`` (any Hadoop file system) in the shared ``folder``, copied where it is not there yet."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    start = jvm.org.apache.hadoop.fs.Path(source)
+    end = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{start.getName()}")
+    target = end.getFileSystem(conf)
+    if not target.exists(end):
+        jvm.org.apache.hadoop.fs.FileUtil.copy(start.getFileSystem(conf), start, target, end, False, conf)
+    return str(end.toString())
+
+
+def harvest(wanted: DataFrame, key: str, landed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, failures) of the ids of ``wanted``: what has been landed for them, and a row with the reason for the others.
+
+    Nothing is fetched here: files are landed beforehand, since executors have no way out.
+    """
+    ids = wanted.select(key).where(F.col(key).isNotNull()).distinct()
+    records = ids.join(landed, key)
+    failures = ids.join(landed.select(key).distinct(), key, "left_anti").select(key, F.lit("not landed").alias("reason"))
+    return records, failures
+
+
 def soft(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(records, failures) of a folder of SOFT sample files.
 
@@ -94,10 +179,9 @@ def soft(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return records, failures
 
 
-def parameters(path: str) -> dict:
-    """A small JSON object of parameters, read by the driver."""
-    with open(path) as f:
-        return json.load(f)
+def parameters(spark: SparkSession, path: str) -> dict:
+    """A small JSON object of parameters, from any file system that Spark reads."""
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
 
 
 def hdf5(spark: SparkSession, path: str, dataset: str, rows: str, columns: str, rows_at_once: int = 1000) -> DataFrame:

@@ -21,6 +21,11 @@ def clustered(df: DataFrame, path: str, by: Sequence[str], mode: str = "overwrit
     df.repartitionByRange(*by).sortWithinPartitions(*by).write.mode(mode).option("compression", "zstd").parquet(path)
 
 
+def by_key(df: DataFrame, path: str, key: str, mode: str = "append") -> None:
+    """One distributed write with a directory for every value of ``key``, so that readers open only those they ask for."""
+    df.repartition(key).write.mode(mode).option("compression", "zstd").partitionBy(key).parquet(path)
+
+
 def table(df: DataFrame, name: str) -> None:
     """Create or replace a managed table."""
     df.write.mode("overwrite").saveAsTable(name)
