@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions.stats import log_choose, phi
 from gneiss.operators.combine import W_FIRST, W_NORM, W_SECOND
+from gneiss.operators.correlate import spearman_by
 from gneiss.operators.ranks import auroc, partial_areas
 from gneiss.operators.resampling import ratio_bootstrap
 from gneiss.operators.running import running_sums
@@ -130,9 +131,10 @@ def rank_sum(df: DataFrame, by: Sequence[str], value: str, positive: str) -> Dat
     return got.select(*by, "n_pos", "n_neg", u.alias("u"), z.alias("z"), (2 * F.col("auroc") - 1).alias("cliffs_delta"))
 
 
-def cluster_bootstrap(df: DataFrame, feature: str, cluster: str, top: Column, bottom: Column, draws: int = 1000) -> DataFrame:
-    """(feature, n_clusters, estimate, ci_low, ci_high, se) of sum(top) / sum(bottom), whole clusters drawn again."""
-    return ratio_bootstrap(df, [feature], cluster, top, bottom, draws)
+def cluster_bootstrap(df: DataFrame, feature: str, cluster: str, top: Column, bottom: Column, draws: int = 1000, digits: int = 15) -> DataFrame:
+    """(feature, n_clusters, estimate, ci_low, ci_high, se) of sum(top) / sum(bottom), whole clusters drawn again, rounded to ``digits``."""
+    got = ratio_bootstrap(df, [feature], cluster, top, bottom, draws)
+    return got.withColumns({c: F.round(c, digits) for c in ("estimate", "ci_low", "ci_high", "se")})
 
 
 def _permuted(pdf: pd.DataFrame, feature: str, stratum: str, entity: str, value: str, positive: str, draws: int) -> pd.DataFrame:
@@ -312,3 +314,74 @@ def sweep(values: Sequence[float], name: str, query: Callable[[float], DataFrame
         part = query(v).withColumn(name, F.lit(v))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def scale_guard(df: DataFrame, value: str, first: Column, second: Column, target_rate: float, least_gap: float = 0.15) -> DataFrame:
+    """One row: medians of all, of the reference rows expected low (``first``) and of those expected not to be (``second``), their
+    separation, the cut below which ``target_rate`` of the second fall, and whether the sets stand apart the right way."""
+    a, b = F.when(first, F.col(value)), F.when(second, F.col(value))
+    got = df.agg(F.median(value).alias("median_all"), F.median(a).alias("median_first"), F.median(b).alias("median_second"), F.percentile(b, F.lit(target_rate)).alias("threshold"))
+    gap = F.col("median_second") - F.col("median_first")
+    return got.select("median_all", "median_first", "median_second", gap.alias("separation"), "threshold", F.coalesce(gap > least_gap, F.lit(False)).alias("passed"))
+
+
+def family_rates(df: DataFrame, name: str, families: dict[str, str], fired: Column) -> DataFrame:
+    """(family, n, rate): how often ``fired`` holds among the rows whose name matches each family's pattern; the first that
+    matches counts, the rest are "other"."""
+    family = F.lit("other")
+    for label, pattern in reversed(list(families.items())):
+        family = F.when(F.lower(name).rlike(pattern), label).otherwise(family)
+    return df.groupBy(family.alias("family")).agg(F.count("*").alias("n"), F.avg(fired.cast("double")).alias("rate"))
+
+
+def completeness(df: DataFrame, value: str, sources: str, ties: Sequence[str], most: int, top: int) -> DataFrame:
+    """One row: spread and mean size of values from ``most`` sources over those from one, and the share of ``most`` among the
+    ``top`` greatest and least values over its share of all (ties by ``ties``)."""
+    x, full, one = F.col(value), F.col(sources) == most, F.col(sources) == 1
+    whole = df.agg(
+        (F.stddev_pop(F.when(full, x)) / F.stddev_pop(F.when(one, x))).alias("r_sd"), (F.avg(F.when(full, F.abs(x))) / F.avg(F.when(one, F.abs(x)))).alias("r_abs"),
+        F.avg(full.cast("double")).alias("base"),
+    )
+    known = df.where(x.isNotNull())
+    ends = [known.orderBy(o, *ties).limit(top).agg(F.avg(full.cast("double")).alias(n)) for o, n in ((F.desc(value), "c"), (F.asc(value), "d"))]
+    base = F.nullif(F.col("base"), F.lit(0.0))
+    return whole.join(ends[0]).join(ends[1]).select("r_sd", "r_abs", (F.col("c") / base).alias("t1c"), (F.col("d") / base).alias("t1d"))  # one row each
+
+
+def paired_labels(rows: DataFrame, feature: str, label: str, a: str, b: str, value: str) -> DataFrame:
+    """One row over the features that have ``value`` under both labels: medians, signed-rank p of the difference, rank
+    correlation and the share that falls on the same side of 1."""
+    wide = rows.groupBy(feature).agg(F.max(F.when(F.col(label) == a, F.col(value))).alias("a"), F.max(F.when(F.col(label) == b, F.col(value))).alias("b"))
+    both = written(wide.where(F.col("a").isNotNull() & F.col("b").isNotNull()))
+    test = signed_rank(both.withColumn("x", F.col("a") - F.col("b")), [], "x").select("p_value")
+    rho = spearman_by(both.withColumn("__one", F.lit(1)), ["__one"], "a", "b").select(F.col("rho").alias("spearman"))
+    over = both.agg(
+        F.count("*").alias("n_features"), F.median("a").alias("median_a"), F.median("b").alias("median_b"), F.avg(((F.col("a") < 1) == (F.col("b") < 1)).cast("double")).alias("sign_agreement")
+    )
+    return over.join(test, how="left").join(rho, how="left")  # one row each
+
+
+def gini(df: DataFrame, value: str) -> DataFrame:
+    """One row: (n, gini, largest_share) of non-negative contributions; NULL where they sum to 0."""
+    ran = running_sums(df.where(F.col(value).isNotNull()), [], [F.asc(value)], {"__k": F.lit(1)})
+    got = ran.agg(F.count("*").alias("n"), F.sum(F.col("__k_upto") * F.col(value)).alias("kx"), F.sum(value).alias("total"), F.max(value).alias("top"))
+    total, n = F.nullif(F.col("total"), F.lit(0)), F.col("n")
+    return got.select("n", (2 * F.col("kx") / (n * total) - (n + 1) / n).alias("gini"), (F.col("top") / total).alias("largest_share"))
+
+
+def interval_checks(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(check, violations) of a table of ``score_intervals``: one pass, and one aggregation for repeated pairs."""
+    pct = [F.col(c) for c in ("top_global_pct", "top_stratum_pct", "win_rate_pct")]
+    outside = pct[0].isNull()
+    for c in pct:
+        outside = outside | (c < 0) | (c > 100)
+    rules = {
+        "band holds the score": ~((F.col("ci_low") <= F.col("score")) & (F.col("score") <= F.col("ci_high"))),
+        "width is high less low": F.abs(F.col("ci_high") - F.col("ci_low") - F.col("ci_width")) > 1e-12,
+        "shares within 0 and 100": outside,
+        "layers within 1 and 2": ~F.col("n_layers").isin(1, 2),
+    }
+    one = intervals.agg(*[F.count_if(F.coalesce(r, F.lit(True))).alias(f"c{i}") for i, r in enumerate(rules.values())])
+    repeated = intervals.groupBy(*keys).count().agg(F.count_if(F.col("count") > 1).alias("c9"))
+    named = F.array(*[F.struct(F.lit(n).alias("check"), F.col(f"c{i}").alias("violations")) for i, n in enumerate(rules)], F.struct(F.lit("one row a pair").alias("check"), F.col("c9").alias("violations")))
+    return one.join(repeated).select(F.explode(named).alias("x")).select("x.check", "x.violations")  # one row each

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.operators.resampling import poisson_times
 from gneiss.operators.similarity import _unit
 from gneiss.session import cut
 
@@ -164,3 +165,50 @@ def kmeans(df: DataFrame, entity: str, vector: str, k: int, components: int, see
         KMeans(k=k, seed=seed, featuresCol="__p", predictionCol="cluster"),
     ]
     return Pipeline(stages=steps).fit(rows).transform(rows).select(entity, "cluster")
+
+
+def agreement_by(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """(by, ari): adjusted Rand index of two labellings in every group, from the contingency tables."""
+    cells = df.groupBy(*by, a, b).agg(F.count("*").alias("n"))
+    pairs = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2.0)
+    joint = cells.groupBy(*by).agg(pairs("n").alias("cc"), F.sum("n").cast("double").alias("t"))
+    rows = cells.groupBy(*by, a).agg(F.sum("n").alias("n")).groupBy(*by).agg(pairs("n").alias("rr"))
+    columns = cells.groupBy(*by, b).agg(F.sum("n").alias("n")).groupBy(*by).agg(pairs("n").alias("kk"))
+    one = joint.join(rows, by).join(columns, by)
+    expected = F.col("rr") * F.col("kk") / (F.col("t") * (F.col("t") - 1) / 2)
+    most = (F.col("rr") + F.col("kk")) / 2
+    return one.select(*by, F.when(most != expected, (F.col("cc") - expected) / (most - expected)).otherwise(1.0).alias("ari"))
+
+
+def reproduction(df: DataFrame, entity: str, vector: str, n_clusters: int, draws: int, share: float, seed: int = 42) -> DataFrame:
+    """(cluster, n_members, n_testable, reproduced): for every average-linkage cluster the share of replicates in which at least
+    ``share`` of its drawn members lie in one cluster of the replicate.
+
+    A replicate holds the entities that drawing as many as there are, with replacement, leaves (each by its own digest). The
+    linkage itself runs on the driver, as ``link_entities`` does, one replicate after another.
+    """
+    whole = cut(link_entities(df, entity, vector, n_clusters))
+    named = whole.select(entity, F.col("cluster").alias("__own"))
+    found = None
+    for b in range(draws):
+        drawn = df.where(poisson_times(seed, F.lit(b), entity) > 0)
+        again = cut(link_entities(drawn, entity, vector, n_clusters))
+        cells = again.join(named, entity).groupBy("__own", "cluster").agg(F.count("*").alias("n"))
+        part = cells.groupBy("__own").agg(F.max("n").alias("top"), F.sum("n").alias("seen"))
+        found = part if found is None else found.unionByName(part)
+    sizes = named.groupBy("__own").agg(F.count("*").alias("n_members"))
+    rate = found.groupBy("__own").agg(F.count("*").alias("n_testable"), F.avg((F.col("top") >= share * F.col("seen")).cast("double")).alias("reproduced"))
+    return sizes.join(rate, "__own", "left").select(F.col("__own").alias("cluster"), "n_members", F.coalesce("n_testable", F.lit(0)).alias("n_testable"), "reproduced")
+
+
+def component_plane(df: DataFrame, entity: str, vector: str) -> DataFrame:
+    """(entity, x, y): the first two principal components of the vectors, each with the sign that makes its greatest loading positive."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = df.where(F.col(vector).isNotNull()).select(entity, array_to_vector(F.col(vector).cast("array<double>")).alias("__v"))
+    model = PCA(k=2, inputCol="__v", outputCol="__p").fit(rows)
+    loadings = model.pc.toArray()
+    turn = [1.0 if loadings[np.abs(loadings[:, k]).argmax(), k] > 0 else -1.0 for k in range(2)]
+    p = vector_to_array("__p")
+    return model.transform(rows).select(entity, (p[0] * turn[0]).alias("x"), (p[1] * turn[1]).alias("y"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions.stats import phi, signs_disagree
+from gneiss.operators.correlate import spearman_by
 from gneiss.operators.zscores import shrunken_z, standardise
 from gneiss.session import written
 
@@ -146,3 +147,22 @@ def core_score(first: DataFrame, second: DataFrame, feature: str, entity: str, z
     )
     out = two.unionByName(one).where(F.col("cz").isNotNull())
     return out.select(feature, entity, phi("cz").alias("core_score"), "n_layers", "combination_variant")
+
+
+def residual_agreement(wide: DataFrame, feature: str, first: str, b: str, c: str, least: int = 3) -> DataFrame:
+    """(feature, n_overlap, rho_resid): rank correlation of what two platforms leave beyond the first layer.
+
+    Each platform's correlation with the first layer is shrunk toward the prior by K_RHO / (n + K_RHO), taken as the
+    prior under ``K_RHO`` rows or where it is undefined, and kept within 0.99; residuals are compared where all three are measured.
+    """
+    figures = wide.groupBy(feature)
+    slope = {}
+    for name in (b, c):
+        n, r = F.count(F.when(F.col(first).isNotNull(), F.col(name))), F.corr(first, name)
+        share = F.when(n >= K_RHO, K_RHO / (n + K_RHO)).otherwise(1.0)
+        known = F.coalesce(F.when(~F.isnan(r), r), F.lit(RHO_PRIOR))
+        slope[name] = F.greatest(F.least(share * RHO_PRIOR + (1 - share) * known, F.lit(0.99)), F.lit(-0.99)).alias(f"__p_{name}")
+    slopes = figures.agg(*slope.values())
+    both = wide.where(F.col(first).isNotNull() & F.col(b).isNotNull() & F.col(c).isNotNull()).join(slopes, feature)
+    residuals = both.select(feature, (F.col(b) - F.col(f"__p_{b}") * F.col(first)).alias("x"), (F.col(c) - F.col(f"__p_{c}") * F.col(first)).alias("y"))
+    return spearman_by(residuals, [feature], "x", "y", least).select(feature, F.col("n").alias("n_overlap"), F.col("rho").alias("rho_resid"))

@@ -39,7 +39,7 @@ def multiplicities(clusters: DataFrame, cluster: str, draws: int, seed: int) ->
     n = ids.count()
     grid = spark.range(draws).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias("i"))
     drawn = grid.select("b", F.pmod(digest(seed, "b", "i"), F.lit(max(n, 1))).alias("c"))
-    return drawn.groupBy("b", "c").agg(F.count("*").alias("times")).join(F.broadcast(ids), "c").select(cluster, "b", "times")  # one row a cluster
+    return drawn.groupBy("b", "c").agg(F.count("*").alias("times")).join(ids, "c").select(cluster, "b", "times")
 
 
 def bounds(value: str | Column, low: float = 0.025, high: float = 0.975) -> list[Column]:
@@ -115,12 +115,10 @@ def graph_against_tissue(pairs: DataFrame, fraction: float, least: int = 10) ->
     ``similarity`` (ties counted in), and the last less the second. ``pairs``: (similarity, distance, same, weight);
     a pair counts ``weight`` times."""
     w = F.col("weight")
-    total = pairs.agg(F.sum("weight").alias("n"))
-    share = 1 - F.greatest(F.lit(float(least)), F.floor(F.col("n") * fraction)) / F.col("n")
     known = pairs.where(w > 0)
-    # The cut is the quantile of similarity by weight; the whole table's medians are one aggregate each.
-    ranked = running_sums(known.groupBy("similarity").agg(F.sum("weight").alias("weight")), [], [F.asc("similarity")], {"w": w})
-    cut = ranked.join(F.broadcast(total)).where(F.col("w_upto") > share * F.col("w_all") - 1e-9).agg(F.min("similarity").alias("cut"))
+    # The cut is the similarity at which the pairs from the greatest down reach their number.
+    ranked = running_sums(known.groupBy("similarity").agg(F.sum("weight").alias("weight")), [], [F.desc("similarity")], {"w": w})
+    cut = ranked.where(F.col("w_upto") >= F.greatest(F.lit(float(least)), F.floor(F.col("w_all") * fraction))).agg(F.max("similarity").alias("cut"))
     marked = known.join(F.broadcast(cut))
     d = F.col("distance")
     return marked.agg(
@@ -129,15 +127,28 @@ def graph_against_tissue(pairs: DataFrame, fraction: float, least: int = 10) ->
     ).withColumn("delta", F.col("graph") - F.col("tissue"))
 
 
-def pair_bootstrap(pairs: DataFrame, entities: DataFrame, entity: str, fraction: float, draws: int, seed: int = 42) -> DataFrame:
+#: Shares of a Poisson variable of mean 1 that are at most 0, 1, 2, ..
+POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
+
+
+def poisson_times(*keys: Column | str | int) -> Column:
+    """How often a row is drawn in a Poisson bootstrap, by the digest of the keys; at most 7 times (beyond has a share of 1e-5)."""
+    u = F.pmod(digest(*keys), F.lit(100_000_000)) / 1e8
+    out = F.lit(len(POISSON))
+    for times in reversed(range(len(POISSON))):
+        out = F.when(u < POISSON[times], times).otherwise(out)
+    return out
+
+
+def pair_bootstrap(pairs: DataFrame, fraction: float, draws: int, seed: int = 42) -> DataFrame:
     """(b, delta) of ``graph_against_tissue`` with the entities of the pairs drawn again; ``pairs`` has (query, neighbour, ..).
 
-    A pair counts the product of both multiplicities. Pairs of two draws of one entity do not arise, since no entity is its
-    own neighbour. The cut of a replicate is a weighted quantile over its pairs.
+    Entities may be many, so each is drawn by a Poisson variable of its own instead of from a numbered list. A pair
+    counts the product of both. Pairs of two draws of one entity do not arise, since no entity is its own neighbour.
+    The cut of a replicate is a weighted quantile over its pairs.
     """
-    times = multiplicities(entities, entity, draws, seed)
-    left, right = times.select(F.col(entity).alias("query"), "b", F.col("times").alias("__l")), times.select(F.col(entity).alias("neighbour"), "b", F.col("times").alias("__r"))
-    again = pairs.join(left, "query").join(right, ["neighbour", "b"]).withColumn("weight", F.col("__l") * F.col("__r"))
+    again = pairs.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("weight", poisson_times(seed, "b", "query") * poisson_times(seed, "b", "neighbour"))
+    again = again.where(F.col("weight") > 0)
     cut = again.groupBy("b").agg(F.percentile("similarity", F.lit(1 - fraction), F.col("weight")).alias("cut"))
     d, w = F.col("distance"), F.col("weight")
     return again.join(F.broadcast(cut), "b").groupBy("b").agg(  # one row a replicate

@@ -205,10 +205,29 @@ def g44_decile_rates(spark: SparkSession, d: str) -> DataFrame:
     return got.select("feat", "decile", "n", *r6("rate"), F.round(F.col("rate") / F.col("base"), 6).alias("ratio"))
 
 
-@query()
+def md5_number(*keys: object) -> str:
+    """The SQL of ``resampling.digest``."""
+    return f"CAST('0x' || substr(md5(concat_ws('/', {', '.join(map(str, keys))})), 1, 12) AS BIGINT)"
+
+
+def multiplicities_sql(clusters: str, cluster: str, draws: int, seed: int = 42) -> str:
+    """The SQL of ``resampling.multiplicities``."""
+    ids = f"SELECT {cluster}, row_number() OVER (ORDER BY {cluster}) - 1 AS c FROM (SELECT DISTINCT {cluster} FROM {clusters} WHERE {cluster} IS NOT NULL)"
+    return f"""SELECT {cluster}, b, times FROM (SELECT b, {md5_number(seed, 'b', 'i')} % n AS c, count(*) AS times FROM (SELECT unnest(range({draws})) AS b), (SELECT unnest(range(n)) AS i, n FROM (SELECT count(DISTINCT {cluster}) AS n FROM {clusters})) GROUP BY ALL)
+  JOIN ({ids}) USING (c)"""
+
+
+_BOOT = {
+    "tm": multiplicities_sql("pn", "strat", 600),
+    "su": "SELECT feat, strat, sum(CAST(dep AS INTEGER)) AS t, count(*) AS u FROM pn GROUP BY ALL",
+    "rp": "SELECT feat, b, sum(t * times) / sum(u * times) AS r FROM su JOIN tm USING (strat) GROUP BY ALL",
+}
+
+
+@query(sql("SELECT feat, n_clusters, round(estimate, 6) AS estimate, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(se, 6) AS se FROM (SELECT feat, count(*) AS n_clusters, sum(t) / sum(u) AS estimate FROM su GROUP BY feat) JOIN (SELECT feat, quantile_cont(r, 0.025) AS ci_low, quantile_cont(r, 0.975) AS ci_high, stddev_samp(r) AS se FROM rp GROUP BY feat) USING (feat)", "sc", **_PANEL, **_BOOT))
 def g11_cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     p = panel(spark, d)
-    return audits.cluster_bootstrap(p, "feat", "strat", F.col("dep").cast("int"), F.lit(1), 600)
+    return audits.cluster_bootstrap(p, "feat", "strat", F.col("dep").cast("int"), F.lit(1), 600, 6)
 
 
 @query()
@@ -216,9 +235,8 @@ def g14_permutation_test(spark: SparkSession, d: str) -> DataFrame:
     return audits.permutation_test(panel(spark, d), "feat", "strat", "ent", "score", "dep", 200)
 
 
-@query()
-def g30_score_intervals(spark: SparkSession, d: str) -> DataFrame:
-    """Monte-Carlo intervals around the point score, top-k stability and win rates."""
+def interval_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What ``audits.score_intervals`` takes: layers, errors, residual figures and point scores."""
     a, b = (cut(x) for x in layers(spark, d))
     m = roles.measurements(spark, d)
     agreement = correlate.agreement(m.where(F.col("src") == "A"), m.where(F.col("src") == "N"), "feat", "ent", "value", 30)
@@ -230,11 +248,16 @@ def g30_score_intervals(spark: SparkSession, d: str) -> DataFrame:
     resid = both.join(slopes, "feat").withColumn("r", F.col("z2") - F.col("beta") * F.col("z1"))
     stats_ = resid.groupBy("feat").agg(F.median("r").alias("centre"), F.greatest(F.stddev_samp("r"), F.lit(1e-6)).alias("sd"))
     points = combine.core_score(a, b, "feat", "ent", "z_t", "k_src").select("feat", "ent", F.col("core_score").alias("point"))
-    rows = (
+    return (
         first.join(second, ["feat", "ent"], "left").join(slopes, "feat").join(stats_, "feat")
         .join(roles.entities(spark, d), "ent").join(points, ["feat", "ent"], "left")
     )
-    return audits.score_intervals(rows, "feat", "ent", "strat", 500, 10)
+
+
+@query()
+def g30_score_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Monte-Carlo intervals around the point score, top-k stability and win rates."""
+    return audits.score_intervals(interval_rows(spark, d), "feat", "ent", "strat", 500, 10)
 
 
 @query(sql("SELECT CAST(sum(h) AS BIGINT) AS hits, CAST(sum(p) AS BIGINT) AS positives, round(sum(h) / sum(p), 6) AS hit_rate FROM (SELECT feat, count(*) FILTER (WHERE k <= 20 AND dep) AS h, count(*) FILTER (WHERE dep) AS p FROM (SELECT *, row_number() OVER (PARTITION BY feat ORDER BY score DESC, ent) AS k FROM pn) GROUP BY feat)", "sc", **_PANEL))
