@@ -178,3 +178,12 @@ def log_gamma(x: Column) -> Column:
 def log_choose(n: Column, k: Column) -> Column:
     """Natural logarithm of n over k, 0 <= k <= n."""
     return log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1)
+
+
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson correlation of the rows that have both; NULL where one of them does not vary (``corr`` raises there)."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread > 0, F.covar_pop(x, y) / spread)

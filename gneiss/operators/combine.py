@@ -8,7 +8,7 @@ from math import sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.functions.stats import phi, signs_disagree
+from gneiss.functions.stats import correlation, phi, signs_disagree
 from gneiss.operators.correlate import spearman_by
 from gneiss.operators.zscores import shrunken_z, standardise
 from gneiss.session import written
@@ -92,13 +92,13 @@ def regression_slopes(both: DataFrame, feature: str, x: str, y: str) -> DataFram
     overall = both.agg(F.stddev_samp(x).alias("__sx"), F.stddev_samp(y).alias("__sy"))
     each = both.groupBy(feature).agg(
         F.count("*").alias("n_shared"),
-        F.corr(F.coalesce(x, F.lit(0.0)), F.coalesce(y, F.lit(0.0))).alias("__r"),
+        correlation(F.coalesce(x, F.lit(0.0)), F.coalesce(y, F.lit(0.0))).alias("__r"),
         F.stddev_samp(x).alias("__x"),
         F.stddev_samp(y).alias("__y"),
     )
     n = F.col("n_shared")
     lam, w = K_RHO / (n + K_RHO), n / (n + 25.0)
-    rho = lam * RHO_PRIOR + (1 - lam) * F.col("__r")
+    rho = lam * RHO_PRIOR + (1 - lam) * F.coalesce("__r", F.lit(RHO_PRIOR))
     sx = F.sqrt(w * F.col("__x") ** 2 + (1 - w) * F.col("__sx") ** 2)
     sy = F.sqrt(w * F.col("__y") ** 2 + (1 - w) * F.col("__sy") ** 2)
     enough = n >= MIN_SHARED
@@ -158,7 +158,7 @@ def residual_agreement(wide: DataFrame, feature: str, first: str, b: str, c: str
     figures = wide.groupBy(feature)
     slope = {}
     for name in (b, c):
-        n, r = F.count(F.when(F.col(first).isNotNull(), F.col(name))), F.corr(first, name)
+        n, r = F.count(F.when(F.col(first).isNotNull(), F.col(name))), correlation(first, name)
         share = F.when(n >= K_RHO, K_RHO / (n + K_RHO)).otherwise(1.0)
         known = F.coalesce(F.when(~F.isnan(r), r), F.lit(RHO_PRIOR))
         slope[name] = F.greatest(F.least(share * RHO_PRIOR + (1 - share) * known, F.lit(0.99)), F.lit(-0.99)).alias(f"__p_{name}")
@@ -166,3 +166,28 @@ def residual_agreement(wide: DataFrame, feature: str, first: str, b: str, c: str
     both = wide.where(F.col(first).isNotNull() & F.col(b).isNotNull() & F.col(c).isNotNull()).join(slopes, feature)
     residuals = both.select(feature, (F.col(b) - F.col(f"__p_{b}") * F.col(first)).alias("x"), (F.col(c) - F.col(f"__p_{c}") * F.col(first)).alias("y"))
     return spearman_by(residuals, [feature], "x", "y", least).select(feature, F.col("n").alias("n_overlap"), F.col("rho").alias("rho_resid"))
+
+
+def heterogeneity(df: DataFrame, feature: str, source: str, value: str, least: int = 2) -> DataFrame:
+    """(feature, k, q, i2): Cochran's Q of the sources' means, weighted by n / variance, and the share of variation beyond chance.
+
+    Sources of fewer than two values or without spread are left out; features with fewer than ``least`` sources too.
+    """
+    each = df.groupBy(feature, source).agg(F.avg(value).alias("m"), (F.count(value) / F.nullif(F.var_samp(value), F.lit(0.0))).alias("w")).where(F.col("w").isNotNull())
+    w, m = F.col("w"), F.col("m")
+    got = each.groupBy(feature).agg(F.count("*").alias("k"), F.sum(w).alias("sw"), F.sum(w * m).alias("swm"), F.sum(w * m * m).alias("swmm")).where(F.col("k") >= least)
+    q = F.greatest(F.lit(0.0), F.col("swmm") - F.col("swm") * F.col("swm") / F.col("sw"))
+    return got.select(feature, "k", q.alias("q"), F.when(q > 0, F.greatest(F.lit(0.0), (q - (F.col("k") - 1)) / q)).otherwise(0.0).alias("i2"))
+
+
+def platform_score(z: DataFrame, conflicting: DataFrame, feature: str, entity: str, source: str, value: str, dropped: str) -> DataFrame:
+    """(feature, entity, z_t, n_sources): sources weighted by the root of how many entities each has of the feature.
+
+    The ``dropped`` source's rows of ``conflicting`` features do not count; pairs of few sources are not shrunk.
+    """
+    kept = z.where(F.col(value).isNotNull()).join(conflicting.select(feature, F.lit(dropped).alias(source)), [feature, source], "left_anti")
+    weights = kept.groupBy(feature, source).agg(F.sqrt(F.count_distinct(entity).cast("double")).alias("__w"))
+    w = F.col("__w")
+    return kept.join(weights, [feature, source]).groupBy(feature, entity).agg(
+        (F.sum(w * F.col(value)) / F.sqrt(F.sum(w * w))).alias("z_t"), F.count_distinct(source).alias("n_sources")
+    )

@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.functions.stats import confidence_ramp
+from gneiss.functions.stats import confidence_ramp, correlation
 from gneiss.operators.ranks import average_rank
 
 
 def pearson_by(df: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
     """(by, n, r) with missing values taken as 0."""
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.corr(F.coalesce(a, F.lit(0.0)), F.coalesce(b, F.lit(0.0))).alias("r"))
+    return df.groupBy(*by).agg(F.count("*").alias("n"), correlation(F.coalesce(a, F.lit(0.0)), F.coalesce(b, F.lit(0.0))).alias("r"))
 
 
 def spearman_by(df: DataFrame, by: Sequence[str], a: str, b: str, least: int = 3) -> DataFrame:
@@ -24,7 +24,7 @@ def spearman_by(df: DataFrame, by: Sequence[str], a: str, b: str, least: int = 3
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     ranked = both.withColumn("__a", average_rank(by, a)).withColumn("__b", average_rank(by, b))
     got = ranked.groupBy(*by).agg(
-        F.count("*").alias("n"), F.corr("__a", "__b").alias("rho"), F.count_distinct("__a").alias("__da"), F.count_distinct("__b").alias("__db")
+        F.count("*").alias("n"), correlation("__a", "__b").alias("rho"), F.count_distinct("__a").alias("__da"), F.count_distinct("__b").alias("__db")
     )
     return got.where((F.col("n") >= least) & (F.col("__da") > 1) & (F.col("__db") > 1)).drop("__da", "__db")
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.functions.stats import clip, hill, noisy_or, score_band
+from gneiss.functions.stats import clip, correlation, hill, noisy_or, score_band
 from gneiss.operators.ranks import percentile_rank
 
 #: Ordinals of the confidence words.
@@ -133,3 +133,60 @@ def corroboration(a: Column, b: Column, tau: float) -> Column:
 def copy_number_vote(ratio: Column) -> Column:
     """+1 gain, -1 loss, 0 neither, by copy number over ploidy."""
     return F.when(ratio > 1.5, 1).when(ratio < 0.5, -1).when(ratio.isNotNull(), 0)
+
+
+def ranking_states(scores: DataFrame, feature: str, score: str, outcome: Column, role: str, spread: float = 0.05, against: float = -0.2, least: int = 30, exempt: Sequence[str] = ("tsg",)) -> DataFrame:
+    """(feature, n_scored, spread, agreement, state): whether a feature's ranking is worth acting on.
+
+    NO_EVIDENCE under ``least`` scored entities; UNINFORMATIVE where the 90th percentile stands less than ``spread`` above the
+    median; CONFLICTING where scores run against the measured ``outcome`` (correlation below ``against``), features of an
+    ``exempt`` role aside; else RANKED. An outcome that does not vary tells nothing.
+    """
+    known = scores.where(F.col(score).isNotNull())
+    r = correlation(score, outcome.cast("double"))
+    got = known.groupBy(feature).agg(
+        F.count("*").alias("n_scored"), (F.percentile(score, F.lit(0.9)) - F.median(score)).alias("spread"), F.when(~F.isnan(r), r).alias("agreement"), F.max(role).alias("__role")
+    )
+    state = (
+        F.when(F.col("n_scored") < least, "NO_EVIDENCE").when(F.col("spread") < spread, "UNINFORMATIVE")
+        .when((F.col("agreement") < against) & ~F.coalesce(F.col("__role").isin(*exempt), F.lit(False)), "CONFLICTING").otherwise("RANKED")
+    )
+    return got.select(feature, "n_scored", "spread", "agreement", state.alias("state"))
+
+
+def asked_states(asked: DataFrame, query: str, states: DataFrame, feature: str) -> DataFrame:
+    """``states`` of the features that were asked for, case aside; UNKNOWN_GENE for what is no feature at all."""
+    known = states.select(F.lower(feature).alias("__k"), F.col(feature).alias("resolved"), *[c for c in states.columns if c != feature])
+    joined = asked.select(query, F.lower(F.trim(query)).alias("__k")).join(known, "__k", "left").drop("__k")
+    return joined.withColumn("state", F.coalesce("state", F.lit("UNKNOWN_GENE")))
+
+
+def abstentions(df: DataFrame, feature: str, value: str, altered: Column, role: str, expressed: float, silent: float = 0.20, universal: float = 0.95, few: int = 10) -> DataFrame:
+    """(feature, abstention): every reason for which a term of the feature would constrain nothing or mislead.
+
+    SILENT_GENE, NEAR_UNIVERSAL_GENE (of NOT expressed), TRIVIALLY_SATISFIED (of NOT altered: fewer than ``few`` altered
+    entities), LOSS_IS_PROTEIN_LEVEL (of NOT expressed: a suppressor's loss leaves the transcript intact).
+    """
+    got = df.groupBy(feature).agg(F.avg((F.col(value) > expressed).cast("double")).alias("s"), F.count_if(altered).alias("a"), F.max(role).alias("r"))
+    reasons = F.array_compact(
+        F.array(
+            F.when(F.col("s") < silent, "SILENT_GENE"), F.when(F.col("s") > universal, "NEAR_UNIVERSAL_GENE"), F.when(F.col("a") < few, "TRIVIALLY_SATISFIED"),
+            F.when(F.col("r").isin("tsg", "both"), "LOSS_IS_PROTEIN_LEVEL"),
+        )
+    )
+    return got.select(feature, F.explode(reasons).alias("abstention"))
+
+
+def altered_or_unknown(sequenced: Column, max_rank: Column, n_rows: Column, listed: Column, high: int = 3, moderate: int = 2) -> Column:
+    """Whether an entity is altered: true by a row of high impact, false where it was sequenced and nothing speaks for it, and
+    NULL where it was not, or where all four hold: sequenced, no row of high impact, one of moderate impact, feature ``listed``
+    as one whose moderate changes can activate."""
+    found = F.coalesce(max_rank, F.lit(0))
+    return F.when(~sequenced, None).when(found >= high, True).when((found == moderate) & (n_rows > 0) & listed, None).otherwise(False)
+
+
+def relative_copy_number(copies: DataFrame, keys: Sequence[str], entity: str, total: str) -> DataFrame:
+    """(keys, relative): mean copy number over the entity's ploidy, its mean over everything measured."""
+    each = copies.where(F.col(total).isNotNull()).groupBy(*keys).agg(F.avg(total).alias("cn"))
+    ploidy = copies.groupBy(entity).agg(F.avg(total).alias("ploidy"))
+    return each.join(ploidy, entity).select(*keys, (F.col("cn") / F.nullif(F.col("ploidy"), F.lit(0.0))).alias("relative"))

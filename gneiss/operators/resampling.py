@@ -26,20 +26,22 @@ def sign(*keys: Column | str | int) -> Column:
     return (1 - 2 * F.pmod(digest(*keys), F.lit(2))).cast("int")
 
 
-def numbered(df: DataFrame, cluster: str) -> DataFrame:
-    """(cluster, c): the clusters numbered from 0 in their order. Clusters are a dimension: their list is ordered in one task."""
-    return df.select(cluster).where(F.col(cluster).isNotNull()).distinct().select(cluster, (F.row_number().over(Window.orderBy(cluster)) - 1).alias("c"))
+def numbered(clusters: DataFrame) -> DataFrame:
+    """(cluster, number): the distinct clusters of column ``cluster`` numbered from 0 in their order. Clusters are a dimension:
+    their list is ordered in one task."""
+    ids = clusters.select("cluster").where(F.col("cluster").isNotNull()).distinct()
+    return ids.select("cluster", (F.row_number().over(Window.orderBy("cluster")) - 1).alias("number"))
 
 
-def multiplicities(clusters: DataFrame, cluster: str, draws: int, seed: int) -> DataFrame:
+def multiplicities(df: DataFrame, cluster: str, draws: int, seed: int) -> DataFrame:
     """(cluster, b, times): how often each replicate b = 0 .. draws - 1 draws each cluster, as many draws as there are
-    clusters, with replacement; rows of 0 are left out."""
-    spark = clusters.sparkSession
-    ids = numbered(clusters, cluster)
-    n = ids.count()
-    grid = spark.range(draws).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias("i"))
-    drawn = grid.select("b", F.pmod(digest(seed, "b", "i"), F.lit(max(n, 1))).alias("c"))
-    return drawn.groupBy("b", "c").agg(F.count("*").alias("times")).join(ids, "c").select(cluster, "b", "times")
+    clusters, with replacement; rows of 0 are left out. The clusters are those of column ``cluster``, NULL being none."""
+    spark = df.sparkSession
+    ids = numbered(df.select(F.col(cluster).alias("cluster")))
+    n = max(ids.count(), 1)
+    grid = spark.range(draws).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+    drawn = grid.select("b", F.pmod(digest(seed, "b", "i"), F.lit(n)).alias("number"))
+    return drawn.groupBy("b", "number").agg(F.count("*").alias("times")).join(ids, "number").select("cluster", "b", "times")
 
 
 def bounds(value: str | Column, low: float = 0.025, high: float = 0.975) -> list[Column]:
@@ -52,23 +54,28 @@ def ratio_bootstrap(df: DataFrame, by: Sequence[str], cluster: str, top: Column,
     The same clusters are drawn for every group, as one population is. Rows without a cluster take no part; a replicate
     whose bottom is 0 gives none.
     """
-    sums = df.where(F.col(cluster).isNotNull()).groupBy(*by, cluster).agg(F.sum(top.cast("double")).alias("t"), F.sum(bottom.cast("double")).alias("u"))
-    whole = sums.groupBy(*by).agg(F.count("*").alias("n_clusters"), (F.sum("t") / F.nullif(F.sum("u"), F.lit(0.0))).alias("estimate"))
-    times = multiplicities(df, cluster, draws, seed)
-    again = sums.join(times, cluster).groupBy(*by, "b").agg((F.sum(F.col("t") * F.col("times")) / F.nullif(F.sum(F.col("u") * F.col("times")), F.lit(0.0))).alias("r"))
-    spread = again.groupBy(*by).agg(*bounds("r"), F.stddev_samp("r").alias("se"))
-    return whole.join(spread, list(by), "left") if by else whole.join(spread)
+    # Own names inside, so callers may name their columns as they like.
+    keys = [f"g{i}" for i in range(len(by))]
+    rows = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(by, keys, strict=True)], F.col(f"`{cluster}`").alias("cluster"), top.cast("double").alias("t"), bottom.cast("double").alias("u"))
+    sums = rows.where(F.col("cluster").isNotNull()).groupBy(*keys, "cluster").agg(F.sum("t").alias("t"), F.sum("u").alias("u"))
+    whole = sums.groupBy(*keys).agg(F.count("*").alias("n_clusters"), (F.sum("t") / F.nullif(F.sum("u"), F.lit(0.0))).alias("estimate"))
+    times = multiplicities(rows, "cluster", draws, seed)
+    again = sums.join(times, "cluster").groupBy(*keys, "b").agg((F.sum(F.col("t") * F.col("times")) / F.nullif(F.sum(F.col("u") * F.col("times")), F.lit(0.0))).alias("r"))
+    spread = again.groupBy(*keys).agg(*bounds("r"), F.stddev_samp("r").alias("se"))
+    joined = whole.join(spread, keys, "left") if by else whole.join(spread)  # one row each
+    return joined.select(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)], "n_clusters", "estimate", "ci_low", "ci_high", "se")
 
 
 def two_way_bootstrap(df: DataFrame, group: str, cluster: str, top: Column, bottom: Column, draws: int, seed: int = 42) -> DataFrame:
     """One row: the median over groups of sum(top) / sum(bottom) with its band when clusters and groups are both drawn again."""
-    sums = df.where(F.col(cluster).isNotNull() & F.col(group).isNotNull()).groupBy(group, cluster).agg(F.sum(top.cast("double")).alias("t"), F.sum(bottom.cast("double")).alias("u"))
-    point = sums.groupBy(group).agg((F.sum("t") / F.nullif(F.sum("u"), F.lit(0.0))).alias("r")).agg(F.count("r").alias("n_groups"), F.median("r").alias("estimate"))
-    clusters = multiplicities(df, cluster, draws, seed)
-    groups = multiplicities(df, group, draws, seed + 1).withColumnRenamed("times", "weight")
-    each = sums.join(clusters, cluster).groupBy(group, "b").agg((F.sum(F.col("t") * F.col("times")) / F.nullif(F.sum(F.col("u") * F.col("times")), F.lit(0.0))).alias("r"))
-    medians = each.where(F.col("r").isNotNull()).join(groups, [group, "b"]).groupBy("b").agg(F.percentile("r", F.lit(0.5), F.col("weight")).alias("m"))
-    return point.join(medians.agg(*bounds("m"), F.stddev_samp("m").alias("se")))
+    rows = df.select(F.col(f"`{group}`").alias("g"), F.col(f"`{cluster}`").alias("cluster"), top.cast("double").alias("t"), bottom.cast("double").alias("u"))
+    sums = rows.where(F.col("cluster").isNotNull() & F.col("g").isNotNull()).groupBy("g", "cluster").agg(F.sum("t").alias("t"), F.sum("u").alias("u"))
+    point = sums.groupBy("g").agg((F.sum("t") / F.nullif(F.sum("u"), F.lit(0.0))).alias("r")).agg(F.count("r").alias("n_groups"), F.median("r").alias("estimate"))
+    clusters = multiplicities(rows, "cluster", draws, seed)
+    groups = multiplicities(rows, "g", draws, seed + 1).select(F.col("cluster").alias("g"), "b", F.col("times").alias("weight"))
+    each = sums.join(clusters, "cluster").groupBy("g", "b").agg((F.sum(F.col("t") * F.col("times")) / F.nullif(F.sum(F.col("u") * F.col("times")), F.lit(0.0))).alias("r"))
+    medians = each.where(F.col("r").isNotNull()).join(groups, ["g", "b"]).groupBy("b").agg(F.percentile("r", F.lit(0.5), F.col("weight")).alias("m"))
+    return point.join(medians.agg(*bounds("m"), F.stddev_samp("m").alias("se")))  # one row each
 
 
 def paired_bootstrap(sums: DataFrame, cluster: str, draws: int, seed: int = 42) -> DataFrame:
@@ -80,7 +87,8 @@ def paired_bootstrap(sums: DataFrame, cluster: str, draws: int, seed: int = 42)
     total = sums.agg(*[F.sum(c).alias(c) for c in ("hits1", "n1", "hits2", "n2")], F.count("*").alias("n_clusters"))
     first, second = rate(F.col("hits1"), F.col("n1")), rate(F.col("hits2"), F.col("n2"))
     point = total.select("n_clusters", (second - first).alias("delta"), F.when(first > 0, second / first).alias("lift"))
-    again = sums.join(multiplicities(sums, cluster, draws, seed), cluster).groupBy("b").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in ("hits1", "n1", "hits2", "n2")])
+    named = sums.select(F.col(f"`{cluster}`").alias("cluster"), "hits1", "n1", "hits2", "n2")
+    again = named.join(multiplicities(named, "cluster", draws, seed), "cluster").groupBy("b").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in ("hits1", "n1", "hits2", "n2")])
     each = again.select((second - first).alias("d"), F.when(first > 0, second / first).alias("l"))
     band = each.agg(*[F.percentile(c, F.lit(p)).alias(f"{n}_{e}") for c, n in (("d", "delta"), ("l", "lift")) for e, p in (("low", 0.025), ("high", 0.975))])
     return point.join(band)

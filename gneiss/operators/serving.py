@@ -164,3 +164,39 @@ def evidence_order(df: DataFrame, confirms: str, vector: Sequence[str], contradi
     for n in names:
         condition = condition & F.col(n).eqNullSafe(F.col(f"__{n}"))
     return df.join(right, condition).drop(*[f"__{n}" for n in names])
+
+
+#: Bounds of a request.
+MOST_FEATURES, MOST_STRATA, MOST_ROWS = 10, 5, 200
+
+
+def checked_request(features: Sequence[str], strata: Sequence[str] = (), floor: float = 0.5, top_n: int = 30) -> None:
+    """Raise ValueError for a request outside the service's bounds, naming what is wrong."""
+    if not 1 <= len(features) <= MOST_FEATURES:
+        raise ValueError(f"1 to {MOST_FEATURES} features, not {len(features)}")
+    if len(strata) > MOST_STRATA:
+        raise ValueError(f"at most {MOST_STRATA} strata, not {len(strata)}")
+    if not 0.0 <= floor <= 1.0:
+        raise ValueError(f"a floor between 0 and 1, not {floor}")
+    if not 1 <= top_n <= MOST_ROWS:
+        raise ValueError(f"1 to {MOST_ROWS} rows, not {top_n}")
+
+
+def similar_per_axis(base: DataFrame, asked: DataFrame, entity: str, axes: dict[str, str], label: str, k: int = 10) -> DataFrame:
+    """(entity, axis, covered, rank, neighbour, similarity, same_label): one list per axis, never fused; an entity that an axis
+    does not measure has one row of that axis with ``covered`` false."""
+    names = base.select(F.col(entity).alias("neighbour"), F.col(label).alias("__other"))
+    own = base.select(F.col(entity).alias("query"), F.col(label).alias("__own"))
+    out = None
+    for axis, vector in axes.items():
+        measured = base.where(F.col(vector).isNotNull())
+        there = measured.join(asked.select(entity), entity, "left_semi")
+        found = nearest(measured, there, entity, vector, k).join(names, "neighbour", "left").join(own, "query", "left")
+        rows = found.select(F.col("query").alias(entity), F.lit(axis).alias("axis"), F.lit(True).alias("covered"), "rank", "neighbour", "similarity", (F.col("__own") == F.col("__other")).alias("same_label"))
+        gone = asked.select(entity).join(measured.select(entity), entity, "left_anti").select(
+            entity, F.lit(axis).alias("axis"), F.lit(False).alias("covered"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast(base.schema[entity].dataType).alias("neighbour"),
+            F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("boolean").alias("same_label"),
+        )
+        part = rows.unionByName(gone)
+        out = part if out is None else out.unionByName(part)
+    return out

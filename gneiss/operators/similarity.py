@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.functions.stats import correlation
 from gneiss.operators.aggregates import exact_quantiles
 from gneiss.operators.ranks import auroc_of_all, average_rank
 from gneiss.operators.reshape import keep_dense_features
@@ -303,5 +304,5 @@ def split_half(long: DataFrame, entity: str, feature: str, value: str) -> tuple[
 def retest(a: DataFrame, b: DataFrame, entity: str, feature: str, value: str) -> DataFrame:
     """(entity, r, reliability): correlation of an entity's two profiles, and Spearman-Brown 2r / (1 + r)."""
     both = a.select(entity, feature, F.col(value).alias("__a")).join(b.select(entity, feature, F.col(value).alias("__b")), [entity, feature])
-    got = both.groupBy(entity).agg(F.corr("__a", "__b").alias("r"), F.count("*").alias("n"))
+    got = both.groupBy(entity).agg(correlation("__a", "__b").alias("r"), F.count("*").alias("n"))
     return got.select(entity, "n", "r", (2 * F.col("r") / (1 + F.col("r"))).alias("reliability"))

@@ -78,3 +78,23 @@ def agreement_bounds(correlations: DataFrame, null_share: float = 0.95, matched_
     got = correlations.agg(F.percentile(null, F.lit(null_share)).alias("n"), F.percentile(matched, F.lit(matched_share)).alias("m"), F.count(null).alias("n_null"), F.count(matched).alias("n_matched"))
     low = F.least(F.greatest("n", F.lit(0.0)), F.lit(0.9))
     return got.select("n_null", "n_matched", low.alias("low"), F.least(F.greatest(low + gap, F.col("m")), F.lit(0.95)).alias("high"))
+
+
+def derived(correlations: DataFrame, isoform_null: DataFrame, seed_rows: int, alpha: float = 0.05, null_share: float = 0.95, matched_share: float = 0.5, gap: float = 0.05, most: int = 300) -> DataFrame:
+    """One row of thresholds: ``isoform_corr`` (a high quantile of correlations between different features), ``agree_low`` and
+    ``agree_high`` as in ``agreement_bounds``, and ``min_shared``, the rows at which ``agree_low`` is significant.
+
+    With fewer than 30 null or 10 matched correlations a bound is the correlation that is significant at ``seed_rows``.
+    """
+    floor = critical_rho(seed_rows, alpha)
+    iso = isoform_null.where(F.col("kind") == "null").agg(F.percentile("rho", F.lit(null_share)).alias("q"), F.count("rho").alias("n"))
+    iso_bound = F.when(F.col("n") >= 30, F.least(F.greatest("q", F.lit(0.0)), F.lit(0.95))).otherwise(F.lit(floor))
+    bounds = agreement_bounds(correlations, null_share, matched_share, gap)
+    enough = (F.col("n_matched") >= 10) & (F.col("n_null") >= 30)
+    low = F.when(enough, F.col("low")).otherwise(F.lit(floor))
+    high = F.when(enough, F.col("high")).otherwise(F.lit(min(floor + max(gap, floor), 0.9)))
+    one = iso.select(iso_bound.alias("isoform_corr")).join(bounds.select(low.alias("agree_low"), high.alias("agree_high"), "n_null", "n_matched"))  # one row each
+    # The least n whose critical value is at most agree_low, from the table of all candidates.
+    table = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(critical_rho(n, alpha)).alias("r")) for n in range(4, most + 1)])
+    fits = F.filter(table, lambda x: x["r"] <= F.greatest(F.abs("agree_low"), F.lit(1e-3)))
+    return one.withColumn("min_shared", F.coalesce(F.get(fits, F.lit(0))["n"], F.lit(most)))

@@ -78,7 +78,7 @@ class Regimes:
 
 
 def method_z(df: DataFrame, method: str, stratum: str | None, feature: str, entity: str, value: str, floor: str, regimes: Regimes = Regimes()) -> DataFrame:
-    """Three-regime z per (method, stratum, feature), with ``det_frac`` and ``status``.
+    """Three-regime z per (method, stratum, feature), with ``det_frac``, ``status`` and ``scale_source`` (which scale the z has).
 
     Detection share at or above ``upper``: robust z whose scale is shrunk toward the feature's scale
     over the method with weight n / (n + prior), n being all entities of the method's stratum, and
@@ -111,8 +111,10 @@ def method_z(df: DataFrame, method: str, stratum: str | None, feature: str, enti
     status = (
         F.when(x.isNull() | ~enough, 3).when(det >= regimes.upper, 0).when(det >= regimes.lower, 1).when(det < regimes.lower, 2).otherwise(3)
     )
+    # 0 no value, 1 the stratum's own scale, 2 blended with the method's, 3 too few entities for any
+    source = F.when(x.isNull(), 0).when(~enough, 3).when(w >= 0.9, 1).otherwise(2)
     kept = [c for c in ranked.columns if not c.startswith("__")]
-    return ranked.withColumn("z", F.when(x.isNotNull(), z)).withColumn("status", status).select(*kept, "z", "status")
+    return ranked.withColumn("z", F.when(x.isNotNull(), z)).withColumn("status", status).withColumn("scale_source", source).select(*kept, "z", "status", "scale_source")
 
 
 def standardise(df: DataFrame, feature: str, stratum: str, value: str, out: str, thin: int = 5, prior: float = 25.0, bound: float = 5.0) -> DataFrame:

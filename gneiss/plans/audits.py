@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gneiss.functions.stats import correlation
 from gneiss.functions import stats
 from gneiss.operators import aggregates, audits, clusters, combine, correlate, ranks, serving, similarity, thresholds, zscores
 from gneiss.plans import roles
@@ -412,7 +413,7 @@ def g29_kmeans_on_components(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT round(corr(a, b), 6) AS r_ab, round(corr(a, c), 6) AS r_ac, count(*) AS n FROM wide", "m", **_PAIRED))
 def g50_source_independence(spark: SparkSession, d: str) -> DataFrame:
-    return paired(spark, d).agg(F.round(F.corr("a", "b"), 6).alias("r_ab"), F.round(F.corr("a", "c"), 6).alias("r_ac"), F.count("*").alias("n"))
+    return paired(spark, d).agg(F.round(correlation("a", "b"), 6).alias("r_ab"), F.round(correlation("a", "c"), 6).alias("r_ac"), F.count("*").alias("n"))
 
 
 # ------------------------------------------------------------------ thresholds and alternatives
@@ -420,11 +421,14 @@ def g50_source_independence(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def c08_agreement_thresholds(spark: SparkSession, d: str) -> DataFrame:
-    """Bounds of platform agreement from null and matched correlations, with the rows that a correlation needs (M14)."""
+    """Bounds of isoform and platform agreement from null and matched correlations, with the rows that they need (M14)."""
     m = cut(roles.measurements(spark, d))
     least = thresholds.least_rows(0.9)
-    rho = thresholds.paired_correlations(m.where(F.col("src") == "A"), m.where(F.col("src") == "N"), "feat", "ent", "value", least)
-    return thresholds.agreement_bounds(rho).withColumns({"seed_overlap": F.lit(least), "critical_rho_44": F.lit(thresholds.critical_rho(44))})
+    first, second = m.where(F.col("src") == "A"), m.where(F.col("src") == "N")
+    rho = thresholds.paired_correlations(first, second, "feat", "ent", "value", least)
+    iso = thresholds.paired_correlations(first, first, "feat", "ent", "value", least)
+    got = thresholds.derived(rho, iso, least)
+    return got.withColumns({"seed_overlap": F.lit(least), "critical_rho_44": F.lit(thresholds.critical_rho(44))})
 
 
 _ABLE = {"ab": "SELECT ent FROM sc WHERE feat IN ('Brand#11', 'Brand#22', 'Brand#7') AND score IS NOT NULL GROUP BY ent HAVING count(DISTINCT feat) = 3"}

@@ -95,8 +95,12 @@ def measurements(spark: SparkSession, d: str) -> DataFrame:
     return measurements_of(raw(spark, d))
 
 
+def z_of(m: DataFrame) -> DataFrame:
+    return zscores.robust_z(m, ["src", "strat", "feat"], "value")
+
+
 def z_table(spark: SparkSession, d: str) -> DataFrame:
-    return zscores.robust_z(measurements(spark, d), ["src", "strat", "feat"], "value")
+    return z_of(measurements(spark, d))
 
 
 def combined_of(m: DataFrame, lines: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gneiss.functions.stats import correlation
 from gneiss.functions import stats
 from gneiss.functions.ids import gene_id, upper_id
 from gneiss.operators import aggregates, combine, correlate, evidence, ranks, reshape, zscores
@@ -85,7 +86,7 @@ def a12_spearman_by_group(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT round(corr(a, b), 6) AS r, count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS n_pairs FROM wide", "m", **_PAIRED))
 def a13_whole_table_correlation(spark: SparkSession, d: str) -> DataFrame:
-    return paired(spark, d).agg(F.round(F.corr("a", "b"), 6).alias("r"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("n_pairs"))
+    return paired(spark, d).agg(F.round(correlation("a", "b"), 6).alias("r"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("n_pairs"))
 
 
 @query(sql("SELECT src, count(*) FILTER (WHERE val > 15) AS n_high, count(DISTINCT ent) AS n_ent FROM raw GROUP BY src", "raw"))
@@ -199,7 +200,7 @@ def a28_cohens_d(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT feat, round((ab - ac * bc) / sqrt((1 - ac * ac) * (1 - bc * bc)), 6) AS r FROM (SELECT feat, corr(val, qty) AS ab, corr(val, disc) AS ac, corr(qty, disc) AS bc FROM raw GROUP BY feat)", "raw"))
 def a29_partial_correlation(spark: SparkSession, d: str) -> DataFrame:
-    got = roles.raw(spark, d).groupBy("feat").agg(F.corr("val", "qty").alias("ab"), F.corr("val", "disc").alias("ac"), F.corr("qty", "disc").alias("bc"))
+    got = roles.raw(spark, d).groupBy("feat").agg(correlation("val", "qty").alias("ab"), correlation("val", "disc").alias("ac"), correlation("qty", "disc").alias("bc"))
     return got.select("feat", F.round(correlate.partial_correlation(F.col("ab"), F.col("ac"), F.col("bc")), 6).alias("r"))
 
 
@@ -313,7 +314,7 @@ _METHOD = {
     "g1": "SELECT m.*, flr, nb, median(value) OVER (PARTITION BY src, feat) AS med_g FROM m JOIN fl_ USING (src) JOIN nb USING (src, strat)",
     "g2": "SELECT *, median(abs(value - med_g)) OVER (PARTITION BY src, feat) * 1.4826 AS mad_g0, count(value) OVER w AS n, median(value) OVER w AS med, count(*) FILTER (WHERE value >= flr) OVER w AS nd FROM g1 WINDOW w AS (PARTITION BY src, strat, feat)",
     "g3": f"SELECT *, CASE WHEN mad_g0 > 1e-9 THEN mad_g0 ELSE 0.0 END AS mad_g, coalesce(median(abs(value - med)) OVER (PARTITION BY src, strat, feat) * 1.4826, 0.0) AS mad, nd / n AS det, nb / (nb + 25.0) AS w, ((rank() OVER (PARTITION BY src, strat, feat ORDER BY value) + (count(*) OVER (PARTITION BY src, strat, feat, value) - 1) / 2.0) - 0.5) / n AS shr FROM g2",
-    "g4": f"SELECT src, strat, feat, ent, det, nb, CASE WHEN nb < 5 THEN NULL WHEN det >= 0.7 THEN (value - med) / greatest(sqrt(w * mad * mad + (1 - w) * mad_g * mad_g), 0.1 * mad_g, 0.384) WHEN det >= 0.55 THEN {stats.sql_phi_inverse('shr')} END AS z, CASE WHEN nb < 5 THEN 3 WHEN det >= 0.7 THEN 0 WHEN det >= 0.55 THEN 1 ELSE 2 END AS status FROM g3",
+    "g4": f"SELECT src, strat, feat, ent, det, nb, CASE WHEN nb < 5 THEN 3 WHEN w >= 0.9 THEN 1 ELSE 2 END AS scale_source, CASE WHEN nb < 5 THEN NULL WHEN det >= 0.7 THEN (value - med) / greatest(sqrt(w * mad * mad + (1 - w) * mad_g * mad_g), 0.1 * mad_g, 0.384) WHEN det >= 0.55 THEN {stats.sql_phi_inverse('shr')} END AS z, CASE WHEN nb < 5 THEN 3 WHEN det >= 0.7 THEN 0 WHEN det >= 0.55 THEN 1 ELSE 2 END AS status FROM g3",
 }
 
 
@@ -323,9 +324,9 @@ def method_scores(spark: SparkSession, d: str, stratify: bool = True) -> DataFra
     return zscores.method_z(m.join(floors, "src"), "src", "strat" if stratify else None, "feat", "ent", "value", "flr", zscores.Regimes(0.7, 0.55, 25.0))
 
 
-@query(sql("SELECT src, strat, feat, ent, round(det, 6) AS det_frac, round(z, 6) AS z, status FROM g4", "m", **_METHOD))
+@query(sql("SELECT src, strat, feat, ent, round(det, 6) AS det_frac, round(z, 6) AS z, status, scale_source FROM g4", "m", **_METHOD))
 def w16_method_z(spark: SparkSession, d: str) -> DataFrame:
-    return method_scores(spark, d).select("src", "strat", "feat", "ent", *r6("det_frac", "z"), "status")
+    return method_scores(spark, d).select("src", "strat", "feat", "ent", *r6("det_frac", "z"), "status", "scale_source")
 
 
 @query(sql("""SELECT event_type, user_id, round(z, 6) AS z, z <= -1.0 AS sensitive FROM (SELECT *, (v - med) / nullif(1.4826 * median(abs(v - med)) OVER (PARTITION BY event_type), 0) AS z FROM (SELECT *, median(v) OVER (PARTITION BY event_type) AS med FROM (SELECT event_type, user_id, avg(value) AS v FROM events GROUP BY ALL)))"""))
@@ -582,15 +583,3 @@ def c22_feature_states(spark: SparkSession, d: str) -> DataFrame:
 def c24_corroboration(spark: SparkSession, d: str) -> DataFrame:
     p = paired(spark, d).withColumn("pa", ranks.percentile_rank(["feat"], "a")).withColumn("pb", ranks.percentile_rank(["feat"], "b"))
     return p.select("feat", "ent", evidence.corroboration(F.col("pa"), F.col("pb"), 0.2).alias("geo_support"))
-
-
-@query(sql("""SELECT gsm, gene, n, round(value, 6) AS value FROM (SELECT v.gsm, v.gene, count(*) AS n, median(CASE WHEN s.linear THEN log2(greatest(v.x, 0.0) + 1) ELSE v.x END) AS value
-FROM (SELECT upper(trim(gsm_id)) AS gsm, regexp_replace(upper(trim(gene_id)), '^(ENSG[0-9]+)\\.[0-9]+$', '\\1') AS gene, log2_value AS x FROM geo_values WHERE log2_value IS NOT NULL AND NOT isnan(log2_value)) v
-JOIN (SELECT upper(trim(gsm_id)) AS gsm, quantile_cont(log2_value, 0.99) >= 25 AS linear FROM geo_values WHERE log2_value IS NOT NULL AND NOT isnan(log2_value) GROUP BY 1) s USING (gsm) GROUP BY ALL)"""))
-def c25_series_rebuild(spark: SparkSession, d: str) -> DataFrame:
-    """Scale decided per sample, then the median of a feature's values."""
-    v = table(spark, d, "geo_values").where(F.col("log2_value").isNotNull() & ~F.isnan("log2_value"))
-    v = v.select(upper_id(F.col("gsm_id")).alias("gsm"), gene_id(F.col("gene_id")).alias("gene"), F.col("log2_value").alias("x"))
-    scale = v.groupBy("gsm").agg((F.percentile("x", F.lit(0.99)) >= 25).alias("linear"))
-    one = v.join(scale, "gsm").withColumn("y", F.when(F.col("linear"), stats.log2p1(F.col("x"))).otherwise(F.col("x")))
-    return one.groupBy("gsm", "gene").agg(F.count("*").alias("n"), F.round(F.median("y"), 6).alias("value"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions.ids import ensembl_id, gene_id, lower_label, nan_to_null, upper_id
-from gneiss.functions.stats import clip, log2p1, score_band, selectivity, strict_min
+from gneiss.functions.stats import clip, correlation, log2p1, score_band, selectivity, strict_min
 from gneiss.operators import aggregates, audits, combine, evidence, ranks, reshape, resolve, serving, skew
 from gneiss.operators.zscores import plain_z
 from gneiss.plans import roles
@@ -236,7 +236,7 @@ def j03_all_sources(spark: SparkSession, d: str) -> DataFrame:
 @query(sql("SELECT mut.feat, mut.ent FROM mut WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.feat = mut.feat AND m.ent = mut.ent AND src = 'N')", "mut", "m"))
 def j04_orphan_pairs(spark: SparkSession, d: str) -> DataFrame:
     seen = roles.measurements(spark, d).where(F.col("src") == "N").select("feat", "ent")
-    return roles.mutations(spark, d).select("feat", "ent").join(seen, ["feat", "ent"], "left_anti")
+    return roles.mutations(stage(spark, d, "raw")).select("feat", "ent").join(seen, ["feat", "ent"], "left_anti")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
@@ -516,8 +516,8 @@ _PAIRSCORE = f"SELECT round(corr(s0, s1), 6) AS r01, round(corr(s0, s2), 6) AS r
 def q22_redundancy(spark: SparkSession, d: str) -> DataFrame:
     s, *names = _score(spark, d)
     w = serving.by_feature(s, FEATURES, *names)
-    r = F.corr("s0", "s1")
-    return w.agg(F.round(r, 6).alias("r01"), F.round(F.corr("s0", "s2"), 6).alias("r02"), F.round(F.corr("s1", "s2"), 6).alias("r12"), F.coalesce(F.abs(r) > 0.7, F.lit(False)).alias("redundant"))
+    r = correlation("s0", "s1")
+    return w.agg(F.round(r, 6).alias("r01"), F.round(correlation("s0", "s2"), 6).alias("r02"), F.round(correlation("s1", "s2"), 6).alias("r12"), F.coalesce(F.abs(r) > 0.7, F.lit(False)).alias("redundant"))
 
 
 @query(sql(f"SELECT ent, dense_rank() OVER (ORDER BY confirms DESC, v1 DESC NULLS LAST, contradicts) AS band FROM ev", "m", ev=f"SELECT ent, count(*) FILTER (WHERE value > 15.5) AS confirms, max(CASE WHEN feat = '{A}' THEN CAST(value > 16 AS INTEGER) END) AS v1, count(*) FILTER (WHERE value < 14) AS contradicts FROM m GROUP BY ent"))
@@ -627,7 +627,7 @@ def d15_pass_fail_unassessed(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT feat, ent, CASE WHEN round(total_cn_mean / 2, 9) > 1.5 THEN 1 WHEN round(total_cn_mean / 2, 9) < 0.5 THEN -1 WHEN total_cn_mean IS NOT NULL THEN 0 END AS vote FROM cna", "cna"))
 def d20_copy_number_vote(spark: SparkSession, d: str) -> DataFrame:
-    got = evidence.cna_flags(roles.copy_numbers(spark, d), ["feat", "ent"], roles.roles(spark, d), "feat")
+    got = evidence.cna_flags(roles.copy_numbers(stage(spark, d, "raw")), ["feat", "ent"], roles.roles(spark, d), "feat")
     return got.select("feat", "ent", evidence.copy_number_vote(F.round(F.col("total_cn_mean") / 2, 9)).alias("vote"))
 
 
