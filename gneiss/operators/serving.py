@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions.stats import argmin_name, selectivity, strict_min
+from gneiss.operators.running import running_sums
 from gneiss.operators.similarity import nearest
 
 DIGITS = 6
@@ -156,9 +157,9 @@ def coverage(answers: DataFrame, terms: Sequence[str]) -> DataFrame:
 def evidence_order(df: DataFrame, confirms: str, vector: Sequence[str], contradicts: str) -> DataFrame:
     """``band``: entities by confirming evidence, then the vector, then fewest contradictions; equal keys share a band."""
     keys = [F.desc(confirms), *[F.desc_nulls_last(v) for v in vector], F.asc(contradicts)]
-    # Distinct keys are few; only they are ranked together.
     names = [confirms, *vector, contradicts]
-    bands = df.select(*names).distinct().withColumn("band", F.row_number().over(Window.orderBy(*keys)))
+    # Distinct keys may be as many as entities, so they are numbered over range-sorted pieces.
+    bands = running_sums(df.select(*names).distinct(), [], keys, {"__one": F.lit(1)}).withColumnRenamed("__one_upto", "band").drop("__one_all")
     condition = F.lit(True)
     right = bands.select(*[F.col(n).alias(f"__{n}") for n in names], "band")
     for n in names:

@@ -20,6 +20,7 @@ from gneiss.functions.stats import correlation
 from gneiss.operators.aggregates import exact_quantiles
 from gneiss.operators.ranks import auroc_of_all, average_rank
 from gneiss.operators.reshape import keep_dense_features
+from gneiss.session import written
 
 #: Query vectors of one broadcast block.
 QUERY_BLOCK = 2048
@@ -33,16 +34,23 @@ def prepare(long: DataFrame, entity: str, feature: str, value: str, most_missing
     z uses the population SD over all entities; imputed cells count.
     """
     dense = keep_dense_features(long, feature, entity, value, most_missing)
-    stats = dense.groupBy(feature).agg(F.median(value).alias("__med"), F.stddev_samp(value).alias("__sd")).where(F.col("__sd") > 0)
+    cells = dense.groupBy(entity, feature).agg(F.avg(value).alias("__v")).where(F.col("__v").isNotNull())
     lines = long.select(entity).distinct()
-    # entities x kept features is the size of the filled grid itself
-    grid = stats.select(feature, "__med").join(lines)
-    filled = grid.join(dense.groupBy(entity, feature).agg(F.avg(value).alias("__v")), [entity, feature], "left").select(
-        entity, feature, F.coalesce("__v", "__med").alias("x")
-    )
-    w = Window.partitionBy(feature)
-    sd = F.stddev_pop("x").over(w)
-    return filled.select(entity, feature, F.when(sd > 0, (F.col("x") - F.avg("x").over(w)) / sd).otherwise(0.0).alias("z"))
+    middle = dense.groupBy(feature).agg(F.median(value).alias("__med"), F.stddev_samp(value).alias("__sd")).where(F.col("__sd") > 0)
+    seen = cells.groupBy(feature).agg(F.count("*").alias("__c"), F.avg("__v").alias("__a"), F.var_pop("__v").alias("__w"))
+    # Mean and SD over all entities, the missing ones at the median, from the figures of the measured ones.
+    n, c, med = F.col("__n"), F.col("__c"), F.col("__med")
+    mean = (c * F.col("__a") + (n - c) * med) / n
+    variance = (c * (F.col("__w") + (F.col("__a") - F.col("__m")) ** 2) + (n - c) * (med - F.col("__m")) ** 2) / n
+    stats = middle.join(seen, feature).join(F.broadcast(lines.agg(F.count("*").alias("__n")))).withColumn("__m", mean)  # one row
+    stats = written(stats.select(feature, "__med", "__m", F.sqrt(variance).alias("__s")))
+    z = lambda x: F.when(F.col("__s") > 0, (x - F.col("__m")) / F.col("__s")).otherwise(0.0).alias("z")
+    measured = cells.join(stats, feature).select(entity, feature, z(F.col("__v")))
+    # An entity's missing features are named by set difference, so only the holes of the grid are made.
+    every = stats.agg(F.collect_list(feature).alias("__all"))  # one row
+    own = lines.join(cells.groupBy(entity).agg(F.collect_set(feature).alias("__own")), entity, "left").join(F.broadcast(every))
+    holes = own.select(entity, F.explode(F.array_except("__all", F.coalesce("__own", F.array().cast("array<string>")))).alias(feature))
+    return measured.unionByName(holes.join(stats, feature).select(entity, feature, z(F.col("__med"))))
 
 
 def ranked_rows(df: DataFrame, entity: str, value: str) -> DataFrame:

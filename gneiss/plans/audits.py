@@ -114,7 +114,7 @@ def g08_confusion(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT ent, n, round(r, 6) AS r, round(2 * r / (1 + r), 6) AS reliability FROM (SELECT ent, count(*) AS n, corr(a, b) AS r FROM wide WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ent HAVING count(*) >= 5)", "m", **_PAIRED))
 def g05_retest_reliability(spark: SparkSession, d: str) -> DataFrame:
-    m = roles.measurements(spark, d)
+    m = stage(spark, d, "measurements")
     got = similarity.retest(m.where(F.col("src") == "A"), m.where(F.col("src") == "N"), "ent", "feat", "value")
     return got.where(F.col("n") >= 5).select("ent", "n", *r6("r", "reliability"))
 
@@ -122,7 +122,7 @@ def g05_retest_reliability(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def g01_entity_profiles(spark: SparkSession, d: str) -> DataFrame:
     """Spearman neighbours of entities over imputed, standardised profiles: query entities divisible by 50, all entities as base."""
-    m = roles.measurements(spark, d).groupBy("ent", "feat").agg(F.avg("value").alias("value"))
+    m = stage(spark, d, "measurements").groupBy("ent", "feat").agg(F.avg("value").alias("value"))
     z = similarity.prepare(m, "ent", "feat", "value", 0.5)
     v = similarity.vectors(similarity.ranked_rows(z, "ent", "z"), "ent", "feat", "z")
     return similarity.nearest(v, v.where(F.col("ent") % 50 == 0), "ent", "vector", K, centre=True)
@@ -239,7 +239,7 @@ def g14_permutation_test(spark: SparkSession, d: str) -> DataFrame:
 def interval_rows(spark: SparkSession, d: str) -> DataFrame:
     """What ``audits.score_intervals`` takes: layers, errors, residual figures and point scores."""
     a, b = (cut(x) for x in layers(spark, d))
-    m = roles.measurements(spark, d)
+    m = stage(spark, d, "measurements")
     agreement = correlate.agreement(m.where(F.col("src") == "A"), m.where(F.col("src") == "N"), "feat", "ent", "value", 30)
     tiers = agreement.select("feat", correlate.platform_tier(F.col("platform_rho")).alias("tier"))
     first = a.select("feat", "ent", F.col("z_t").alias("z1"), F.col("k_src").alias("n_sources"), audits.first_layer_error(F.col("k_src"), F.col("z_spread"), sources=2).alias("se1"))
@@ -344,7 +344,7 @@ def g52_channels_firing_together(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT src, feat, round(stddev_samp(value) / nullif(max(mad) * 1.4826, 0), 6) AS ratio FROM (SELECT *, median(abs(value - med)) OVER (PARTITION BY src, feat) AS mad FROM (SELECT src, feat, value, median(value) OVER (PARTITION BY src, feat) AS med FROM m)) GROUP BY src, feat", "m"))
 def g55_sd_to_mad(spark: SparkSession, d: str) -> DataFrame:
-    m = roles.measurements(spark, d)
+    m = stage(spark, d, "measurements")
     mad = aggregates.group_mad(m, ["src", "feat"], "value").select("src", "feat", "mad_scaled")
     sd = m.groupBy("src", "feat").agg(F.stddev_samp("value").alias("sd"))
     return sd.join(mad, ["src", "feat"]).select("src", "feat", F.round(F.col("sd") / F.nullif(F.col("mad_scaled"), F.lit(0.0)), 6).alias("ratio"))
@@ -361,7 +361,7 @@ def g22_family_shares(spark: SparkSession, d: str) -> DataFrame:
 def c04_calibration_grid(spark: SparkSession, d: str) -> DataFrame:
     """Held-out agreement of the three-regime score for each parameter set; within one standard error of the best the
     strictest is chosen."""
-    m = cut(roles.measurements(spark, d))
+    m = stage(spark, d, "measurements")
     floors = aggregates.exact_quantiles(m, ["src"], "value", [0.4]).select("src", F.col("q0").alias("flr"))
     base = m.join(floors, "src")
     held = zscores.robust_z(m.where(F.col("src") == "N"), ["src", "strat", "feat"], "value", "zr").select("feat", "ent", "zr")
@@ -422,7 +422,7 @@ def g50_source_independence(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def c08_agreement_thresholds(spark: SparkSession, d: str) -> DataFrame:
     """Bounds of isoform and platform agreement from null and matched correlations, with the rows that they need (M14)."""
-    m = cut(roles.measurements(spark, d))
+    m = stage(spark, d, "measurements")
     least = thresholds.least_rows(0.9)
     first, second = m.where(F.col("src") == "A"), m.where(F.col("src") == "N")
     rho = thresholds.paired_correlations(first, second, "feat", "ent", "value", least)

@@ -50,10 +50,10 @@ _FIRST = {
 @query(sql("SELECT feat, ent, round(sum(w * z) / sqrt(sum(w * w)), 6) AS z_t, count(DISTINCT src) AS n_sources FROM kz JOIN kw USING (feat, src) GROUP BY feat, ent", "z", **_FIRST))
 def c06_first_platform_score(spark: SparkSession, d: str) -> DataFrame:
     """The first protein score: the second platform dropped for features on which both disagree."""
-    m = roles.measurements(spark, d)
+    m = stage(spark, d, "measurements")
     rho = correlate.agreement(m.where(F.col("src") == "A"), m.where(F.col("src") == "N"), "feat", "ent", "value", 30)
     conflicting = rho.where(correlate.platform_tier(F.col("platform_rho")) == "conflicting").select("feat")
-    z = roles.z_table(spark, d).where(F.col("src").isin("A", "N"))
+    z = roles.z_of(stage(spark, d, "measurements")).where(F.col("src").isin("A", "N"))
     return combine.platform_score(z, conflicting, "feat", "ent", "src", "z", "N").select("feat", "ent", *r6("z_t"), "n_sources")
 
 

@@ -185,7 +185,7 @@ def g24_region_sweep(spark: SparkSession, d: str) -> DataFrame:
 round(quantile_cont(z, 0.05) FILTER (WHERE gene_role = 'oncogene'), 6) AS threshold, coalesce(median(z) FILTER (WHERE gene_role = 'oncogene') - median(z) FILTER (WHERE gene_role = 'tsg') > 0.15, false) AS passed FROM z JOIN roles USING (feat) WHERE z IS NOT NULL""", "z", "roles"))
 def g20_scale_guard(spark: SparkSession, d: str) -> DataFrame:
     """Whether two reference sets of features stand apart by sign and scale, and the cut calibrated on the second."""
-    z = roles.z_table(spark, d).where(F.col("z").isNotNull()).join(roles.roles(spark, d), "feat")
+    z = roles.z_of(stage(spark, d, "measurements")).where(F.col("z").isNotNull()).join(roles.roles(spark, d), "feat")
     return audits.scale_guard(z, "z", F.col("gene_role") == "tsg", F.col("gene_role") == "oncogene", 0.05).select(*r6("median_all", "median_first", "median_second", "separation", "threshold"), "passed")
 
 
@@ -231,7 +231,7 @@ def g37_residual_reproducibility(spark: SparkSession, d: str) -> DataFrame:
 (SELECT avg(CAST(k_src = 3 AS DOUBLE)) AS tc FROM (SELECT k_src FROM st ORDER BY z_t DESC, feat, ent LIMIT 1000)), (SELECT avg(CAST(k_src = 3 AS DOUBLE)) AS td FROM (SELECT k_src FROM st ORDER BY z_t, feat, ent LIMIT 1000))""", "st"))
 def g38_completeness(spark: SparkSession, d: str) -> DataFrame:
     """Whether pairs measured by more sources differ in spread, or fill the first and last thousand, beyond their share."""
-    return audits.completeness(written(roles.combined(spark, d).select("feat", "ent", "z_t", "k_src")), "z_t", "k_src", ["feat", "ent"], 3, 1000).select(*r6("r_sd", "r_abs", "t1c", "t1d"))
+    return audits.completeness(written(roles.combined_of(stage(spark, d, "measurements"), roles.entities(spark, d)).select("feat", "ent", "z_t", "k_src")), "z_t", "k_src", ["feat", "ent"], 3, 1000).select(*r6("r_sd", "r_abs", "t1c", "t1d"))
 
 
 _SCREENS = {

@@ -47,7 +47,7 @@ def a06_sample_and_population_sd(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT src, strat, feat, round(max(med), 6) AS med, round(median(abs(value - med)), 6) AS mad, round(median(abs(value - med)) * 1.4826, 6) AS mad_scaled FROM d1 GROUP BY ALL", "d1"))
 def a07_mad(spark: SparkSession, d: str) -> DataFrame:
-    return aggregates.group_mad(roles.measurements(spark, d), ["src", "strat", "feat"], "value").select("src", "strat", "feat", *r6("med", "mad", "mad_scaled"))
+    return aggregates.group_mad(stage(spark, d, "measurements"), ["src", "strat", "feat"], "value").select("src", "strat", "feat", *r6("med", "mad", "mad_scaled"))
 
 
 @query(sql("SELECT feat, round(quantile_cont(val, 0.05), 6) AS p05, round(quantile_cont(val, 0.25), 6) AS p25, round(quantile_cont(val, 0.5), 6) AS p50, round(quantile_cont(val, 0.75), 6) AS p75, round(quantile_cont(val, 0.95), 6) AS p95, round(quantile_cont(val, 0.75) - quantile_cont(val, 0.25), 6) AS iqr FROM raw GROUP BY feat", "raw"))
@@ -64,7 +64,7 @@ _PAIRED = {"wide": "SELECT feat, ent, max(CASE WHEN src = 'A' THEN value END) AS
 
 
 def paired(spark: SparkSession, d: str) -> DataFrame:
-    wide = reshape.pivot_first(roles.measurements(spark, d), ["feat", "ent"], "src", ["A", "N", "R"], "value")
+    wide = reshape.pivot_first(stage(spark, d, "measurements"), ["feat", "ent"], "src", ["A", "N", "R"], "value")
     return wide.select("feat", "ent", F.col("A").alias("a"), F.col("N").alias("b"), F.col("R").alias("c"))
 
 
@@ -106,7 +106,7 @@ def a16_having(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT feat, ent, k_src, round(z_t, 6) AS z_t FROM st", "st"))
 def a17_stouffer_by_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return combine.stouffer_by_coverage(roles.z_table(spark, d), "feat", "ent", "src", "z", 3).select("feat", "ent", "k_src", *r6("z_t"))
+    return combine.stouffer_by_coverage(roles.z_of(stage(spark, d, "measurements")), "feat", "ent", "src", "z", 3).select("feat", "ent", "k_src", *r6("z_t"))
 
 
 _TWO_LEVEL = {
@@ -129,7 +129,7 @@ _WIDE_Z = {"wz": "SELECT feat, ent, max(CASE WHEN src = 'A' THEN z END) AS a, ma
 
 
 def wide_z(spark: SparkSession, d: str) -> DataFrame:
-    wide = reshape.pivot_first(roles.z_table(spark, d), ["feat", "ent"], "src", ["A", "N", "R"], "z")
+    wide = reshape.pivot_first(roles.z_of(stage(spark, d, "measurements")), ["feat", "ent"], "src", ["A", "N", "R"], "z")
     return wide.select("feat", "ent", F.col("A").alias("a"), F.col("N").alias("b"), F.col("R").alias("c"))
 
 
@@ -148,13 +148,13 @@ def a20_stouffer_correlation_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT feat, ent, round(sum(z) / sqrt(count(*)), 6) AS z_t, round(avg(z), 6) AS z_mean, round(max(z) - min(z), 6) AS z_spread, count(*) AS k_src FROM z WHERE z IS NOT NULL GROUP BY feat, ent", "z"))
 def a21_stouffer_simple(spark: SparkSession, d: str) -> DataFrame:
-    return combine.stouffer_simple(roles.z_table(spark, d), ["feat", "ent"], "z").select("feat", "ent", *r6("z_t", "z_mean", "z_spread"), "k_src")
+    return combine.stouffer_simple(roles.z_of(stage(spark, d, "measurements")), ["feat", "ent"], "z").select("feat", "ent", *r6("z_t", "z_mean", "z_spread"), "k_src")
 
 
 @query(sql("SELECT feat, ent, min(CASE WHEN n < 5 THEN 3 WHEN med < 15 THEN 1 ELSE 0 END) AS status, max(CASE WHEN n_rep > 1 THEN 1 ELSE 0 END) AS scale FROM d1 GROUP BY feat, ent", "d1"))
 def a22_status_fold(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("src", "strat", "feat")
-    m = roles.measurements(spark, d).withColumn("n", F.count("value").over(w)).withColumn("med", F.median("value").over(w))
+    m = stage(spark, d, "measurements").withColumn("n", F.count("value").over(w)).withColumn("med", F.median("value").over(w))
     status = F.when(F.col("n") < 5, 3).when(F.col("med") < 15, 1).otherwise(0)
     return m.groupBy("feat", "ent").agg(F.min(status).alias("status"), F.max(F.when(F.col("n_rep") > 1, 1).otherwise(0)).alias("scale"))
 
@@ -172,12 +172,12 @@ def a24_distribution(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT feat, round(power(sum(n_rep), 2) / sum(n_rep * n_rep), 6) AS n_eff FROM m GROUP BY feat", "m"))
 def a25_effective_size(spark: SparkSession, d: str) -> DataFrame:
-    return roles.measurements(spark, d).groupBy("feat").agg(F.round(aggregates.effective_size("n_rep"), 6).alias("n_eff"))
+    return stage(spark, d, "measurements").groupBy("feat").agg(F.round(aggregates.effective_size("n_rep"), 6).alias("n_eff"))
 
 
 @query(sql("""SELECT round(power(sum(v), 2) / sum(v * v), 6) AS participation, round(sum(CASE WHEN k <= 10 THEN v END) / sum(v), 6) AS top10_share FROM (SELECT v, row_number() OVER (ORDER BY v DESC, feat) AS k FROM (SELECT feat, var_samp(value) AS v FROM m GROUP BY feat))""", "m"))
 def a26_participation_ratio(spark: SparkSession, d: str) -> DataFrame:
-    m = roles.measurements(spark, d)
+    m = stage(spark, d, "measurements")
     v = m.groupBy("feat").agg(F.var_samp("value").alias("v"))
     top = reshape.top_variance(m, "feat", "value", 10).agg(F.sum("variance").alias("t"))
     both = v.agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q")).join(F.broadcast(top))  # one row each
@@ -250,7 +250,7 @@ def a39_tie_rate(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT feat, ent, strat, CASE WHEN strat IS NOT NULL THEN row_number() OVER (PARTITION BY feat, strat ORDER BY score DESC NULLS LAST, ent) END AS stratum_rank FROM sc", "sc"))
 def w01_stratum_rank(spark: SparkSession, d: str) -> DataFrame:
-    return roles.scores(spark, d).select("feat", "ent", "strat", ranks.order_rank(["feat", "strat"], "score", "ent").alias("stratum_rank"))
+    return stage(spark, d, "scores").select("feat", "ent", "strat", ranks.order_rank(["feat", "strat"], "score", "ent").alias("stratum_rank"))
 
 
 _RANKS = "rank() OVER (PARTITION BY feat ORDER BY qty) + (count(*) OVER (PARTITION BY feat, qty) - 1) / 2.0"
@@ -265,7 +265,7 @@ def w02_percentile_and_tie_ranks(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT feat, ent, score, row_number() OVER (PARTITION BY feat ORDER BY score DESC, ent) AS flat_rank FROM sc", "sc"))
 def w06_flat_rank(spark: SparkSession, d: str) -> DataFrame:
-    return roles.scores(spark, d).select("feat", "ent", "score", ranks.order_rank(["feat"], "score", "ent").alias("flat_rank"))
+    return stage(spark, d, "scores").select("feat", "ent", "score", ranks.order_rank(["feat"], "score", "ent").alias("flat_rank"))
 
 
 @query(sql("""SELECT feat, ent, row_number() OVER (PARTITION BY feat ORDER BY p DESC, ent) AS driver_rank FROM (SELECT feat, ent, CASE WHEN NOT has_driver_alteration THEN -1.0 WHEN is_lof_alteration AND coalesce(gene_role, '') <> 'both' THEN round(1 - pct, 9) ELSE round(pct, 9) END AS p FROM pr WHERE core_score IS NOT NULL)""", "pr"))
@@ -294,18 +294,18 @@ def w10_equal_count_bins(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT src, strat, feat, ent, round(z, 6) AS z FROM z", "z"))
 def w12_robust_z(spark: SparkSession, d: str) -> DataFrame:
-    return roles.z_table(spark, d).select("src", "strat", "feat", "ent", *r6("z"))
+    return roles.z_of(stage(spark, d, "measurements")).select("src", "strat", "feat", "ent", *r6("z"))
 
 
 @query(sql("""SELECT src, strat, feat, ent, round(CASE WHEN n >= 5 THEN (value - med) / CASE WHEN abs(1.4826 * mad) > 1e-8 THEN 1.4826 * mad WHEN abs(sd) > 1e-8 THEN sd ELSE 1.0 END END, 6) AS z
 FROM (SELECT *, stddev_pop(value) OVER (PARTITION BY src, strat, feat) AS sd FROM d2)""", "d2"))
 def w13_robust_z_or_sd(spark: SparkSession, d: str) -> DataFrame:
-    return zscores.robust_z_or_sd(roles.measurements(spark, d), ["src", "strat", "feat"], "value").select("src", "strat", "feat", "ent", *r6("z"))
+    return zscores.robust_z_or_sd(stage(spark, d, "measurements"), ["src", "strat", "feat"], "value").select("src", "strat", "feat", "ent", *r6("z"))
 
 
 @query(sql("SELECT src, feat, ent, round((value - avg(value) OVER (PARTITION BY src, feat)) / nullif(stddev_samp(value) OVER (PARTITION BY src, feat), 0), 6) AS z FROM m", "m"))
 def w15_plain_z(spark: SparkSession, d: str) -> DataFrame:
-    return zscores.plain_z(roles.measurements(spark, d), ["src", "feat"], "value").select("src", "feat", "ent", *r6("z"))
+    return zscores.plain_z(stage(spark, d, "measurements"), ["src", "feat"], "value").select("src", "feat", "ent", *r6("z"))
 
 
 _METHOD = {
@@ -319,7 +319,7 @@ _METHOD = {
 
 
 def method_scores(spark: SparkSession, d: str, stratify: bool = True) -> DataFrame:
-    m = roles.measurements(spark, d)
+    m = stage(spark, d, "measurements")
     floors = aggregates.exact_quantiles(m, ["src"], "value", [0.4]).select("src", F.col("q0").alias("flr"))
     return zscores.method_z(m.join(floors, "src"), "src", "strat" if stratify else None, "feat", "ent", "value", "flr", zscores.Regimes(0.7, 0.55, 25.0))
 
@@ -345,13 +345,13 @@ _STD = {
 
 @query(sql("SELECT feat, ent, k_src, round(std_z, 6) AS std_z FROM h3", "st", **_STD))
 def w18_standardise_strata(spark: SparkSession, d: str) -> DataFrame:
-    return zscores.standardise(roles.combined(spark, d), "feat", "k_src", "z_t", "std_z").select("feat", "ent", "k_src", *r6("std_z"))
+    return zscores.standardise(roles.combined_of(stage(spark, d, "measurements"), roles.entities(spark, d)), "feat", "k_src", "z_t", "std_z").select("feat", "ent", "k_src", *r6("std_z"))
 
 
 @query(sql("""SELECT feat, ent, round(greatest(-5.0, least(5.0, (z_t - median(z_t) OVER (PARTITION BY feat)) / sqrt(w * power(greatest(stddev_samp(z_t) OVER (PARTITION BY feat), 1e-6), 2) + (1 - w) * sda * sda))), 6) AS z
 FROM (SELECT *, count(*) OVER (PARTITION BY feat) / (count(*) OVER (PARTITION BY feat) + 25.0) AS w, (SELECT stddev_samp(z_t) FROM st) AS sda FROM st)""", "st"))
 def w19_shrunken_sd(spark: SparkSession, d: str) -> DataFrame:
-    return zscores.shrunken_z(roles.combined(spark, d), "feat", "z_t", "z").select("feat", "ent", *r6("z"))
+    return zscores.shrunken_z(roles.combined_of(stage(spark, d, "measurements"), roles.entities(spark, d)), "feat", "z_t", "z").select("feat", "ent", *r6("z"))
 
 
 @query(sql(f"""SELECT ok, ln, round(abs(p1 - p2), 9) AS shift FROM (SELECT ok, ln, src, ({_RANKS}) / count(*) OVER (PARTITION BY feat) AS p1, (rank() OVER (PARTITION BY feat, src ORDER BY qty) + (count(*) OVER (PARTITION BY feat, src, qty) - 1) / 2.0) / count(*) OVER (PARTITION BY feat, src) AS p2 FROM raw)""", "raw"))
@@ -413,12 +413,12 @@ def m06_scale_detection(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT src, round(quantile_cont(value, 0.1), 6) AS floor FROM m GROUP BY src", "m"))
 def m08_detection_floor(spark: SparkSession, d: str) -> DataFrame:
-    return aggregates.exact_quantiles(roles.measurements(spark, d), ["src"], "value", [0.1]).select("src", F.round("q0", 6).alias("floor"))
+    return aggregates.exact_quantiles(stage(spark, d, "measurements"), ["src"], "value", [0.1]).select("src", F.round("q0", 6).alias("floor"))
 
 
 @query(sql("SELECT feat, n_shared, round(platform_rho, 6) AS platform_rho, round(CASE WHEN isnan(platform_rho) THEN 1.0 ELSE least(greatest((platform_rho + 0.1) / 0.2, 0.0), 1.0) END, 6) AS confidence, CASE WHEN platform_rho >= 0.5 THEN 'consistent' WHEN platform_rho >= 0.3 THEN 'cautious' ELSE 'conflicting' END AS tier FROM (SELECT feat, count(*) AS n_shared, corr(ra, rb) AS platform_rho FROM rk GROUP BY feat HAVING count(*) >= 30)", "m", **_RANKED))
 def c05_platform_tier(spark: SparkSession, d: str) -> DataFrame:
-    m = roles.measurements(spark, d)
+    m = stage(spark, d, "measurements")
     got = correlate.agreement(m.where(F.col("src") == "A"), m.where(F.col("src") == "N"), "feat", "ent", "value", 30)
     rho = F.col("platform_rho")
     return got.select("feat", "n_shared", *r6("platform_rho"), F.round(stats.confidence_ramp(rho, -0.1, 0.1), 6).alias("confidence"), correlate.platform_tier(rho).alias("tier"))
@@ -437,7 +437,7 @@ _GUARDED = {
 @query(sql("SELECT feat, ent, k AS k_src, round(CASE WHEN k < 3 THEN zf / sqrt(3.0 / k) ELSE zf END, 6) AS z_t FROM gs", "z", **_GUARDED))
 def c01_bulk_score(spark: SparkSession, d: str) -> DataFrame:
     """Robust z, silence guard, weighted combination: the first layer's score."""
-    z = zscores.silence_guard(roles.z_table(spark, d), ["src", "strat"], "feat", "ent", "value", "z", expressed=15.0)
+    z = zscores.silence_guard(roles.z_of(stage(spark, d, "measurements")), ["src", "strat"], "feat", "ent", "value", "z", expressed=15.0)
     return combine.stouffer_by_coverage(z, "feat", "ent", "src", "z", 3).select("feat", "ent", "k_src", *r6("z_t"))
 
 
@@ -482,7 +482,7 @@ _CORE = _LAYERS | {
 
 
 def layers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    z = roles.z_table(spark, d)
+    z = roles.z_of(stage(spark, d, "measurements"))
     return tuple(combine.stouffer_simple(z.where(c), ["feat", "ent"], "z") for c in (F.col("src") != "R", F.col("src") == "R"))
 
 
@@ -516,9 +516,9 @@ _AGREE = {
 @query(sql("SELECT feat, ent, k_src, round(CASE WHEN k_src >= 2 THEN z_full * CASE WHEN platform_rho IS NULL THEN 1.0 ELSE least(greatest((platform_rho + 0.1) / 0.2, 0.0), 1.0) END ELSE z_full END, 6) AS z_t FROM s LEFT JOIN ag USING (feat)", "s", **_RANKED, **_AGREE))
 def c07_agreement_weighted_score(spark: SparkSession, d: str) -> DataFrame:
     """Second layer: sources merged without shrinkage, times the platforms' agreement where two or more were merged."""
-    m = roles.measurements(spark, d)
+    m = stage(spark, d, "measurements")
     agree = correlate.agreement(m.where(F.col("src") == "A"), m.where(F.col("src") == "N"), "feat", "ent", "value", 55)
-    z = combine.stouffer_by_coverage(roles.z_table(spark, d), "feat", "ent", "src", "z")
+    z = combine.stouffer_by_coverage(roles.z_of(stage(spark, d, "measurements")), "feat", "ent", "src", "z")
     return correlate.weigh_by_agreement(z, agree, "feat", "z_t", "k_src", -0.1, 0.1).select("feat", "ent", "k_src", *r6("z_t"))
 
 
@@ -574,7 +574,7 @@ def c21_evidence_ledger(spark: SparkSession, d: str) -> DataFrame:
 @query(sql("""SELECT feat, n_lines, n_expressed, round(n_expressed / n_lines, 6) AS expressed_share, CASE WHEN n_lines < 30 THEN 'NO_EVIDENCE' WHEN n_expressed / n_lines < 0.2 THEN 'UNINFORMATIVE' WHEN n_expressed / n_lines > 0.95 THEN 'NEAR_UNIVERSAL' WHEN n_expressed < 10 THEN 'TRIVIALLY_SATISFIED' ELSE 'OK' END AS state
 FROM (SELECT feat, count(value) AS n_lines, count(*) FILTER (WHERE value > 15) AS n_expressed FROM m GROUP BY feat)""", "m"))
 def c22_feature_states(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.feature_states(roles.measurements(spark, d), "feat", "value", expressed=15.0).select("feat", "n_lines", "n_expressed", *r6("expressed_share"), "state")
+    return evidence.feature_states(stage(spark, d, "measurements"), "feat", "value", expressed=15.0).select("feat", "n_lines", "n_expressed", *r6("expressed_share"), "state")
 
 
 @query(sql("""SELECT feat, ent, CASE WHEN pa IS NULL OR pb IS NULL THEN 'not_covered' WHEN abs(pa - pb) <= 0.2 THEN 'corroborated' ELSE 'contradicted' END AS geo_support FROM (SELECT feat, ent,

@@ -17,7 +17,7 @@ from gneiss.plans import roles
 from gneiss.session import checkpoint_dir
 from gneiss.sources import writers
 
-#: What each stage holds and by which columns its files are range-clustered.
+#: What each stage holds and by which columns its files are sorted.
 STAGES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], tuple[str, ...]]] = {
     "raw": (roles.raw, ()),
     "measurements": (lambda spark, d: roles.measurements_of(stage(spark, d, "raw")), ("feat", "src", "strat")),
@@ -48,7 +48,7 @@ def stage(spark: SparkSession, folder: str, name: str) -> DataFrame:
         path = f"{checkpoint_dir(spark).rstrip('/')}/stage-{name}-{uuid.uuid4().hex}.parquet"
         made = make(spark, folder)
         if by:
-            writers.clustered(made, path, by)
+            writers.spread(made, path, by, "ent")
         else:
             writers.parquet(made, path)
         _WRITTEN[key] = path

@@ -79,3 +79,19 @@ def test_nearest_able_looks_beyond_the_first_neighbours(spark):
         want = sorted((-round(s[q, j], 12), j) for j in fit if j != q)[:5]
         assert [r["neighbour"] for r in sorted((r for r in got if r["ent"] == q), key=lambda r: r["rank"])] == [j for _, j in want]
     assert len(got) == 45
+
+
+def test_prepare_fills_and_standardises(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 5))
+    x[rng.random(x.shape) < 0.15] = np.nan
+    x[:, 3] = 1.0
+    x[5:, 4] = np.nan
+    long = spark.createDataFrame([(i, f"f{j}", float(x[i, j])) for i in range(40) for j in range(5) if not np.isnan(x[i, j])] + [(77, "f0", None)], "e int, f string, v double")
+    got = {(r["e"], r["f"]): r["z"] for r in similarity.prepare(long, "e", "f", "v", 0.4).collect()}
+    filled = np.vstack((x[:, :3], np.full((1, 3), np.nan)))
+    filled = np.where(np.isnan(filled), np.nanmedian(filled, axis=0), filled)
+    want = (filled - filled.mean(axis=0)) / filled.std(axis=0)
+    ids = [*range(40), 77]
+    assert len(got) == 41 * 3, "neither a feature without spread nor a sparse one"
+    assert all(abs(got[e, f"f{j}"] - want[i, j]) < 1e-9 for i, e in enumerate(ids) for j in range(3))
