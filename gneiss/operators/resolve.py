@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.operators.resampling import digest
 from gneiss.operators.reshape import first_of_each
 
 
@@ -113,7 +114,7 @@ def matched_pairs(cases: DataFrame, controls: DataFrame, key: str, bands: Sequen
     """(bands, case, control): each case with a control of its bands, none used twice, by seeded order."""
 
     def placed(df: DataFrame, name: str) -> DataFrame:
-        order = F.xxhash64(F.col(key), F.lit(seed))
+        order = digest(seed, key)
         return df.select(*bands, F.col(key).alias(name), F.row_number().over(Window.partitionBy(*bands).orderBy(order, F.col(key))).alias("__k"))
 
     return placed(cases, "case").join(placed(controls, "control"), [*bands, "__k"]).drop("__k")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from gneiss.functions.stats import correlation
 from gneiss.operators.aggregates import exact_quantiles
 from gneiss.operators.ranks import auroc_of_all, average_rank
+from gneiss.operators.resampling import digest
 from gneiss.operators.reshape import keep_dense_features
 from gneiss.session import written
 
@@ -304,8 +305,8 @@ def confusion(knn: DataFrame, labels: DataFrame, entity: str, label: str) -> Dat
 
 
 def split_half(long: DataFrame, entity: str, feature: str, value: str) -> tuple[DataFrame, DataFrame]:
-    """The long table in two halves of its features, by a stable hash."""
-    side = F.pmod(F.xxhash64(feature), F.lit(2))
+    """The long table in two halves of its features, by a digest of their names."""
+    side = F.pmod(digest(feature), F.lit(2))
     return long.where(side == 0), long.where(side == 1)
 
 

@@ -153,6 +153,22 @@ def g28_cluster_reproduction(spark: SparkSession, d: str) -> DataFrame:
     return clusters.reproduction(e, "vec_id", "embedding", 4, 10, 0.5)
 
 
+_HALF = {
+    "hm": f"SELECT ent, feat, avg(value) AS v, {md5_number('feat')} % 2 AS side FROM m GROUP BY ent, feat",
+    "hv": "SELECT ent, avg(v) FILTER (WHERE side = 0) AS a, avg(v) FILTER (WHERE side = 1) AS b FROM hm GROUP BY ent",
+}
+
+
+@query(sql("SELECT count(*) AS n, round(corr(a, b), 6) AS r, round(2 * corr(a, b) / (1 + corr(a, b)), 6) AS reliability FROM hv WHERE a IS NOT NULL AND b IS NOT NULL", "m", **_HALF))
+def g04_split_half_reliability(spark: SparkSession, d: str) -> DataFrame:
+    """Entities' means over two halves of the features, split by digest, and the reliability of the whole."""
+    long = stage(spark, d, "measurements").groupBy("ent", "feat").agg(F.avg("value").alias("v"))
+    first, second = similarity.split_half(long, "ent", "feat", "v")
+    both = first.groupBy("ent").agg(F.avg("v").alias("a")).join(second.groupBy("ent").agg(F.avg("v").alias("b")), "ent")
+    r = stats.correlation("a", "b")
+    return both.agg(F.count("*").alias("n"), F.round(r, 6).alias("r"), F.round(2 * r / (1 + r), 6).alias("reliability"))
+
+
 # ------------------------------------------------------------------ sweeps, guards and baselines
 
 _LOWS, _HIGHS = (0.6, 0.7, 0.75, 0.8, 0.85, 0.9), (0.9, 0.95, 1.0)

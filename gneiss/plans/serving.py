@@ -324,7 +324,12 @@ def j19_join_discovery(spark: SparkSession, d: str) -> DataFrame:
     return resolve.overlap_pairs(out)
 
 
-@query()
+_CASES = """WITH b AS (SELECT c_custkey, c_nationkey, CAST(floor(c_acctbal / 2000) AS BIGINT) AS band, u FROM customer JOIN (SELECT o_custkey, bool_or(o_orderpriority = '1-URGENT') AS u FROM orders GROUP BY 1) ON o_custkey = c_custkey),
+k AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey, band, u ORDER BY CAST('0x' || substr(md5(concat_ws('/', 0, c_custkey)), 1, 12) AS BIGINT), c_custkey) AS k FROM b)
+"""
+
+
+@query(_CASES + 'SELECT a.c_nationkey, a.band, a.c_custkey AS "case", o.c_custkey AS control FROM k a JOIN k o ON a.c_nationkey = o.c_nationkey AND a.band = o.band AND a.k = o.k WHERE a.u AND NOT o.u')
 def j21_matched_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Urgent and low-priority customers paired within nation and balance band, none twice."""
     c = table(spark, d, "customer").withColumn("band", F.floor(F.col("c_acctbal") / 2000))
