@@ -11,7 +11,7 @@ from gneiss.operators import aggregates, audits, clusters, combine, correlate, r
 from gneiss.plans import roles
 from gneiss.plans.registry import Registry
 from gneiss.plans.roles import sql
-from gneiss.plans.scoring import _PAIRED, flags, layers, paired, r6
+from gneiss.plans.scoring import _METHOD, _PAIRED, flags, layers, paired, r6
 from gneiss.plans.stage import stage
 from gneiss.session import cut, table
 
@@ -357,7 +357,30 @@ def g22_family_shares(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "gene_lookup").groupBy(family.alias("family")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("prev_symbols").isNotNull().cast("double")), 6).alias("renamed_share"))
 
 
-@query()
+_GRID = ((0.9, 0.3, 10.0), (0.9, 0.3, 25.0), (0.7, 0.5, 25.0))
+
+
+def _chain(i: int, upper: float, lower: float, prior: float) -> dict[str, str]:
+    """The three-regime score's expressions for one parameter set, without the held-out source."""
+    out = {}
+    for k, v in _METHOD.items():
+        if k == "fl_":
+            continue
+        t = v.replace("det >= 0.7", f"det >= {upper}").replace("det >= 0.55", f"det >= {lower}").replace("(nb + 25.0)", f"(nb + {prior})").replace("FROM m ", "FROM mb m ").replace("JOIN nb ", f"JOIN nb{i} ")
+        for g in ("g1", "g2", "g3"):
+            t = t.replace(f"FROM {g}", f"FROM {g}_{i}")
+        out[f"nb{i}" if k == "nb" else f"{k}_{i}"] = t
+    out[f"zt{i}"] = f"SELECT feat, ent, round(sum(z) / sqrt(count(*)), 9) AS x FROM g4_{i} WHERE z IS NOT NULL GROUP BY feat, ent"
+    out[f"rk{i}"] = f"SELECT feat, rank() OVER (PARTITION BY feat ORDER BY x) + (count(*) OVER (PARTITION BY feat, x) - 1) / 2.0 AS i, rank() OVER (PARTITION BY feat ORDER BY y) + (count(*) OVER (PARTITION BY feat, y) - 1) / 2.0 AS j FROM zt{i} JOIN (SELECT feat, ent, round(z, 9) AS y FROM z WHERE src = 'N' AND z IS NOT NULL) USING (feat, ent)"
+    out[f"rh{i}"] = f"SELECT {upper} AS upper_cut, {lower} AS lower_cut, {prior} AS n0, avg(rho) AS mean_rho, stddev_samp(rho) / sqrt(count(*)) AS se, count(*) AS n FROM (SELECT feat, corr(i, j) AS rho FROM rk{i} GROUP BY feat HAVING count(*) >= 30 AND count(DISTINCT i) > 1 AND count(DISTINCT j) > 1)"
+    return out
+
+
+_CALIBRATION = {"fl_": _METHOD["fl_"], "mb": "SELECT * FROM m WHERE src <> 'N'", **_chain(0, *_GRID[0]), **_chain(1, *_GRID[1]), **_chain(2, *_GRID[2]), "al": "SELECT * FROM rh0 UNION ALL SELECT * FROM rh1 UNION ALL SELECT * FROM rh2",
+                "bs": "SELECT max(mean_rho) AS top, max_by(se, mean_rho) AS top_se FROM al"}
+
+
+@query(sql("SELECT CAST(upper_cut AS DOUBLE) AS upper_cut, CAST(lower_cut AS DOUBLE) AS lower_cut, CAST(n0 AS DOUBLE) AS n0, round(mean_rho, 6) AS mean_rho, round(se, 6) AS se, n, (upper_cut, lower_cut, n0) = (SELECT max((upper_cut, lower_cut, n0)) FROM al, bs WHERE mean_rho >= top - top_se) AS chosen FROM al", "m", "z", **_CALIBRATION))
 def c04_calibration_grid(spark: SparkSession, d: str) -> DataFrame:
     """Held-out agreement of the three-regime score for each parameter set; within one standard error of the best the
     strictest is chosen."""
@@ -366,9 +389,10 @@ def c04_calibration_grid(spark: SparkSession, d: str) -> DataFrame:
     base = m.join(floors, "src")
     held = zscores.robust_z(m.where(F.col("src") == "N"), ["src", "strat", "feat"], "value", "zr").select("feat", "ent", "zr")
     out = None
-    for upper, lower, prior in ((0.9, 0.3, 10.0), (0.9, 0.3, 25.0), (0.7, 0.5, 25.0)):
+    for upper, lower, prior in _GRID:
         z = zscores.method_z(base.where(F.col("src") != "N"), "src", "strat", "feat", "ent", "value", "flr", zscores.Regimes(upper, lower, prior))
         both = combine.stouffer_simple(z, ["feat", "ent"], "z").join(held, ["feat", "ent"])
+        both = both.withColumns({"z_t": F.round("z_t", 9), "zr": F.round("zr", 9)})  # equal values are ties whatever the last bit
         rho = correlate.spearman_by(both, ["feat"], "z_t", "zr", 30)
         one = rho.agg(F.avg("rho").alias("mean_rho"), (F.stddev_samp("rho") / F.sqrt(F.count("*").cast("double"))).alias("se"), F.count("*").alias("n"))
         one = one.select(F.lit(upper).alias("upper_cut"), F.lit(lower).alias("lower_cut"), F.lit(prior).alias("n0"), "mean_rho", "se", "n")
@@ -378,7 +402,7 @@ def c04_calibration_grid(spark: SparkSession, d: str) -> DataFrame:
     near = F.col("mean_rho") >= F.col("b.mean_rho") - F.col("b.se")
     strict = F.struct("upper_cut", "lower_cut", "n0")
     pick = joined.where(near).agg(F.max(strict).alias("chosen"))
-    return joined.join(F.broadcast(pick)).select("upper_cut", "lower_cut", "n0", "mean_rho", "se", "n", (strict == F.col("chosen")).alias("chosen"))
+    return joined.join(F.broadcast(pick)).select("upper_cut", "lower_cut", "n0", *r6("mean_rho", "se"), "n", (strict == F.col("chosen")).alias("chosen"))
 
 
 # ------------------------------------------------------------------ clusters
@@ -419,7 +443,30 @@ def g50_source_independence(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------ thresholds and alternatives
 
 
-@query()
+_LEAST = thresholds.least_rows(0.9)
+_FLOOR = thresholds.critical_rho(_LEAST)
+
+
+def _pair_rho(right: str) -> str:
+    """Rank correlations of source A's features with themselves and with the next one of the ring, in another source."""
+    rows = f"""SELECT 'matched' AS kind, a.feat, a.v AS x, b.v AS y FROM av a JOIN av b USING (feat, ent) WHERE a.src = 'A' AND b.src = '{right}'
+  UNION ALL SELECT 'null', b.feat, a.v, b.v FROM av a JOIN rg ON rg.feat = a.feat AND rg.nx <> a.feat JOIN av b ON b.feat = rg.nx AND b.ent = a.ent WHERE a.src = 'A' AND b.src = '{right}'"""
+    return f"""SELECT kind, corr(i, j) AS rho FROM (SELECT kind, feat, x, y, rank() OVER (PARTITION BY kind, feat ORDER BY x) + (count(*) OVER (PARTITION BY kind, feat, x) - 1) / 2.0 AS i,
+  rank() OVER (PARTITION BY kind, feat ORDER BY y) + (count(*) OVER (PARTITION BY kind, feat, y) - 1) / 2.0 AS j FROM ({rows})) GROUP BY kind, feat HAVING count(*) >= {_LEAST} AND count(DISTINCT x) > 1 AND count(DISTINCT y) > 1"""
+
+
+_DERIVED = {
+    "av": "SELECT src, feat, ent, avg(value) AS v FROM m GROUP BY ALL",
+    "rg": f"SELECT feat, coalesce(lead(feat) OVER w, first_value(feat) OVER w) AS nx FROM (SELECT DISTINCT feat FROM av WHERE src = 'A') WINDOW w AS (ORDER BY {md5_number(0, 'feat')}, feat)",
+    "rx": _pair_rho("N"), "ri": _pair_rho("A"),
+    "bd": "SELECT quantile_cont(rho, 0.95) FILTER (WHERE kind = 'null') AS q, median(rho) FILTER (WHERE kind = 'matched') AS md, count(*) FILTER (WHERE kind = 'null') AS n_null, count(*) FILTER (WHERE kind = 'matched') AS n_matched FROM rx",
+    "is_": f"SELECT CASE WHEN count(*) >= 30 THEN least(greatest(quantile_cont(rho, 0.95), 0), 0.95) ELSE {_FLOOR!r} END AS isoform_corr FROM ri WHERE kind = 'null'",
+    "lo": f"SELECT n_null, n_matched, CASE WHEN n_matched >= 10 AND n_null >= 30 THEN least(greatest(q, 0), 0.9) ELSE {_FLOOR!r} END AS agree_low, CASE WHEN n_matched >= 10 AND n_null >= 30 THEN least(greatest(least(greatest(q, 0), 0.9) + 0.05, md), 0.95) ELSE {min(_FLOOR + max(0.05, _FLOOR), 0.9)!r} END AS agree_high FROM bd",
+    "cr": "SELECT * FROM (VALUES " + ", ".join(f"({n}, {thresholds.critical_rho(n)!r}::DOUBLE)" for n in range(4, 301)) + ") t(n, r)",
+}
+
+
+@query(sql(f"SELECT round(isoform_corr, 6) AS isoform_corr, round(agree_low, 6) AS agree_low, round(agree_high, 6) AS agree_high, n_null, n_matched, coalesce((SELECT min(n) FROM cr WHERE r <= greatest(abs(agree_low), 1e-3)), 300) AS min_shared, {_LEAST} AS seed_overlap, round({thresholds.critical_rho(44)!r}, 6) AS critical_rho_44 FROM is_, lo", "m", **_DERIVED))
 def c08_agreement_thresholds(spark: SparkSession, d: str) -> DataFrame:
     """Bounds of isoform and platform agreement from null and matched correlations, with the rows that they need (M14)."""
     m = stage(spark, d, "measurements")
@@ -428,7 +475,9 @@ def c08_agreement_thresholds(spark: SparkSession, d: str) -> DataFrame:
     rho = thresholds.paired_correlations(first, second, "feat", "ent", "value", least)
     iso = thresholds.paired_correlations(first, first, "feat", "ent", "value", least)
     got = thresholds.derived(rho, iso, least)
-    return got.withColumns({"seed_overlap": F.lit(least), "critical_rho_44": F.lit(thresholds.critical_rho(44))})
+    return got.select(
+        *r6("isoform_corr", "agree_low", "agree_high"), "n_null", "n_matched", "min_shared", F.lit(least).alias("seed_overlap"), F.round(F.lit(thresholds.critical_rho(44)), 6).alias("critical_rho_44")
+    )
 
 
 _ABLE = {"ab": "SELECT ent FROM sc WHERE feat IN ('Brand#11', 'Brand#22', 'Brand#7') AND score IS NOT NULL GROUP BY ent HAVING count(DISTINCT feat) = 3"}

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from gneiss.functions.stats import correlation
 from gneiss.functions import stats
-from gneiss.functions.ids import gene_id, upper_id
 from gneiss.operators import aggregates, combine, correlate, evidence, ranks, reshape, zscores
 from gneiss.plans import roles
 from gneiss.plans.registry import Registry

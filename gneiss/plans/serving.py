@@ -15,7 +15,7 @@ from gneiss.operators.zscores import plain_z
 from gneiss.plans import roles
 from gneiss.plans.registry import Registry
 from gneiss.plans.roles import FEATURES, sql
-from gneiss.plans.scoring import _PAIRED, _RANKED, _WIDE_Z, flags, paired, r6, wide_z
+from gneiss.plans.scoring import _PAIRED, _WIDE_Z, flags, paired, r6, wide_z
 from gneiss.plans.stage import stage
 from gneiss.session import checkpoint_dir, table
 from gneiss.sources import readers, writers
