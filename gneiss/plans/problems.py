@@ -297,7 +297,29 @@ def unit_rows(spark: SparkSession, d: str, check: bool = False) -> DataFrame:
     )
 
 
-@query()
+def _unit_sql(text: str) -> str:
+    """The first unit whose pattern the text holds."""
+    return "CASE " + " ".join(f"WHEN regexp_matches(lower({text}), '{p}') THEN '{u}'" for u, p in units.UNIT_PATTERNS) + " END"
+
+
+def _target_sql(x: str, unit: str) -> str:
+    tpm = f"CASE {unit} WHEN 'tpm' THEN {x} WHEN 'ktpm' THEN {x} * 1000 WHEN 'log10tpm1' THEN pow(10, {x}) - 1 WHEN 'lntpm1' THEN exp({x}) - 1 END"
+    return f"CASE WHEN {unit} = 'log2tpm1' THEN {x} WHEN ({tpm}) >= 0 THEN log2(({tpm}) + 1) END"
+
+
+_BLANK = "' ' || chr(9) || chr(10) || chr(13)"
+_UNITS_SQL = f"""WITH v AS (SELECT raw_id, nullif(upper(trim(gsm_id, {_BLANK})), '') AS gsm, regexp_replace(upper(trim(gene_id, {_BLANK})), '^(ENSG[0-9]+)\\.[0-9]+$', '\\1') AS gene, lower(trim(method)) AS m, CASE WHEN NOT isnan(log2_value) THEN log2_value END AS x, unit_note FROM geo_values),
+s AS (SELECT * FROM (SELECT nullif(upper(trim(gsm_id, {_BLANK})), '') AS gsm, data_processing, scale_hint, row_number() OVER (PARTITION BY upper(trim(gsm_id, {_BLANK})) ORDER BY loaded_at DESC NULLS LAST, data_processing DESC NULLS LAST, scale_hint DESC NULLS LAST) AS k FROM geo_platform) WHERE k = 1 AND gsm IS NOT NULL),
+ax AS (SELECT lower(trim(axis_name)) AS m, max(units) AS units FROM method_axis GROUP BY 1),
+nm AS (SELECT raw_id, v.gsm, gene, x, {_unit_sql("unit_note")} AS u1, {_unit_sql("data_processing")} AS u2, {_unit_sql("units")} AS u3, CASE lower(trim(scale_hint)) WHEN 'linear' THEN 'tpm' WHEN 'log' THEN 'log2tpm1' END AS u4 FROM v LEFT JOIN s ON v.gsm = s.gsm LEFT JOIN ax ON v.m = ax.m),
+b AS (SELECT raw_id, gsm, gene, x, coalesce(u1, u2, u3) AS named, coalesce(u1, u2, u3, u4) AS known FROM nm),
+lv AS (SELECT gene, quantile_disc(y, 0.5) AS level FROM (SELECT gene, {_target_sql("x", "named")} AS y FROM b WHERE named IS NOT NULL) WHERE y IS NOT NULL GROUP BY gene),
+o AS (SELECT DISTINCT b.gsm, b.gene, x, coalesce(level, (SELECT avg(level) FROM lv), 3.0) AS level FROM b LEFT JOIN lv ON b.gene = lv.gene WHERE known IS NULL AND x IS NOT NULL),
+f AS (SELECT gsm, count(*) - count(abs({_target_sql("x", "'tpm'")} - level)) AS gaps, avg(abs({_target_sql("x", "'tpm'")} - level)) AS rt, avg(abs(x - level)) AS rl FROM o GROUP BY gsm)
+"""
+
+
+@query(_UNITS_SQL + "SELECT raw_id, unit FROM (SELECT raw_id, x, coalesce(known, CASE WHEN f.rl IS NULL THEN NULL WHEN gaps > 0 OR rt IS NULL OR rl <= rt THEN 'log2tpm1' ELSE 'tpm' END) AS unit FROM b LEFT JOIN f ON b.gsm IS NOT DISTINCT FROM f.gsm) WHERE x IS NOT NULL AND unit <> 'log2tpm1'")
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Rows with a value in another unit than log2(TPM + 1), with that unit."""
     return unit_rows(spark, d).where(
