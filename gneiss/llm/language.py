@@ -26,6 +26,8 @@ GRAM = 3
 LEAST_LETTERS = 12
 #: Labelled documents per language that the prototypes are trained on.
 TRAINING_DOCUMENTS = 400
+#: Characters that are scored together: about 100 bytes of working memory each.
+BLOCK_LETTERS = 500_000
 #: How much one unit of cosine is worth in the confidence.
 SHARPNESS = 30.0
 
@@ -82,7 +84,9 @@ def _encoded(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     code = np.zeros(n, dtype=np.int64)
     for i in range(GRAM):
         code = code * len(LETTERS) + s[i : i + n]
-    return code, np.bincount(owner[1 : n + 1], minlength=len(parts))
+    # The gram around the blank between two parts has letters of both: a part is scored by itself.
+    inner = (s[1 : n + 1] > 0) | (owner[:n] == owner[2 : n + 2])
+    return code[inner], np.bincount(owner[1 : n + 1][inner], minlength=len(parts))
 
 
 @dataclass(frozen=True)
@@ -157,14 +161,22 @@ def score(model: Model, parts: list[str]) -> np.ndarray:
     """Cosine of each part with each (centred) prototype. The norm of a part's bundle is the root of the sum of the
     squared counts of its n-grams, whose vectors are taken as orthogonal."""
     out = np.zeros((len(parts), len(model.languages)))
-    if parts:
-        code, n = _encoded(parts)
+    begin = 0
+    while begin < len(parts):
+        # As many parts as have BLOCK_LETTERS characters together, at least one.
+        end, size = begin + 1, len(parts[begin])
+        while end < len(parts) and size + len(parts[end]) <= BLOCK_LETTERS:
+            size += len(parts[end])
+            end += 1
+        code, n = _encoded(parts[begin:end])
         rows = model.products[model.row_of[code]]
         starts = np.cumsum(n) - n
         filled = n > 0
+        block = np.zeros((end - begin, len(model.languages)))
         if filled.any():
-            out[filled] = np.add.reduceat(rows, starts[filled], axis=0)
-        out /= np.sqrt(np.maximum(_squared_counts(code, n), 1))[:, None]
+            block[filled] = np.add.reduceat(rows, starts[filled], axis=0)
+        out[begin:end] = block / np.sqrt(np.maximum(_squared_counts(code, n), 1))[:, None]
+        begin = end
     return out
 
 

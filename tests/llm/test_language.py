@@ -60,6 +60,13 @@ def test_scores_are_cosines_of_bundles(model):
     assert language._squared_counts(np.zeros(0, dtype=np.int64), np.zeros(2, dtype=np.int64)).tolist() == [0.0, 0.0]
 
 
+def test_scores_do_not_depend_on_blocks(model, monkeypatch):
+    parts = [SAMPLE[x][i].lower() for x in ("en", "de", "fr") for i in (0, 1)] * 5 + [""]
+    whole = language.score(model, parts)
+    monkeypatch.setattr(language, "BLOCK_LETTERS", 150)
+    assert np.allclose(language.score(model, parts), whole) and language.score(model, []).shape == (0, len(model.languages))
+
+
 def test_labels(spark):
     given = {"en": "en", "EN-gb": "en", "en_US": "en", "English": "en", " deu ": "de", "ger": "de", "pt-BR": "pt", "castellano": "es", "und": None, "n/a": None, "": None, None: None, "russian": "ru"}
     df = spark.createDataFrame(list(given.items()), "l string, w string")
