@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions.stats import log_choose, phi
+from gneiss.operators.aggregates import counted_quantiles
 from gneiss.operators.combine import W_FIRST, W_NORM, W_SECOND
 from gneiss.operators.correlate import spearman_by
 from gneiss.operators.ranks import auroc, partial_areas
@@ -319,8 +320,9 @@ def sweep(values: Sequence[float], name: str, query: Callable[[float], DataFrame
 def scale_guard(df: DataFrame, value: str, first: Column, second: Column, target_rate: float, least_gap: float = 0.15) -> DataFrame:
     """One row: medians of all, of the reference rows expected low (``first``) and of those expected not to be (``second``), their
     separation, the cut below which ``target_rate`` of the second fall, and whether the sets stand apart the right way."""
-    a, b = F.when(first, F.col(value)), F.when(second, F.col(value))
-    got = df.agg(F.median(value).alias("median_all"), F.median(a).alias("median_first"), F.median(b).alias("median_second"), F.percentile(b, F.lit(target_rate)).alias("threshold"))
+    known = df.where(F.col(value).isNotNull())
+    counts = known.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"), F.count_if(first).alias("a"), F.count_if(second).alias("b"))
+    got = counted_quantiles(counts, [], "v", {"median_all": ("n", 0.5), "median_first": ("a", 0.5), "median_second": ("b", 0.5), "threshold": ("b", target_rate)})
     gap = F.col("median_second") - F.col("median_first")
     return got.select("median_all", "median_first", "median_second", gap.alias("separation"), "threshold", F.coalesce(gap > least_gap, F.lit(False)).alias("passed"))
 

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
-from gneiss.operators import similarity
+from gneiss.operators import audits, similarity
 from gneiss.plans import roles
 
 
@@ -44,6 +45,22 @@ def test_fewer_rows_than_neighbours(n):
     assert sorted(r[:2] for r in searched(v, [*range(n)], [0, 1], 10, 2)) == [(q, j) for q in (0, 1) for j in range(n) if j != q]
 
 
+def test_scale_guard_orders_the_values_over_all_tasks(spark):
+    rng = np.random.default_rng(6)
+    x, role = np.round(rng.normal(size=400), 2), rng.integers(0, 3, 400)
+    x[role == 1] += 0.5
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, role, strict=True)] + [(None, 0)], "z double, role int").repartition(5)
+    guard = lambda d: audits.scale_guard(d, "z", F.col("role") == 0, F.col("role") == 1, 0.05)
+    got = guard(df)
+    plan = got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "median(" not in plan and "percentile(" not in plan, "no map of all values in one task"
+    a, b = x[role == 0], x[role == 1]
+    want = (np.median(x), np.median(a), np.median(b), np.median(b) - np.median(a), np.percentile(b, 5))
+    assert tuple(got.collect()[0])[:5] == pytest.approx(want, abs=1e-12) and got.collect()[0]["passed"]
+    assert [tuple(r) for r in guard(df.where("role = 0")).collect()] == [(pytest.approx(np.median(a)), pytest.approx(np.median(a)), None, None, None, False)]
+    assert [tuple(r) for r in guard(df.where("false")).collect()] == [(None,) * 5 + (False,)]
+
+
 def test_prepare_takes_medians_of_all_values_and_means_of_cells(spark):
     long = spark.createDataFrame([(1, "f", 1.0), (1, "f", 2.0), (1, "f", 9.0), (2, "f", 5.0), (3, "g", 1.0), (3, "f", None)], "e int, f string, v double")
     got = {(r["e"], r["f"]): r["z"] for r in similarity.prepare(long, "e", "f", "v", 0.5).collect()}
